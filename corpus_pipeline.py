@@ -6,18 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch, table
+from textloom.llm.decontaminate import decontaminate
+from textloom.llm.line_dedup import drop_recurring_lines
 from textloom.llm.minhash_dedup import near_duplicates
+from textloom.llm.mixing import mix
+from textloom.llm.queries import lang_weight, source_levels
+from textloom.llm.toxicity import THRESHOLD, ToxicityModel
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores at the threshold or above go."""
+    model = ToxicityModel.fit(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs, *docs.columns).filter(F.col("score") < THRESHOLD).drop("score")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go but for their first document; so do documents that lose all their lines."""
+    left = drop_recurring_lines(docs)
+    return left.filter((F.col("n_dropped__") == 0) | (F.trim("text") != "")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, likeness of 0.8 or more)."""
     groups = near_duplicates(docs)
-    return docs.join(groups.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.join(groups.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly such passages go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, dealt out by domain, language and source; adds n_tokens, leaf_budget, epochs."""
+    found = mix(docs, source_levels(), weights={"lang": lang_weight})
+    return found.withColumnsRenamed({"n_tokens__": "n_tokens", "leaf_budget__": "leaf_budget", "epochs__": "epochs"})
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", near_dedup), ("decontamination", drop_benchmark), ("mixing", mix_sources)]
 
-#: SQL expresses neither the factorization machine of the first stage nor the grouping of the third.
+#: SQL can express neither the factorization machine of the first stage nor the grouping of the third.
 ORACLE_SQL = None
 
 

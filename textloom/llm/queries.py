@@ -4,10 +4,86 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
+from .line_dedup import drop_recurring_lines
 from .minhash_dedup import near_duplicates
+from .mixing import budget_sql, mix
+from .toxicity import toxicity
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[i:i + least(10, len(words)) - 1], ' ') AS win FROM b, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS t(i) WHERE len(words) > 0),
+place AS (SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS win FROM w, (SELECT DISTINCT n FROM win), unnest(range(1, len(words) - n + 2)) AS t(i)),
+hit AS (SELECT doc_id, i, place.n AS n, item_id FROM place JOIN win ON place.win = win.win AND place.n = win.n),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hit), unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(len(w.words), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words ON w.doc_id = words.doc_id LEFT JOIN items ON w.doc_id = items.doc_id
+"""
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_lines__").alias("n_lines"), F.col("n_dropped__").alias("n_dropped"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+OP5_SQL = r"""
+WITH line AS (SELECT doc_id, i, trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+masked AS (SELECT doc_id, i, regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM line),
+per AS (SELECT m, len(string_split(m, ' ')) AS n_tokens, array_to_string(string_split(m, ' ')[1:3], ' ') AS head, count(*) AS docs, min(doc_id) AS first_id FROM (SELECT DISTINCT doc_id, m FROM masked WHERE m <> '') GROUP BY ALL),
+leaf AS (SELECT n_tokens, head FROM per GROUP BY ALL HAVING sum(docs) >= 10 AND count(*) > 1),
+tok AS (SELECT per.*, unnest(string_split(m, ' ')[4:]) AS token, generate_subscripts(string_split(m, ' ')[4:], 1) AS pos FROM per SEMI JOIN leaf USING (n_tokens, head)),
+stable AS (SELECT n_tokens, head, pos, token FROM tok GROUP BY ALL HAVING sum(docs) >= 10),
+general AS (SELECT m, t.head || ' ' || string_agg(CASE WHEN s.token IS NULL THEN '<*>' ELSE t.token END, ' ' ORDER BY t.pos) AS template FROM tok t LEFT JOIN stable s ON t.n_tokens = s.n_tokens AND t.head = s.head AND t.pos = s.pos AND t.token = s.token
+ GROUP BY m, t.head, t.n_tokens HAVING count(s.token) < count(*) AND count(s.token) + 3 >= 0.5 * (count(*) + 3)),
+named AS (SELECT per.m, docs, first_id, CASE WHEN template IS NULL THEN 'line ' || per.m ELSE 'template ' || per.n_tokens || ' ' || template END AS template FROM per LEFT JOIN general ON per.m = general.m),
+rec AS (SELECT template, min(first_id) AS first_id FROM named GROUP BY template HAVING sum(docs) >= 10),
+fact AS (SELECT m, rec.first_id FROM named JOIN rec USING (template)),
+kept AS (SELECT k.doc_id, count(*) AS n_dropped, list(k.i) AS gone FROM masked k JOIN fact f ON k.m = f.m AND k.doc_id > f.first_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, CAST(coalesce(n_dropped, 0) AS INTEGER) AS n_dropped,
+ md5(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(gone, i)), lambda i: string_split(text, chr(10))[i]), chr(10)) END) AS text_md5
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+def source_levels() -> dict[str, Column]:
+    """Domain (the source's number mod 4), language, source."""
+    number = F.expr(r"try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as bigint)")
+    return {"domain": F.concat(F.lit("domain"), (number % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def lang_weight(lang: Column) -> Column:
+    return F.when(lang == "en", 5).when(lang.isin("de", "fr"), 2).otherwise(1)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(table(spark, sf_dir, "documents"), source_levels(), total_share=(1, 2), weights={"lang": lang_weight})
+    return found.select("doc_id", "lang", "source", F.col("n_tokens__").alias("n_tokens"), F.col("leaf_budget__").alias("leaf_budget"), F.col("epochs__").alias("epochs"))
+
+
+OP6_SQL = rf"""
+WITH d AS (SELECT *, 'domain' || (TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) % 4) AS domain, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+{budget_sql(["domain", "lang", "source"], "tokens * 4", "SELECT sum(tokens) // 2 AS budget FROM leaves", {"lang": "CASE WHEN n.lang = 'en' THEN 5 WHEN n.lang IN ('de', 'fr') THEN 2 ELSE 1 END"})},
+plan AS (SELECT l.domain, l.lang, l.source, b.budget, b.budget // tokens AS whole, b.budget % tokens AS rest FROM leaves l JOIN b3 b ON l.domain IS NOT DISTINCT FROM b.domain AND l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source WHERE b.budget > 0),
+o AS (SELECT d.*, budget, whole, rest, md5('17:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS pos FROM d JOIN plan p ON d.domain IS NOT DISTINCT FROM p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source),
+e AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY pos, CAST(doc_id AS VARCHAR), md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest AS inside FROM o)
+SELECT doc_id, lang, source, n_tokens, CAST(budget AS BIGINT) AS leaf_budget, CAST(whole + CASE WHEN inside THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM e WHERE whole > 0 OR inside
+"""
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +91,14 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_minhash_dedup": op10_minhash_dedup}
+    return {
+        "op3_decontaminate": op3_decontaminate,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_mixing": op6_mixing,
+        "op9_toxicity": op9_toxicity,
+        "op10_minhash_dedup": op10_minhash_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
