@@ -16,8 +16,8 @@ from .components import components
 from .superminhash import band_keys, shingles, signatures, word_hashes
 
 BANDS, ROWS = 40, 5
-#: Shingles in one stripe of a pivot's group, and the width of its likeness bins.
-STRIPE, BIN = 400_000, 20
+#: Shingles (and ROW for each node) in one stripe of a pivot's group, and the number of its likeness bins.
+STRIPE, ROW, BIN = 400_000, 300, 20
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -147,7 +147,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     wanted = stars.select("node").union(stars.select("pivot")).distinct().join(nodes.select("node", "least", "set_key"), "node")
     wanted = scratch.keep(wanted.select("node", "set_key", F.coalesce("least", F.lit(-(2**63))).alias("least")))
-    known = texts.withColumn("least", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, "least").select("node", "set_key", "text")
+    # wanted grows with the corpus, so it is never sent to all executors
+    known = texts.withColumn("least", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted.hint("merge"), "least").select("node", "set_key", "text")
     sets = scratch.keep(known.mapInArrow(_sets(words), "node long, n long, elements binary"))
     # a repeated row (same id, same text) would repeat its node
     one = F.row_number().over(Window.partitionBy("node").orderBy("n"))
@@ -185,11 +186,12 @@ def _between(pairs: DataFrame, sets: DataFrame, linked: DataFrame, percent: int,
     members = pairs.select(F.col("b").alias("pivot"), F.col("a").alias("node"), F.col("a_n").alias("n"), like.alias("bin"))
     members = members.union(pairs.select(F.col("b"), F.col("b"), F.col("b_n"), F.lit(BIN)).distinct())
     members = scratch.keep(members.join(linked, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    groups = members.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-    # with one node beside the pivot, all pairs have been compared
-    groups = scratch.keep(groups.filter("lo <> hi and size > 2").select("pivot"))
-    members = members.join(groups, "pivot")
-    bins = members.groupBy("pivot", "bin").agg(F.ceil(F.sum("n") / STRIPE).cast("int").alias("parts"))
+    load = F.sum(F.col("n") + ROW)
+    groups = members.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), load.alias("load"))
+    # with one node beside the pivot, all pairs have been compared; a group that fits one stripe needs no bins
+    groups = scratch.keep(groups.filter("lo <> hi and size > 2").select("pivot", (F.col("load") <= STRIPE).alias("whole")))
+    members = members.join(groups, "pivot").withColumn("bin", F.when(F.col("whole"), 0).otherwise(F.col("bin")))
+    bins = members.groupBy("pivot", "bin").agg(F.ceil(load / STRIPE).cast("int").alias("parts"))
     per_pivot = scratch.keep(bins.groupBy("pivot").agg(F.map_from_entries(F.collect_list(F.struct("bin", "parts"))).alias("bins")))
     # by the triangle inequality, linked nodes differ by at most 1 - percent/100 in their likeness to the pivot
     reach = -(-BIN * (100 - percent) // 100) + 1
