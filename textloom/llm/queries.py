@@ -9,10 +9,32 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .html_text import page_texts
+from .language_id import identify_languages
 from .line_dedup import drop_recurring_lines
 from .minhash_dedup import near_duplicates
 from .mixing import budget_sql, mix
+from .secrets import secret_report
 from .toxicity import toxicity
+from .warc import archive_report
+from .winnowing import fingerprint_report
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {10 * g + 1}, 10) AS BIGINT) >> {35 - 5 * i}) & 31), 1)" for g in range(4) for i in range(8))
+OP1_SQL = rf"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN top IS NULL OR page_id = top THEN NULL ELSE top END AS refers_to FROM t
+"""
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +54,10 @@ FROM w LEFT JOIN words ON w.doc_id = words.doc_id LEFT JOIN items ON w.doc_id =
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_recurring_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("n_lines__").alias("n_lines"), F.col("n_dropped__").alias("n_dropped"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -82,6 +108,14 @@ SELECT doc_id, lang, source, n_tokens, CAST(budget AS BIGINT) AS leaf_budget, CA
 """
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,13 +126,18 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
+        "op2_secrets": op2_secrets,
         "op3_decontaminate": op3_decontaminate,
+        "op4_language_id": op4_language_id,
         "op5_line_dedup": op5_line_dedup,
         "op6_mixing": op6_mixing,
+        "op7_html_text": op7_html_text,
+        "op8_winnowing": op8_winnowing,
         "op9_toxicity": op9_toxicity,
         "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
