@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 K, WINDOW = 12, 16
 #: Grams that are hashed together; bounds what a long text holds in memory at once.
 CHUNK = 1 << 14
-#: A key is the hash's upper bits, then the position counted down, so that the least key is the least hash and, of
-#: equal ones, the rightmost.
+#: A key is the hash's lower bits, then the bytes from the gram to the last one, so that the least key is the least
+#: hash and, of equal ones, the rightmost.
 POSITION_BITS = 28
 LOW = (1 << POSITION_BITS) - 1
 
@@ -21,32 +21,49 @@ def _let(value: Column, body) -> Column:
 
 
 def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """array<struct<hash:long, pos:int>> by position: of each window of grams the one of least hash, the rightmost of
+    """array<struct<pos:int, hash:long>> by position: of each window of grams the one of least hash, the rightmost of
     equal ones; each chosen gram once. Positions are code points from 0.
 
     A text of fewer than k code points, but not none, has its whole as the one gram; one of fewer than `window` grams
     is one window. Null and empty texts have no fingerprint (an empty array).
     """
-    points = F.encode(text, "UTF-32")
+    if window & (window - 1):
+        raise ValueError("the window must be a power of two")
+    none = F.expr("cast(array() as array<struct<pos:int,hash:bigint>>)")
 
-    def chosen(b: Column) -> Column:
-        n = (F.octet_length(b) / 4).cast("int")
-        grams = F.greatest(n - k + 1, F.least(n, F.lit(1)))
-        width = F.least(F.lit(window), grams)
-        windows = grams - width + 1
+    def least(keys: Column) -> Column:
+        """The least key of each window: windows of twice the width from two of half of it, over and over."""
 
-        def chunk(start: Column) -> Column:
-            """The windows from start on."""
-            last = F.least(start + (CHUNK - 1), windows - 1)
-            key = lambda i: F.shiftleft(F.shiftright(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * k))), POSITION_BITS), POSITION_BITS).bitwiseOR(F.lit(LOW) - i)
-            keys = F.transform(F.sequence(start, last + width - 1), key)
-            return _let(keys, lambda ks: F.array_distinct(F.transform(F.sequence(F.lit(1), last - start + 1), lambda j: F.array_min(F.slice(ks, j, width)))))
+        def doubled(width: int):
+            return lambda ks: F.transform(ks, lambda x, i: F.least(x, F.get(ks, i + width)))
 
-        parts = F.flatten(F.transform(F.sequence(F.lit(0), windows - 1, F.lit(CHUNK)), chunk))
-        found = F.transform(F.array_distinct(parts), lambda x: F.struct(F.shiftright(x, POSITION_BITS).alias("hash"), (F.lit(LOW) - x.bitwiseAND(LOW)).cast("int").alias("pos")))
-        return F.when(n > 0, found).otherwise(F.expr("cast(array() as array<struct<hash:bigint,pos:int>>)"))
+        width = 1
+        while width < window:
+            keys = _let(keys, doubled(width))
+            width *= 2
+        return keys
 
-    return _let(F.coalesce(points, F.lit(b"")), chosen)
+    def between(b: Column, first: Column, last: Column, few: bool) -> Column:
+        """What the windows over the grams from first to last choose; all these grams are one window if they are few."""
+        # in four-byte code points, from the last gram back to the first
+        keys = _let(last * 4 + 1, lambda c: F.transform(F.sequence(F.lit(0), (last - first) * 4, F.lit(4)), lambda e: F.shiftleft(F.xxhash64(F.substring(b, c - e, F.lit(4 * k))), POSITION_BITS).bitwiseOR(e.cast("long"))))
+        if few:
+            keys = F.array(F.array_min(keys))
+        else:
+            keys = F.array_distinct(F.slice(least(keys), F.lit(1), last - first - (window - 2)))
+        return F.transform(keys, lambda x: F.struct((last - F.shiftright(x.bitwiseAND(LOW), 2)).cast("int").alias("pos"), F.shiftright(x, POSITION_BITS).alias("hash")))
+
+    def chosen(b: Column, grams: Column) -> Column:
+        starts = F.sequence(F.lit(0), grams - window, F.lit(CHUNK))
+        many = F.flatten(F.transform(starts, lambda s: _let(F.least(s + (CHUNK + window - 2), grams - 1), lambda last: between(b, s, last, False))))
+        many = F.array_sort(F.array_distinct(many))
+        return F.when(grams < window, between(b, F.lit(0), F.greatest(grams, F.lit(1)) - 1, True)).otherwise(many)
+
+    def bound(b: Column) -> Column:
+        grams = (F.octet_length(b) / 4).cast("int") - (k - 1)
+        return F.when(F.octet_length(b) > 0, _let(grams, lambda g: chosen(b, g))).otherwise(none)
+
+    return _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), bound)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -98,7 +115,7 @@ def fingerprint_report(docs: DataFrame, k: int = K, window: int = WINDOW) -> Dat
     The edited text is the document's, its last third replaced by the first code points of the next document in
     descending order of doc_id (of the first, for the last). Null texts are empty. Rows of one doc_id follow each other
     in the order of their texts' md5, null ids come last, a single document is its own next, and an empty table gives
-    an empty result. Texts may have up to 2**28 code points.
+    an empty result. Texts may have up to 2**26 code points.
 
     The rows are dealt out by ranges of doc_id. Behind its own rows each range gets a copy of the row with which the
     next range starts. The driver sees one row for each range, 65792 at most, and never a text.
