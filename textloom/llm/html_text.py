@@ -155,7 +155,8 @@ class Page:
 
     def best_path(self) -> str | None:
         """The container with the most text outside links; a block counts in full for the element around it, half for
-        the one above that, and a fourth for each article or main element that is further up."""
+        the one above that, and a fourth for each article or main element that is further up. Empty (the page as a
+        whole) if no container has such text; None for a page without text."""
         scores: dict[tuple[str, ...], float] = {}
         for path, text, linked in self.blocks:
             weight = max(0, len(text) - 2 * linked) + (25 if len(text) > 25 and not linked else 0)
@@ -172,7 +173,7 @@ class Page:
                 scores[key] *= 1.5
         best = max(scores, key=lambda k: (scores[k], -len(k), k), default=None)
         if not best or scores[best] <= 0:
-            return None
+            return "" if self.blocks else None
         # a part of an article stands for the whole
         whole = max((i for i, step in enumerate(best) if step.split(".")[0] in MAIN), default=len(best) - 1)
         return ">".join(best[: whole + 1])
@@ -181,7 +182,7 @@ class Page:
         """The blocks in containers of that path; None if the page has no such container with text."""
         if path is None:
             return None
-        steps = tuple(path.split(">"))
+        steps = tuple(path.split(">")) if path else ()
         found = [t for p, t, _ in self.blocks if p[: len(steps)] == steps]
         return "\n\n".join(found) if found else None
 
@@ -222,9 +223,9 @@ def extract_text(pages: DataFrame, *columns: str, url_col: str = "url", html_col
     hosted = pages.select(host(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
     votes = hosted.mapInArrow(_vote, "host string, path string").filter("path is not null").groupBy("host", "path").agg(F.count("*").alias("n"))
     best = F.min_by("path", F.struct(-F.col("n"), F.col("path")))
-    winners = scratch.keep(votes.groupBy("host").agg(best.alias("winner__")))
+    winners = scratch.keep(votes.groupBy("host").agg(best.alias("winner__")).withColumnRenamed("host", "voted__"))
     chosen = pages.select(*columns, F.col(html_col).cast("string").alias("html__"), host(F.col(url_col).cast("string")).alias("host__"))
-    chosen = chosen.join(winners, chosen.host__ == winners.host, "left").select(*columns, "html__", "winner__")
+    chosen = chosen.join(winners, chosen.host__ == winners.voted__, "left").drop("host__", "voted__")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[:-2])
     return chosen.mapInArrow(_extract(len(columns)), schema + "text__ string")
 

@@ -47,8 +47,8 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_D
     mixed = scratch.keep(distinct.join(leaves, distinct.leaf == leaves.at).select("leaf", "k1", "k2", "docs", "first_id"))
     # one row for each different line: that of its first document
     held = lines.withColumn("key", _key(F.col("line"))).select("doc_id", "key.k1", "key.k2", F.slice(F.split("line", " "), DEPTH + 1, 2**31 - 1).alias("rest"))
-    wanted = mixed.select("leaf", "k1", "k2", "docs", F.coalesce("first_id", F.lit(-(2**63))).alias("doc_id"))
-    held = held.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, ["doc_id", "k1", "k2"]).dropDuplicates(["k1", "k2"])
+    wanted = mixed.select("leaf", "k1", "k2", "docs", F.col("first_id").alias("doc_id"))
+    held = held.join(wanted, ["doc_id", "k1", "k2"]).dropDuplicates(["k1", "k2"])
     tokens = scratch.keep(held.filter(F.size("rest") > 0).select("leaf", "k1", "k2", "docs", F.posexplode("rest").alias("pos", "token")))
     stable = scratch.keep(tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf", "pos", "token", F.lit(True).alias("stays")))
     placed = tokens.join(stable, ["leaf", "pos", "token"], "left").groupBy("leaf", "k1", "k2").agg(
@@ -71,20 +71,20 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col:
     rows are treated alike. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    # 0 stands for the null id: ids are shifted only in comparisons
+    # stands for the null id, below all others
+    low = F.lit(-(2**63))
     text = F.col(text_col).cast("string")
     split = F.split(text, "\n")
     masked = F.filter(F.array_distinct(F.transform(split, _masked)), lambda x: x != "")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    facts = recurring_lines(base.select("doc_id", masked.alias("lines")), scratch, least_docs)
+    id_ = F.coalesce(F.col(id_col).cast("long"), low)
+    facts = recurring_lines(docs.select(id_.alias("doc_id"), masked.alias("lines")), scratch, least_docs)
 
-    low = F.lit(-(2**63))
-    places = docs.select(F.coalesce(F.col(id_col).cast("long"), low).alias("id__"), F.xxhash64(text).alias("mark__"), F.posexplode(F.transform(split, lambda x: _key(_masked(x)))).alias("pos", "key"))
-    places = places.select("id__", "mark__", "pos", "key.k1", "key.k2").join(facts, ["k1", "k2"]).filter(F.col("id__") > F.coalesce("first_id", low))
+    places = docs.select(id_.alias("id__"), F.xxhash64(text).alias("mark__"), F.posexplode(F.transform(split, lambda x: _key(_masked(x)))).alias("pos", "key"))
+    places = places.select("id__", "mark__", "pos", "key.k1", "key.k2").join(facts, ["k1", "k2"]).filter(F.col("id__") > F.col("first_id"))
     dropped = scratch.keep(places.groupBy("id__", "mark__").agg(F.collect_set("pos").alias("dropped__")))
 
     names = docs.columns
-    marked = docs.withColumns({"id__": F.coalesce(F.col(id_col).cast("long"), low), "mark__": F.xxhash64(text)}).join(dropped, ["id__", "mark__"], "left")
+    marked = docs.withColumns({"id__": id_, "mark__": F.xxhash64(text)}).join(dropped, ["id__", "mark__"], "left")
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("dropped__", i)), "\n")
     new = F.when(F.col("dropped__").isNull(), text).otherwise(left)
     out = marked.withColumns({"n_lines__": F.coalesce(F.size(split), F.lit(0)), "n_dropped__": F.coalesce(F.size("dropped__"), F.lit(0)), text_col: new})

@@ -77,11 +77,15 @@ class SecretModel:
     """Log-likelihood ratio of each character pair: random string against ordinary identifier."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        logs = []
-        for c in counts.reshape(2, SIZE, SIZE)[:, :, 1:] + 0.5:
-            logs.append(np.log(c / c.sum(axis=1, keepdims=True)))
+        ordinary, random = counts.reshape(2, SIZE, SIZE)[:, :, 1:].astype(float)
+        uniform = 1 / (SIZE - 1)
+        single = (ordinary.sum(axis=0) + 0.5) / (ordinary.sum() + 0.5 * (SIZE - 1))
+        # rare pairs of ordinary identifiers lean on their second character's share
+        p_ordinary = (ordinary + 200 * single) / (ordinary.sum(axis=1, keepdims=True) + 200)
+        # a random string is as likely of another alphabet as of those in the samples
+        p_random = 0.5 * (random + 5 * uniform) / (random.sum(axis=1, keepdims=True) + 5) + 0.5 * uniform
         self.ratio = np.zeros((SIZE, SIZE))
-        self.ratio[:, 1:] = logs[1] - logs[0]
+        self.ratio[:, 1:] = np.log(p_random / p_ordinary)
 
     @classmethod
     def fit(cls, docs: DataFrame, text_col: str = "text") -> SecretModel:
