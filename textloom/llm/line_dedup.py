@@ -13,10 +13,13 @@ DEPTH, LEAST_DOCS, LEAST_SHARE = 3, 10, 0.5
 FIELD = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    """The line's tokens, those with a digit as fields, joined by one space; empty for a blank line."""
-    spaced = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(spaced)
+def _masked(text: Column) -> Column:
+    """The text with each line's tokens joined by one space, those with a digit as fields. As many lines as before."""
+    spaced = F.translate(text, "\t\x0b\x0c\r", "    ")
+    spaced = F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
+    spaced = F.when(spaced.contains(" \n") | spaced.contains("\n "), F.regexp_replace(spaced, " ?\n ?", "\n")).otherwise(spaced)
+    spaced = F.trim(spaced)
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)).otherwise(spaced)
 
 
 def _key(masked: Column) -> Column:
@@ -39,17 +42,14 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_D
     once for each different line; first_id is the least doc_id among them.
     """
     lines = docs.select("doc_id", F.explode("lines").alias("line"))
-    each = lines.select("doc_id", _leaf(F.col("line")).alias("leaf"), _key(F.col("line")).alias("key"))
-    distinct = scratch.keep(each.groupBy("leaf", "key.k1", "key.k2").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id")))
+    lines = lines.select("doc_id", "line", _leaf(F.col("line")).alias("leaf"), _key(F.col("line")).alias("key"))
+    distinct = scratch.keep(lines.groupBy("leaf", "key.k1", "key.k2").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id")))
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines"))
     # in other leaves no template recurs, or the one line is the template
-    leaves = scratch.keep(leaves.filter((F.col("leaf_docs") >= least_docs) & (F.col("leaf_lines") > 1)).select(F.col("leaf").alias("at")))
-    mixed = scratch.keep(distinct.join(leaves, distinct.leaf == leaves.at).select("leaf", "k1", "k2", "docs", "first_id"))
-    # one row for each different line: that of its first document
-    held = lines.withColumn("key", _key(F.col("line"))).select("doc_id", "key.k1", "key.k2", F.slice(F.split("line", " "), DEPTH + 1, 2**31 - 1).alias("rest"))
-    wanted = mixed.select("leaf", "k1", "k2", "docs", F.col("first_id").alias("doc_id"))
-    held = held.join(wanted, ["doc_id", "k1", "k2"]).dropDuplicates(["k1", "k2"])
-    tokens = scratch.keep(held.filter(F.size("rest") > 0).select("leaf", "k1", "k2", "docs", F.posexplode("rest").alias("pos", "token")))
+    leaves = scratch.keep(leaves.filter((F.col("leaf_docs") >= least_docs) & (F.col("leaf_lines") > 1)).select("leaf"))
+    mixed = lines.join(leaves, "leaf").groupBy("leaf", "line").agg(F.count("*").alias("docs"))
+    mixed = mixed.select("leaf", _key(F.col("line")).alias("key"), "docs", F.slice(F.split("line", " "), DEPTH + 1, 2**31 - 1).alias("rest")).filter(F.size("rest") > 0)
+    tokens = scratch.keep(mixed.select("leaf", "key.k1", "key.k2", "docs", F.posexplode("rest").alias("pos", "token")))
     stable = scratch.keep(tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf", "pos", "token", F.lit(True).alias("stays")))
     placed = tokens.join(stable, ["leaf", "pos", "token"], "left").groupBy("leaf", "k1", "k2").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("stays"), F.col("token")).otherwise(FIELD).alias("token")))).alias("found"), F.count("stays").alias("n_kept"), F.count("*").alias("n")
@@ -75,16 +75,19 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col:
     low = F.lit(-(2**63))
     text = F.col(text_col).cast("string")
     split = F.split(text, "\n")
-    masked = F.filter(F.array_distinct(F.transform(split, _masked)), lambda x: x != "")
+    masked = F.split(_masked(text), "\n")
     id_ = F.coalesce(F.col(id_col).cast("long"), low)
-    facts = recurring_lines(docs.select(id_.alias("doc_id"), masked.alias("lines")), scratch, least_docs)
+    distinct = F.filter(F.array_distinct(masked), lambda x: x != "")
+    facts = recurring_lines(docs.select(id_.alias("doc_id"), distinct.alias("lines")), scratch, least_docs)
 
-    places = docs.select(id_.alias("id__"), F.xxhash64(text).alias("mark__"), F.posexplode(F.transform(split, lambda x: _key(_masked(x)))).alias("pos", "key"))
-    places = places.select("id__", "mark__", "pos", "key.k1", "key.k2").join(facts, ["k1", "k2"]).filter(F.col("id__") > F.col("first_id"))
+    places = docs.select(id_.alias("id__"), F.xxhash64(text).alias("mark__"), F.posexplode(masked).alias("pos", "line"))
+    places = places.filter("line <> ''").select("id__", "mark__", "pos", _key(F.col("line")).alias("key")).select("id__", "mark__", "pos", "key.k1", "key.k2")
+    places = places.join(facts, ["k1", "k2"]).filter(F.col("id__") > F.col("first_id"))
     dropped = scratch.keep(places.groupBy("id__", "mark__").agg(F.collect_set("pos").alias("dropped__")))
 
     names = docs.columns
-    marked = docs.withColumns({"id__": id_, "mark__": F.xxhash64(text)}).join(dropped, ["id__", "mark__"], "left")
+    # dropped grows with the corpus, so it is never sent to all executors
+    marked = docs.withColumns({"id__": id_, "mark__": F.xxhash64(text)}).join(dropped.hint("merge"), ["id__", "mark__"], "left")
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("dropped__", i)), "\n")
     new = F.when(F.col("dropped__").isNull(), text).otherwise(left)
     out = marked.withColumns({"n_lines__": F.coalesce(F.size(split), F.lit(0)), "n_dropped__": F.coalesce(F.size("dropped__"), F.lit(0)), text_col: new})
