@@ -124,7 +124,7 @@ def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int) ->
         yield SuffixAutomaton([(r.item, words(r.text)) for r in part.collect()], window)
 
 
-def _scan(spark, automaton: SuffixAutomaton, extra: int) -> Callable:
+def _scan(spark, automaton: SuffixAutomaton, text_at: int, kept: int) -> Callable:
     shared = spark.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +133,14 @@ def _scan(spark, automaton: SuffixAutomaton, extra: int) -> Callable:
             for lo in range(0, len(batch), 1000):
                 part = batch.slice(lo, 1000)
                 n, spans, items = [], [], []
-                for t in part.column(extra):
+                for t in part.column(text_at):
                     found = words(t.as_py())
                     s, i = sam.scan(found)
                     n.append(len(found))
                     spans.append([{"start": a, "end": b} for a, b in s])
                     items.append(sorted(i))
-                yield pa.RecordBatch.from_arrays([*part.columns[:extra], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], names=[*part.schema.names[:extra], "n_words__", "spans__", "items__"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], names=[*part.schema.names[:kept], "n_words__", "spans__", "items__"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -158,11 +159,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
     columns, merged = list(out.columns), None
     for sam in _automata(benchmark, item_col, item_text_col, window):
         kept = [*columns] if merged is None else [*columns, "spans__", "items__"]
-        ready = out.select(*[F.col(c) for c in kept], F.col(text).cast("string").alias("text__"))
+        # the text travels once unless it has to be cast
+        is_text = docs.schema[text_col].dataType.simpleString() == "string"
+        ready = out.select(*[F.col(c) for c in kept], *([] if is_text else [F.col(text).cast("string").alias("text__")]))
         if merged is not None:
             ready = ready.withColumnsRenamed({"spans__": "spans_before", "items__": "items_before"})
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields[:-1])
-        out = ready.mapInArrow(_scan(spark, sam, len(kept)), f"{schema}, n_words__ long, spans__ array<struct<start:int,end:int>>, items__ array<string>")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields[: len(kept)])
+        out = ready.mapInArrow(_scan(spark, sam, kept.index(text) if is_text else len(kept), len(kept)), f"{schema}, n_words__ long, spans__ array<struct<start:int,end:int>>, items__ array<string>")
         if merged is not None:
             out = out.withColumns({"spans__": _merge(F.concat("spans_before", "spans__")), "items__": F.array_sort(F.array_union("items_before", "items__"))}).drop("spans_before", "items_before")
         merged = True

@@ -43,6 +43,7 @@ def _profiles(k: int):
                 sets = [shingles(word_hashes(t.as_py(), memo), k) for t in texts[lo : lo + 256]]
                 bands = band_keys(signatures(sets, BANDS * ROWS), BANDS, ROWS).tolist()
                 yield pa.RecordBatch.from_arrays([ids[lo : lo + 256], pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([b if len(s) else None for b, s in zip(bands, sets, strict=True)], pa.list_(pa.int64()))], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -61,6 +62,7 @@ def _sets(k: int):
                     if _set_key(s) == key:
                         rows.append((node, len(s), _pack(s)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.types[i]) for i in range(3)], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -26,7 +26,7 @@ def word_hashes(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
         if w not in memo:
             memo[w] = xxhash.xxh64_intdigest(w)
     out = np.fromiter((memo[w] for w in words), np.uint64, len(words))
-    if len(memo) > 500_000:
+    if len(memo) > 50_000:
         memo.clear()
     return out
 

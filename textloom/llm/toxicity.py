@@ -35,7 +35,7 @@ def term_ids(text: str | None, memo: dict[str, tuple[int, ...]]) -> np.ndarray:
             terms = [w, *(f"{w[:n]}*" for n in (5, 7) if len(w) > n)]
             ids = memo[w] = tuple(xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) >> (32 - BITS) for t in terms)
         found.update(ids)
-    if len(memo) > 300_000:
+    if len(memo) > 50_000:
         memo.clear()
     return np.fromiter(found, np.int64, len(found))
 
@@ -47,22 +47,24 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 500)
             terms = pa.array([np.sort(term_ids(t.as_py(), memo)).astype(np.int32) for t in part.column(1)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column(0), terms], names=["doc_id", "terms"])
+    pa.default_memory_pool().release_unused()
 
 
-def _scores(place: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray, extra: int) -> Callable:
-    """The last column of a batch is the text; the others are handed on."""
+def _scores(place: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray, text_at: int, kept: int) -> Callable:
+    """The text is column text_at; the first `kept` columns are handed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             out = np.empty(len(batch))
-            for i, t in enumerate(batch.column(extra)):
+            for i, t in enumerate(batch.column(text_at)):
                 x = place[term_ids(t.as_py(), memo)]
                 x = x[x >= 0]
                 v = factors[x]
                 out[i] = bias + linear[x].sum() + 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
             score = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:extra], pa.array(score)], names=[*batch.schema.names[:extra], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(score)], names=[*batch.schema.names[:kept], "score"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -116,9 +118,12 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, *columns: str, text_col: str = "text") -> DataFrame:
         """The named columns of docs, and the score of each whole text. A null or empty text has the score of no terms."""
-        chosen = docs.select(*columns, F.col(text_col).cast("string").alias("text__"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-        return chosen.mapInArrow(_scores(self.place, self.bias, self.linear, self.factors, len(columns)), f"{schema}, score double" if schema else "score double")
+        # the text travels once, also where it is one of the columns
+        twice = text_col in columns and docs.schema[text_col].dataType.simpleString() == "string"
+        chosen = docs.select(*columns, *([] if twice else [F.col(text_col).cast("string").alias("text__")]))
+        at = columns.index(text_col) if twice else len(columns)
+        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[: len(columns)])
+        return chosen.mapInArrow(_scores(self.place, self.bias, self.linear, self.factors, at, len(columns)), schema + "score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
