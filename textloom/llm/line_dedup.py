@@ -15,11 +15,24 @@ FIELD = "<*>"
 
 def _masked(text: Column) -> Column:
     """The text with each line's tokens joined by one space, those with a digit as fields. As many lines as before."""
-    spaced = F.translate(text, "\t\x0b\x0c\r", "    ")
-    spaced = F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
-    spaced = F.when(spaced.contains(" \n") | spaced.contains("\n "), F.regexp_replace(spaced, " ?\n ?", "\n")).otherwise(spaced)
-    spaced = F.trim(spaced)
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)).otherwise(spaced)
+    # each step's result is used more than once, so it is bound to a name
+    return _let(F.translate(text, "\t\x0b\x0c\r", "    "), lambda a: _let(_single(a), lambda b: _let(F.trim(_tight(b)), _fields)))
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _single(text: Column) -> Column:
+    return F.when(text.contains("  "), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
+
+
+def _tight(text: Column) -> Column:
+    return F.when(text.contains(" \n") | text.contains("\n "), F.regexp_replace(text, " \n ?|\n ", "\n")).otherwise(text)
+
+
+def _fields(text: Column) -> Column:
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)).otherwise(text)
 
 
 def _key(masked: Column) -> Column:
