@@ -51,13 +51,15 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
             keys = F.array(F.array_min(keys))
         else:
             keys = F.array_distinct(F.slice(least(keys), F.lit(1), last - first - (window - 2)))
-        return F.transform(keys, lambda x: F.struct((last - F.shiftright(x.bitwiseAND(LOW), 2)).cast("int").alias("pos"), F.shiftright(x, POSITION_BITS).alias("hash")))
+        # windows further left choose further left, so this is in order of position; hash and position stay one number
+        at = lambda x: F.shiftleft(F.shiftright(x, POSITION_BITS), POSITION_BITS).bitwiseOR(last - F.shiftright(x.bitwiseAND(LOW), 2))
+        return F.reverse(F.transform(keys, at))
 
     def chosen(b: Column, grams: Column) -> Column:
         starts = F.sequence(F.lit(0), grams - window, F.lit(CHUNK))
         many = F.flatten(F.transform(starts, lambda s: _let(F.least(s + (CHUNK + window - 2), grams - 1), lambda last: between(b, s, last, False))))
-        many = F.array_sort(F.array_distinct(many))
-        return F.when(grams < window, between(b, F.lit(0), F.greatest(grams, F.lit(1)) - 1, True)).otherwise(many)
+        found = F.when(grams < window, between(b, F.lit(0), F.greatest(grams, F.lit(1)) - 1, True)).otherwise(F.array_distinct(many))
+        return F.transform(found, lambda x: F.struct(x.bitwiseAND(LOW).cast("int").alias("pos"), F.shiftright(x, POSITION_BITS).alias("hash")))
 
     def bound(b: Column) -> Column:
         grams = (F.octet_length(b) / 4).cast("int") - (k - 1)
@@ -66,11 +68,24 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
     return _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), bound)
 
 
+def spliced(fingerprint: Column, edited: Column, same: Column, k: int = K, window: int = WINDOW) -> Column:
+    """winnow(edited), where the first `same` code points are those of the text with that fingerprint.
+
+    A gram is chosen or not by the windows that hold it. Up to the start of the last window inside the common part
+    these are the same; from there on they lie in the text from window - 2 code points before.
+    """
+    last = same - (k + window - 1)
+    start = F.greatest(F.lit(0), last + 2 - window)
+    kept = F.filter(fingerprint, lambda x: x["pos"] <= last)
+    fresh = F.transform(winnow(F.substring(edited, start + 1, F.lit(2**31 - 1)), k, window), lambda x: F.struct((x["pos"] + start).alias("pos"), x["hash"].alias("hash")))
+    return F.concat(kept, F.filter(fresh, lambda x: x["pos"] > last))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of two arrays of distinct hashes; 1 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union > 0, both / union).otherwise(1.0)
+    # (sizes of both, size of the intersection), each found once
+    sizes = _let(a, lambda x: _let(b, lambda y: F.struct((F.size(x) + F.size(y)).alias("all"), F.size(F.array_intersect(x, y)).alias("both"))))
+    return _let(sizes, lambda s: F.when(s["all"] > 0, s["both"] / (s["all"] - s["both"])).otherwise(1.0))
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -139,7 +154,7 @@ def fingerprint_report(docs: DataFrame, k: int = K, window: int = WINDOW) -> Dat
     rows = rows.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).filter("guest = 0")
     n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
-    rows = rows.withColumn("edited_fp", winnow(F.col("edited"), k, window))
+    rows = rows.withColumn("edited_fp", spliced(F.col("fp"), F.col("edited"), n - third, k, window))
     own = hashes(F.col("fp"))
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), said(F.col("fp")).alias("fingerprint"), said(F.col("edited_fp")).alias("edited_fingerprint"),
