@@ -1,11 +1,507 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, and the same in SQL for DuckDB."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import lexicon as lx
+from ..functions import text as tx
+from ..functions.sentiment import THRESHOLD, normalized_score, phrase_score, raw_sentiment, sentiment_label
+from ..operators import aspects as asp
+from ..operators import cluster as cl
+from ..operators import labels as lb
+from ..operators import quality as ql
+from ..operators import tfidf as tf
+from ..operators.units import split_units
+from ..operators.vectors import embed, project_2d
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _in(words) -> str:
+    return "(" + ", ".join(_q(w) for w in words) + ")"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(_q(w) for w in words) + "]"
+
+
+def _sub(expr: str, pattern: str, to: str = "' '", flags: str = "g") -> str:
+    return f"regexp_replace({expr}, {_q(pattern)}, {to}, '{flags}')"
+
+
+def _collapse(expr: str) -> str:
+    return f"trim({_sub(f'coalesce({expr}, chr(32))', chr(92) + 's+')})"
+
+
+def _normal(expr: str) -> str:
+    return _sub(f"translate(strip_accents(trim(lower(coalesce({expr}, '')))), '“”«»’`´', '\"\"\"\"''''''')", r"\s+")
+
+
+def _tokens(normal: str) -> str:
+    return f"list_filter(regexp_extract_all({normal}, {_q(tx.TOKEN)}), lambda w: NOT list_contains({_list(lx.STOP_WORDS)}, w))"
+
+
+def _words(expr: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(coalesce({expr}, '')), '[a-z][a-z0-9]*'), lambda w: length(w) >= 3)"
+
+
+def _clean(expr: str) -> str:
+    body = f"trim(coalesce({expr}, ''), chr(32) || chr(9) || chr(10) || chr(13))"
+    for p in (tx.EMAIL, tx.URL, tx.ORDER, tx.PRODUCT, tx.PRODUCT_CODE, tx.CODE, tx.HEX, tx.LONG_NUMBER):
+        body = _sub(body, p)
+    start = "substr(b, 1, 220)"
+    for p in (tx.GREETING, tx.CALLER, tx.INTRODUCTION, *[rf"(?i)^\s*{o}\b[:,\s-]*" for o in tx.OPENERS]):
+        start = _sub(start, p, "''")
+    return f"list_transform([{body}], lambda b: {_collapse(_sub(start + ' || chr(32) || substr(b, 221)', tx.OWN_NAME))})[1]"
+
+
+def _informative(term: str) -> str:
+    words = f"regexp_extract_all({term}, '[a-z][a-z0-9]*')"
+    stop, both = lx.LABEL_STOP_WORDS, sorted({*lx.LABEL_STOP_WORDS, *lx.GENERIC_VERBS})
+    single = [w for w in lx.SINGLE_LABELS if w not in stop and w not in lx.LABEL_STOP and w not in lx.GENERIC_VERBS]
+    phrases = " OR ".join(f"contains({term}, {_q(p)})" for p in lx.STOP_PHRASES)
+    return f"(NOT ({phrases}) AND NOT regexp_matches({term}, '[0-9]') AND CASE len({words}) WHEN 0 THEN false WHEN 1 THEN {words}[1] IN {_in(single)} ELSE len(list_filter({words}, lambda w: NOT list_contains({_list(both)}, w))) >= 2 AND {words}[1] NOT IN {_in(stop)} AND {words}[-1] NOT IN {_in(stop)} END)"
+
+
+# Sources, projections and text functions
+
+
+@query(rf"SELECT doc_id, substr({_collapse('text')}, 1, 140) AS preview, CAST(length({_collapse('text')}) AS INTEGER) AS n FROM documents")
+def preview_items(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.preview(F.col("text")).alias("preview"), F.length(tx.collapse(F.col("text"))).alias("n"))
+
+
+@query(r"SELECT lang, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE regexp_matches(coalesce(text, ''), '\S') GROUP BY lang")
+def nonblank_scan(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(tx.strip(F.coalesce("text", F.lit(""))) != "").groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query("""WITH m AS (SELECT unnest(['lang', 'source']) AS key, unnest([lang, source]) AS value FROM documents), c AS (SELECT key, trim(value) AS value, count(*) AS n FROM m WHERE trim(value) <> '' GROUP BY ALL),
+t AS (SELECT key, value, n, sum(n) OVER (PARTITION BY key) AS total FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, value) = 1)
+SELECT key, value, n, CAST(total AS BIGINT) AS total, 'Most common ' || key || ' is ''' || value || ''' (' || n || '/' || CAST(total AS BIGINT) || ', ' || printf('%.0f', 100.0 * n / total) || '%).' AS finding FROM t ORDER BY total DESC, lower(key) LIMIT 1""")
+def metadata_map_top_key(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"))
+    return ql.metadata_finding(docs)
+
+
+@query(f"SELECT doc_id, CAST(length(c) AS INTEGER) AS n, md5(c) AS clean_md5 FROM (SELECT doc_id, {_clean('text')} AS c FROM documents)")
+def clean_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.clean(F.col("text")).alias("c"))
+    return docs.select("doc_id", F.length("c").alias("n"), F.md5(F.col("c").cast("binary")).alias("clean_md5"))
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct FROM (SELECT doc_id, {_tokens(_normal('text'))} AS t FROM documents)")
+def token_counts(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(tx.normalize(F.col("text"))).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query("SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9]*'))) AS INTEGER) AS n_words FROM documents")
+def distinct_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.word_set(F.col("text"))).alias("n_words"))
+
+
+@query(f"""WITH w AS (SELECT source, {_words('text')} AS w FROM documents), g AS (SELECT source, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w)
+SELECT source, term, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 5""")
+def ngram_counts(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("source", tx.term_tokens(F.col("text")).alias("w"))
+    return w.select("source", F.explode(tx.ngrams(F.col("w"), 2, 2)).alias("term")).groupBy("source", "term").agg(F.count("*").alias("n")).filter("n >= 5")
+
+
+# Terms
+
+
+_TFIDF = f"""tok AS (SELECT doc_id, unnest({_tokens(_normal('text'))}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL HAVING count(*) >= 2),
+w AS (SELECT doc_id, term, tf, df, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw FROM tf JOIN df USING (term)),
+weights AS (SELECT doc_id, term, tf, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
+
+
+def _weights(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs, tf.tfidf(tf.term_frequencies(docs, tx.tokens(tx.normalize(F.col("text")))), docs.count(), min_df=2)
+
+
+@query(f"WITH {_TFIDF} SELECT term, df, count(*) AS n, round(sum(weight), 6) AS total, round(max(weight), 6) AS top FROM weights GROUP BY ALL")
+def tfidf_weights(spark, sf_dir):
+    _, w = _weights(spark, sf_dir)
+    return w.groupBy("term", "df").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top"))
+
+
+@query(f"""WITH {_TFIDF}, s AS (SELECT source, term, round(sum(weight) / any_value(size), 9) AS score FROM weights JOIN documents USING (doc_id) JOIN (SELECT source, count(*) AS size FROM documents GROUP BY source) USING (source) GROUP BY source, term),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term DESC) AS nth FROM s)
+SELECT source, CAST(nth AS INTEGER) AS rank, term, round(score, 6) AS score FROM r WHERE nth <= 8""")
+def top_terms_by_source(spark, sf_dir):
+    docs, w = _weights(spark, sf_dir)
+    top = tf.top_terms(tf.mean_weights(w, docs.select("doc_id", "source"), "source"), "source", informative=False)
+    return top.select("source", "rank", "term", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_TFIDF}, p AS (SELECT lang, term, sum(weight) AS s FROM weights JOIN documents USING (doc_id) GROUP BY ALL), u AS (SELECT lang, term, s / sqrt(sum(s * s) OVER (PARTITION BY lang)) AS weight FROM p)
+SELECT doc_id, u.lang, round(sum(a.weight * u.weight), 6) AS cosine FROM weights a JOIN u USING (term) GROUP BY ALL""")
+def doc_cosine_profile(spark, sf_dir):
+    docs, w = _weights(spark, sf_dir)
+    sums = w.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.sum("weight").alias("s"))
+    unit = sums.withColumn("weight", F.col("s") / F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("lang"))))
+    return tf.cosine(w, unit, "doc_id", "lang").withColumn("cosine", F.round("cosine", 6))
+
+
+_GRAMS = f"w AS (SELECT source, {_words('text')} AS w FROM documents), g AS (SELECT source, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM w), c AS (SELECT source, term, count(*) AS n, len(string_split(term, ' ')) AS k FROM g GROUP BY ALL)"
+
+
+@query(f"""WITH {_GRAMS}, s AS (SELECT source, term, n * CASE k WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END AS score, k FROM c WHERE {_informative('term')})
+SELECT source, term, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, CAST(k > 1 AS INT) DESC, term) AS INTEGER) AS rank FROM s QUALIFY rank <= 8""")
+def fallback_cluster_terms(spark, sf_dir):
+    return tf.rank_terms(tf.weighted_terms(table(spark, sf_dir, "documents"), "source"), "source").select("source", "term", F.col("score").cast("long").alias("score"), "rank")
+
+
+@query()
+def summary_terms(spark, sf_dir):
+    return tf.summary_terms(table(spark, sf_dir, "documents"), "source")
+
+
+# Quality and metadata
+
+
+@query(rf"""WITH r AS (SELECT lower({_collapse('text')}) AS low, {_clean('text')} AS c, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS raw, len(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: regexp_matches(x, '[0-9]'))) AS codes FROM documents)
+SELECT count(*) AS n, round(1 - count(DISTINCT nullif(low, '')) / count(nullif(low, '')), 9) AS duplicate_ratio, round(avg(CASE WHEN length(c) < 20 THEN 1.0 ELSE 0.0 END), 9) AS short_ratio,
+round(sum(len(regexp_extract_all(c, '[A-Za-z0-9]+'))) / sum(raw), 9) AS clean_ratio, round(sum(codes) / sum(raw), 9) AS code_ratio FROM r""")
+def quality_figures(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("text", tx.clean(F.col("text")).alias("clean"))
+    found = ql.quality_figures(docs)
+    return found.select("n", *[F.round(c, 9).alias(c) for c in found.columns if c != "n"])
+
+
+@query()
+def quality_warnings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("text", tx.clean(F.col("text")).alias("clean"))
+    return ql.quality_warnings(ql.quality_figures(docs))
+
+
+@query("SELECT source, count(*) AS n, count(toxic) AS labelled, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic, CAST(coalesce(sum(quality), 0) AS BIGINT) AS good FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
+def label_metadata_join(spark, sf_dir):
+    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.count("toxic").alias("labelled"), zero("toxic").alias("toxic"), zero("quality").alias("good"))
+
+
+_SAMPLE = cl.sample_keys(1000, 200)
+
+
+@query(f"SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id % 1000 IN ({', '.join(map(str, _SAMPLE))}) GROUP BY lang")
+def sample_semi_join(spark, sf_dir):
+    """The sampling operator's seeded draw of 200 of 1000 places, as a semi-join; places repeat every 1000 ids."""
+    places = F.broadcast(spark.createDataFrame([(i,) for i in _SAMPLE], "place long"))
+    docs = table(spark, sf_dir, "documents").withColumn("place", F.col("doc_id") % 1000)
+    return docs.join(places, "place", "left_semi").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# Units and sentiment
+
+
+_CUT = f"string_split({_sub(_sub('t', '([.!?])' + chr(92) + 's+', chr(39) + chr(92) + '1' + chr(39) + ' || chr(1)'), chr(92) + 'n+', 'chr(1)')}, chr(1))"
+_CLAUSES = r"(?i)\s*(?:,|;|:|\b(?:and|but|however|though|because|although|while|pero|aunque|porque|sin embargo|mientras)\b)\s*"
+
+
+def _units_sql(source: str, key: str) -> str:
+    """Common table expressions; the last, units, has key, unit_pos (from 0), unit."""
+    ws = "chr(32) || chr(9) || chr(10) || chr(13)"
+    return f"""s AS (SELECT {key}, unnest({_CUT}) AS s, generate_subscripts({_CUT}, 1) AS i FROM (SELECT {key}, trim(coalesce(text, ''), {ws}) AS t FROM {source})),
+s2 AS (SELECT {key}, i, trim(s, {ws} || '-*') AS s FROM s WHERE trim(s, {ws}) <> ''),
+c AS (SELECT {key}, i, s, list_filter(list_transform(string_split({_sub('s', _CLAUSES, 'chr(1)')}, chr(1)), lambda p: trim(p, {ws})), lambda p: p <> '') AS parts FROM s2),
+p AS (SELECT {key}, i, unnest(CASE WHEN len(parts) > 0 THEN parts ELSE [s] END) AS piece, generate_subscripts(CASE WHEN len(parts) > 0 THEN parts ELSE [s] END, 1) AS j FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY i, j) AS pos, length(piece) <= 10 OR len({_tokens(_normal('piece'))}) <= 1 AS tiny FROM p WHERE piece <> ''),
+m AS (SELECT *, sum(CASE WHEN pos = 1 OR NOT tiny THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos) AS grp FROM n),
+u AS (SELECT {key}, grp, string_agg(piece, ' ' ORDER BY pos) AS unit FROM m GROUP BY {key}, grp),
+units AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY grp) - 1 AS unit_pos, unit FROM u WHERE length(unit) >= 4)"""
+
+
+@query(f"WITH k AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), {_units_sql('k', 'id')} SELECT id, CAST(unit_pos AS INTEGER) AS unit_pos, unit FROM units")
+def split_conversation_units(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.posexplode(split_units(F.col("text"))).alias("unit_pos", "unit"))
+    return turns
+
+
+#: Reviews made of events, as the given texts hold no word of the lexicons. Both engines read this expression.
+REVIEW = """concat(CASE event_id % 6 WHEN 0 THEN 'It is very good. ' WHEN 1 THEN 'It is not great at all. ' WHEN 2 THEN 'Slightly slow today. ' WHEN 3 THEN 'Worth every penny. ' WHEN 4 THEN 'No vale la pena. ' ELSE '' END,
+CASE event_type WHEN 'error' THEN 'The app crashes without any error message and support never replied' WHEN 'purchase' THEN 'Great price, easy setup' WHEN 'click' THEN 'The checkout page takes forever, extremely slow loading' WHEN 'view' THEN 'Beautiful design and really intuitive navigation'
+ELSE 'The waiter ignored us while we waited an hour' END, CASE WHEN event_id % 4 = 0 THEN '; never reliable' WHEN event_id % 4 = 1 THEN '. Overall a fine experience!' ELSE '' END)"""
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type", "user_id", "ts", F.expr(REVIEW).alias("text"))
+
+
+_REVIEW_UNITS = f"r AS (SELECT event_id AS doc_id, event_type, {REVIEW} AS text FROM events), {_units_sql('r', 'doc_id')}, nu AS (SELECT doc_id, unit_pos, unit, {_normal('unit')} AS norm FROM units), tu AS (SELECT *, {_tokens('norm')} AS tokens FROM nu)"
+_PHRASES = "(VALUES " + ", ".join(f"({_q(p)}, {w}::DOUBLE)" for p, w in {**lx.POSITIVE_PHRASES, **lx.NEGATIVE_PHRASES}.items()) + ") AS ph(phrase, w)"
+_LEXICON = "(VALUES " + ", ".join(f"({_q(p)}, {w}::DOUBLE)" for p, w in {**lx.POSITIVE, **lx.NEGATIVE}.items()) + ") AS lex(word, w)"
+_MODS = "(VALUES " + ", ".join(f"({_q(p)}, {w}::DOUBLE)" for p, w in lx.MODIFIERS.items()) + ") AS mods(word, w)"
+_SCORES = f"""phs AS (SELECT norm, sum(w) AS w FROM (SELECT DISTINCT norm FROM tu) JOIN {_PHRASES} ON contains(norm, phrase) GROUP BY norm),
+du AS (SELECT norm, any_value(tokens) AS tokens FROM tu GROUP BY norm),
+tk AS (SELECT norm, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS i FROM du),
+md AS (SELECT norm, i, tok, coalesce(mods.w, 1.0) AS f, tok IN {_in(lx.NEGATION)} AS neg, tok = 'without' AS wo FROM tk LEFT JOIN {_MODS} ON tok = mods.word),
+lg AS (SELECT *, coalesce(lag(f, 1) OVER o, 1.0) * coalesce(lag(f, 2) OVER o, 1.0) AS m, coalesce(lag(neg, 1) OVER o, false) OR coalesce(lag(neg, 2) OVER o, false) OR coalesce(lag(neg, 3) OVER o, false) AS n3, coalesce(lag(wo, 1) OVER o, false) OR coalesce(lag(wo, 2) OVER o, false) OR coalesce(lag(wo, 3) OVER o, false) AS w3 FROM md WINDOW o AS (PARTITION BY norm ORDER BY i)),
+ws AS (SELECT lg.norm, sum(lex.w * m * CASE WHEN phs.norm IS NULL THEN 1.0 ELSE 0.6 END * CASE WHEN n3 AND NOT (lex.w < 0 AND w3 AND ({' OR '.join(f'contains(lg.norm, {_q(p)})' for p in lx.SAFE_PHRASES)})) THEN -1 ELSE 1 END) AS w FROM lg JOIN {_LEXICON} ON tok = lex.word LEFT JOIN phs ON lg.norm = phs.norm GROUP BY lg.norm),
+raw AS (SELECT doc_id, unit_pos, unit, tu.norm, tokens, coalesce(phs.w, 0) + coalesce(ws.w, 0) AS raw FROM tu LEFT JOIN phs ON tu.norm = phs.norm LEFT JOIN ws ON tu.norm = ws.norm)"""
+
+
+def _review_units(spark, sf_dir):
+    units = reviews(spark, sf_dir).select("doc_id", "event_type", F.posexplode(split_units(F.col("text"))).alias("unit_pos", "unit"))
+    units = units.withColumn("norm", tx.normalize(F.col("unit")))
+    return units.withColumn("tokens", tx.tokens(F.col("norm")))
+
+
+@query(f"WITH {_REVIEW_UNITS}, {_SCORES} SELECT doc_id, CAST(unit_pos AS INTEGER) AS unit_pos, round(raw, 6) AS raw, round(tanh(raw / 2), 6) AS score, CASE WHEN tanh(raw / 2) > {THRESHOLD} THEN 'positive' WHEN tanh(raw / 2) < -{THRESHOLD} THEN 'negative' ELSE 'neutral' END AS sentiment FROM raw")
+def sentiment_templated(spark, sf_dir):
+    units = _review_units(spark, sf_dir).withColumn("raw", raw_sentiment(F.col("norm"), F.col("tokens")))
+    score = normalized_score(F.col("raw"))
+    return units.select("doc_id", "unit_pos", F.round("raw", 6).alias("raw"), F.round(score, 6).alias("score"), sentiment_label(score).alias("sentiment"))
+
+
+@query(f"WITH {_REVIEW_UNITS}, {_SCORES} SELECT norm, count(*) AS n, round(coalesce(any_value(w), 0), 6) AS phrase_score FROM tu LEFT JOIN phs USING (norm) GROUP BY norm")
+def phrase_sentiment(spark, sf_dir):
+    return _review_units(spark, sf_dir).groupBy("norm").agg(F.count("*").alias("n")).withColumn("phrase_score", F.round(phrase_score(F.col("norm")), 6))
+
+
+@query(f"""WITH {_REVIEW_UNITS}, tok AS (SELECT doc_id, unit_pos, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM tu)
+SELECT doc_id, CAST(unit_pos AS INTEGER) AS unit_pos, CAST(i - 1 AS INTEGER) AS pos, t AS token FROM tok a WHERE t IN {_in([*lx.POSITIVE, *lx.NEGATIVE])} AND EXISTS (SELECT 1 FROM tok b WHERE b.doc_id = a.doc_id AND b.unit_pos = a.unit_pos AND b.i BETWEEN a.i - 3 AND a.i - 1 AND b.t IN {_in(lx.NEGATION)})""")
+def sentiment_negation(spark, sf_dir):
+    tokens = _review_units(spark, sf_dir).select("doc_id", "unit_pos", F.posexplode("tokens").alias("pos", "token"))
+    w = Window.partitionBy("doc_id", "unit_pos").orderBy("pos").rowsBetween(-3, -1)
+    negated = F.coalesce(F.max(F.col("token").isin(lx.NEGATION)).over(w), F.lit(False))
+    return tokens.withColumn("negated", negated).filter(F.col("negated") & F.col("token").isin([*lx.POSITIVE, *lx.NEGATIVE])).drop("negated")
+
+
+# Aspects
+
+
+def _seed_index(taxonomy: dict[str, list[str]]) -> list[tuple[str, str, bool]]:
+    """(aspect, word or phrase, is a phrase) for the SQL, from seeds that need no repair."""
+    import re
+    import unicodedata
+
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s.lower().strip()) if not unicodedata.combining(c))
+    out = set()
+    for aspect, seeds in taxonomy.items():
+        for s in map(plain, seeds):
+            out |= {(aspect, w, False) for w in re.findall(tx.TOKEN, s) if w not in lx.STOP_WORDS and w not in lx.GENERIC_SEEDS}
+            out |= {(aspect, s, True)} if " " in s else set()
+    return sorted(out)
+
+
+_SEEDS = "(VALUES " + ", ".join(f"({_q(a)}, {_q(s)}, {str(p).lower()})" for a, s, p in _seed_index(lx.SAAS)) + ") AS seed(aspect, seed, is_phrase)"
+
+
+@query(f"""WITH {_REVIEW_UNITS}, du AS (SELECT norm, any_value(tokens) AS tokens FROM tu GROUP BY norm), hit AS (SELECT norm, aspect, sum(CASE WHEN is_phrase THEN 1.6 ELSE 1.0 END) AS hits, any_value(len(tokens)) AS n FROM du JOIN {_SEEDS} ON CASE WHEN is_phrase THEN contains(norm, seed) ELSE list_contains(tokens, seed) END GROUP BY norm, aspect)
+SELECT doc_id, CAST(unit_pos AS INTEGER) AS unit_pos, aspect, round(least(1.0, CAST(hits AS DOUBLE) / greatest(1, n)), 6) AS overlap FROM tu JOIN hit USING (norm)""")
+def aspect_lexical_overlap(spark, sf_dir):
+    table_ = asp.taxonomy_table(spark, {"saas": lx.SAAS}).select(F.explode("aspects").alias("a"))
+    units = _review_units(spark, sf_dir).crossJoin(F.broadcast(table_))
+    words = F.size(F.array_intersect(F.array_distinct("tokens"), F.col("a.seeds")))
+    hits = words + 1.6 * F.size(F.filter("a.phrases", lambda p: F.col("norm").contains(p)))
+    overlap = F.least(F.lit(1.0), hits / F.greatest(F.lit(1), F.size("tokens")))
+    return units.select("doc_id", "unit_pos", F.col("a.name").alias("aspect"), F.round(overlap, 6).alias("overlap")).filter("overlap > 0")
+
+
+_ANCHORS = "(VALUES " + ", ".join(f"({_q(a)}, {_q(w)})" for a, ws in lx.ANCHORS["saas"].items() for w in ws) + ") AS an(aspect, word)"
+
+
+@query(f"WITH {_REVIEW_UNITS} SELECT doc_id, CAST(unit_pos AS INTEGER) AS unit_pos, aspect, CAST(count(*) AS BIGINT) AS hits FROM (SELECT DISTINCT doc_id, unit_pos, unnest(tokens) AS t FROM tu) JOIN {_ANCHORS} ON t = word GROUP BY ALL")
+def aspect_anchor_hits(spark, sf_dir):
+    anchors = F.broadcast(spark.createDataFrame([(a, w) for a, ws in lx.ANCHORS["saas"].items() for w in ws], "aspect string, token string"))
+    tokens = _review_units(spark, sf_dir).select("doc_id", "unit_pos", F.explode(F.array_distinct("tokens")).alias("token"))
+    return tokens.join(anchors, "token").groupBy("doc_id", "unit_pos", "aspect").agg(F.count("*").alias("hits"))
+
+
+@query()
+def aspect_assign(spark, sf_dir):
+    return asp.granulate(reviews(spark, sf_dir)).drop("names", "top_aspects")
+
+
+@query()
+def aspect_assign_custom(spark, sf_dir):
+    taxonomy = {"speed": ["slow", "fast", "takes forever", "loading"], "trust": ["crashes", "error message", "reliable"], "people": ["support", "waiter", "waited an hour"], "money": ["price", "worth every penny", "vale la pena"]}
+    return asp.granulate(reviews(spark, sf_dir), taxonomy).drop("names", "top_aspects")
+
+
+@query()
+def taxonomy_detect(spark, sf_dir):
+    found = asp.detect_taxonomy(reviews(spark, sf_dir))
+    return found.select("doc_id", "taxonomy", F.round("margin", 6).alias("margin"), F.round(F.col("scores")[0]["score"], 6).alias("score"))
+
+
+@query()
+def aspect_aggregate(spark, sf_dir):
+    return asp.aspect_aggregate(asp.granulate(reviews(spark, sf_dir))).drop("first_seen")
+
+
+@query()
+def aspect_per_cluster(spark, sf_dir):
+    docs = reviews(spark, sf_dir)
+    return asp.aspect_aggregate(asp.granulate(docs).join(docs.select("doc_id", "event_type"), "doc_id"), ["event_type"]).drop("first_seen")
+
+
+@query()
+def aspect_document_summary(spark, sf_dir):
+    return asp.document_summary(asp.granulate(reviews(spark, sf_dir)))
+
+
+@query()
+def aspect_highlights(spark, sf_dir):
+    return asp.highlights(asp.granulate(reviews(spark, sf_dir))).select("doc_id", "rank", "unit_pos", "aspect", "excerpt", "sentiment", "impact_score")
+
+
+@query()
+def other_rate(spark, sf_dir):
+    return asp.other_rate(asp.granulate(reviews(spark, sf_dir)))
+
+
+# Clusters
+
+
+@query("SELECT label, count(*) AS size FROM embeddings GROUP BY label")
+def cluster_sizes(spark, sf_dir):
+    return cl.cluster_sizes(table(spark, sf_dir, "embeddings"), "label")
+
+
+_CENTROIDS = "x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS c FROM x GROUP BY ALL)"
+
+
+@query(f"WITH {_CENTROIDS} SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(c, 6) AS x FROM c")
+def cluster_centroids(spark, sf_dir):
+    found = cl.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return found.select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH {_CENTROIDS} SELECT vec_id, x.label, round(sqrt(sum((x - c) * (x - c))), 5) AS distance FROM x JOIN c ON x.label = c.label AND x.i = c.i GROUP BY ALL")
+def centroid_distance(spark, sf_dir):
+    return cl.centroid_distance(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding").withColumn("distance", F.round("distance", 5))
+
+
+@query(f"""WITH {_CENTROIDS}, d AS (SELECT vec_id, c.label, sqrt(sum((x - c) * (x - c))) AS d FROM x JOIN c ON x.i = c.i GROUP BY ALL), r AS (SELECT vec_id, label, d, lead(d) OVER w AS e, row_number() OVER w AS n FROM d WINDOW w AS (PARTITION BY vec_id ORDER BY d, label))
+SELECT vec_id, label, round(d, 5) AS distance, round(e - d, 5) AS margin FROM r WHERE n = 1""")
+def classify_nearest(spark, sf_dir):
+    items = table(spark, sf_dir, "embeddings")
+    found = cl.nearest_centroid(items, cl.centroids(items, "label", "embedding"), "vec_id", "label", "embedding")
+    return found.select("vec_id", "label", F.round("distance", 5).alias("distance"), F.round("margin", 5).alias("margin"))
+
+
+@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM p)
+SELECT vec_id, round(greatest(-3, least(3, (x - mx) / CASE WHEN sx < 1e-6 THEN 1 ELSE sx END)), 5) AS x_scaled, round(greatest(-3, least(3, (y - my) / CASE WHEN sy < 1e-6 THEN 1 ELSE sy END)), 5) AS y_scaled FROM p, s""")
+def map_scaled_points(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    found = cl.scale_points(points, ["x", "y"])
+    return found.select("vec_id", F.round("x_scaled", 5).alias("x_scaled"), F.round("y_scaled", 5).alias("y_scaled"))
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)
+SELECT source, lang, round(n / sum(n) OVER (PARTITION BY source), 4) AS share FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1""")
+def dominant_cluster_share(spark, sf_dir):
+    return cl.dominant_cluster(table(spark, sf_dir, "documents"), "source", "lang")
+
+
+@query("""WITH e AS (SELECT 'r' || r_regionkey AS node_id, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+m AS (SELECT 's' || s_suppkey AS node_id, s_suppkey FROM supplier UNION ALL SELECT 'n' || s_nationkey, s_suppkey FROM supplier UNION ALL SELECT 'r' || n_regionkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT node_id, count(*) AS n_leaves, CAST(sum(s_suppkey) AS BIGINT) AS key_sum FROM m GROUP BY node_id""")
+def node_members_recursive(spark, sf_dir):
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    none, leaf = F.lit(None).cast("string"), F.lit(None).cast("long")
+    region = table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("node_id"), none.alias("parent_id"), leaf.alias("s_suppkey"))
+    nation = table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("node_id"), name("r", "n_regionkey").alias("parent_id"), leaf.alias("s_suppkey"))
+    supplier = table(spark, sf_dir, "supplier").select(name("s", "s_suppkey").alias("node_id"), name("n", "s_nationkey").alias("parent_id"), F.col("s_suppkey").cast("long"))
+    return cl.node_members(region.union(nation).union(supplier), "s_suppkey").groupBy("node_id").agg(F.count("*").alias("n_leaves"), F.sum("s_suppkey").alias("key_sum"))
+
+
+@query("""WITH f AS (SELECT label, min(vec_id) AS first_id FROM embeddings GROUP BY label) SELECT vec_id, CAST(dense_rank() OVER (ORDER BY first_id) - 1 AS INTEGER) AS label FROM embeddings JOIN f USING (label)""")
+def renumbered_clusters(spark, sf_dir):
+    return cl.renumber(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id").select("vec_id", "label")
+
+
+@query()
+def cluster_representatives(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("distance", F.abs(F.col("n_chars") - 500).cast("double"))
+    return cl.representatives(docs, "doc_id", "source", "distance", F.col("text"))
+
+
+@query()
+def ward_hierarchy(spark, sf_dir):
+    assigned, _ = cl.hierarchy(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return assigned
+
+
+@query()
+def hierarchy_nodes(spark, sf_dir):
+    _, nodes = cl.hierarchy(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return nodes
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    return cl.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+
+
+@query()
+def pca_map(spark, sf_dir):
+    return project_2d(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def svd_embed(spark, sf_dir):
+    return embed(table(spark, sf_dir, "documents"), dims=16, vocabulary=512)
+
+
+# Labels
+
+
+@query(f"""WITH r AS (SELECT event_type, {REVIEW} AS text FROM events), w AS (SELECT event_type, list_distinct(flatten(list({_words('text')}))) AS w FROM r GROUP BY event_type),
+l AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_q(n)}, {_list(ws)})' for i, (n, ws) in enumerate(lx.LABEL_RULES.items()))}) AS t(i, label, keys)), s AS (SELECT event_type, i, label, len(list_intersect(w, keys)) AS n FROM w, l)
+SELECT event_type, CASE WHEN n > 0 THEN label END AS label FROM s QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, i) = 1""")
+def rule_label_from_terms(spark, sf_dir):
+    terms = reviews(spark, sf_dir).groupBy("event_type").agg(F.collect_set("text").alias("terms"))
+    return terms.select("event_type", lb.rule_label(F.col("terms")).alias("label"))
+
+
+@query(f"WITH {_GRAMS} SELECT source, count(*) AS n_terms, CAST(count(*) FILTER (WHERE {_informative('term')}) AS BIGINT) AS n_informative FROM c GROUP BY source")
+def informative_terms(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("source", tx.term_tokens(F.col("text")).alias("w"))
+    grams = w.select("source", F.explode(tx.ngrams(F.col("w"), 1, 3)).alias("term")).distinct()
+    return grams.groupBy("source").agg(F.count("*").alias("n_terms"), F.count_if(tx.is_informative(F.col("term"))).alias("n_informative"))
+
+
+@query()
+def candidate_labels(spark, sf_dir):
+    terms = tf.rank_terms(tf.weighted_terms(table(spark, sf_dir, "documents"), "source"), "source", 12)
+    listed = terms.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+    return listed.select("source", lb.candidate_labels(F.col("terms")).alias("candidates"), lb.label_from_terms(F.col("terms")).alias("label"), lb.keywords_are_diverse(F.col("terms")).alias("diverse"))
