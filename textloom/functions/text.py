@@ -154,10 +154,11 @@ def word_set(text: Column) -> Column:
 
 def ngrams(words: Column, low: int, high: int) -> Column:
     """All runs of low to high words, joined by a space."""
-    parts = []
-    for n in range(low, high + 1):
-        parts.append(F.when(F.size(words) >= n, _runs(words, n)).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+
+    def runs(w: Column) -> Column:
+        return F.concat(*[F.when(F.size(w) >= n, _runs(w, n)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)])
+
+    return let(words, runs)
 
 
 def _runs(words: Column, n: int) -> Column:
