@@ -16,13 +16,19 @@ FIELD = "<*>"
 def _masked(text: Column) -> Column:
     """The text with each line's tokens joined by one space, those with a digit as fields. As many lines as before."""
     # each step's result is used more than once, so it is bound to a name
-    return _let(F.translate(text, "\t\x0b\x0c\r", "    "), lambda a: _let(_single(a), lambda b: _let(F.trim(_tight(b)), _fields)))
+    return _let(_spaces(text), lambda a: _let(_single(a), lambda b: _let(F.trim(_tight(b)), _fields)))
 
 
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _spaces(text: Column) -> Column:
+    # to look for a byte is much cheaper than to translate every character
+    other = text.contains("\t") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\r")
+    return F.when(other, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+
+
 def _single(text: Column) -> Column:
     return F.when(text.contains("  "), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
 
