@@ -60,7 +60,8 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_D
     the line then is its own template. A template recurs if at least least_docs documents hold it, a document counting
     once for each different line; first_id is the least doc_id among them.
     """
-    lines = docs.select("doc_id", F.explode("lines").alias("line"))
+    # the outer form, as the plain one puts a filter before it that finds the lines a second time
+    lines = docs.select("doc_id", F.explode_outer("lines").alias("line")).filter("line is not null")
     lines = lines.select("doc_id", "line", _leaf(F.col("line")).alias("leaf"), _key(F.col("line")).alias("key"))
     distinct = scratch.keep(lines.groupBy("leaf", "key.k1", "key.k2").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id")))
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines"))
@@ -99,7 +100,7 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col:
     distinct = F.filter(F.array_distinct(masked), lambda x: x != "")
     facts = recurring_lines(docs.select(id_.alias("doc_id"), distinct.alias("lines")), scratch, least_docs)
 
-    places = docs.select(id_.alias("id__"), F.xxhash64(text).alias("mark__"), F.posexplode(masked).alias("pos", "line"))
+    places = docs.select(id_.alias("id__"), F.xxhash64(text).alias("mark__"), F.posexplode_outer(masked).alias("pos", "line"))
     places = places.filter("line <> ''").select("id__", "mark__", "pos", _key(F.col("line")).alias("key")).select("id__", "mark__", "pos", "key.k1", "key.k2")
     places = places.join(facts, ["k1", "k2"]).filter(F.col("id__") > F.col("first_id"))
     dropped = scratch.keep(places.groupBy("id__", "mark__").agg(F.collect_set("pos").alias("dropped__")))
