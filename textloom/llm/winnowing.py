@@ -74,11 +74,15 @@ def spliced(fingerprint: Column, edited: Column, same: Column, k: int = K, windo
     A gram is chosen or not by the windows that hold it. Up to the start of the last window inside the common part
     these are the same; from there on they lie in the text from window - 2 code points before.
     """
-    last = same - (k + window - 1)
-    start = F.greatest(F.lit(0), last + 2 - window)
-    kept = F.filter(fingerprint, lambda x: x["pos"] <= last)
-    fresh = F.transform(winnow(F.substring(edited, start + 1, F.lit(2**31 - 1)), k, window), lambda x: F.struct((x["pos"] + start).alias("pos"), x["hash"].alias("hash")))
-    return F.concat(kept, F.filter(fresh, lambda x: x["pos"] > last))
+
+    def joined(last: Column, start: Column) -> Column:
+        kept = F.filter(fingerprint, lambda x: x["pos"] <= last)
+        fresh = winnow(F.substring(edited, start + 1, F.lit(2**31 - 1)), k, window)
+        moved = F.transform(fresh, lambda x: F.struct((x["pos"] + start).alias("pos"), x["hash"].alias("hash")))
+        return F.concat(kept, F.filter(moved, lambda x: x["pos"] > last))
+
+    # bound to names: lengths of texts are not to be taken again for every gram
+    return _let(same - (k + window - 1), lambda last: _let(F.greatest(F.lit(0), last + 2 - window), lambda start: joined(last, start)))
 
 
 def likeness(a: Column, b: Column) -> Column:
