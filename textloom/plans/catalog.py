@@ -364,18 +364,20 @@ def taxonomy_detect(spark, sf_dir):
 
 @query()
 def aspect_aggregate(spark, sf_dir):
-    return asp.aspect_aggregate(asp.granulate(reviews(spark, sf_dir))).drop("first_seen")
+    # the aggregate reads its granules twice
+    return asp.aspect_aggregate(asp.granulate(reviews(spark, sf_dir)).persist()).drop("first_seen")
 
 
 @query()
 def aspect_per_cluster(spark, sf_dir):
     docs = reviews(spark, sf_dir)
-    return asp.aspect_aggregate(asp.granulate(docs).join(docs.select("doc_id", "event_type"), "doc_id"), ["event_type"]).drop("first_seen")
+    granules = asp.granulate(docs).join(docs.select("doc_id", "event_type"), "doc_id").persist()
+    return asp.aspect_aggregate(granules, ["event_type"]).drop("first_seen")
 
 
 @query()
 def aspect_document_summary(spark, sf_dir):
-    return asp.document_summary(asp.granulate(reviews(spark, sf_dir)))
+    return asp.document_summary(asp.granulate(reviews(spark, sf_dir)).persist())
 
 
 @query()
