@@ -130,8 +130,8 @@ def _scan(spark, automaton: SuffixAutomaton, text_at: int, kept: int) -> Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam = shared.value
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
                 n, spans, items = [], [], []
                 for t in part.column(text_at):
                     found = words(t.as_py())
@@ -200,7 +200,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import re
 
     word = re.compile(rb"[0-9a-z\x80-\xff]+", re.IGNORECASE)
-    for batch in batches:
+    for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, len(whole), 500)):
         out = []
         for t, spans in zip(batch.column(0), batch.column(1), strict=True):
             text, cut = t.as_py(), spans.as_py()

@@ -55,15 +55,17 @@ def _scores(place: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            out = np.empty(len(batch))
-            for i, t in enumerate(batch.column(text_at)):
-                x = place[term_ids(t.as_py(), memo)]
-                x = x[x >= 0]
-                v = factors[x]
-                out[i] = bias + linear[x].sum() + 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
-            score = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(score)], names=[*batch.schema.names[:kept], "score"])
+        for whole in batches:
+            for lo in range(0, len(whole), 500):
+                batch = whole.slice(lo, 500)
+                out = np.empty(len(batch))
+                for i, t in enumerate(batch.column(text_at)):
+                    x = place[term_ids(t.as_py(), memo)]
+                    x = x[x >= 0]
+                    v = factors[x]
+                    out[i] = bias + linear[x].sum() + 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
+                score = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(score)], names=[*batch.schema.names[:kept], "score"])
         pa.default_memory_pool().release_unused()
 
     return run
