@@ -52,6 +52,16 @@ def test_line_templates(spark):
     assert drop_recurring_lines(docs_of(spark, [])).count() == 0
 
 
+def test_passages_recur_in_two_documents(spark):
+    passage = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "qrstuvw")
+    short = " ".join(passage.split()[:40])
+    rows = [(1, f"one\n{passage}\n{short}", "en", "s"), (2, f"two\n{passage}\n{short}", "en", "s"), (3, f"three\n{passage} z", "en", "s")]
+    df = docs_of(spark, rows)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, df, "").collect()}
+    assert got == {1: rows[0][1], 2: f"two\n{short}", 3: rows[2][1]}
+    assert {r.n_dropped__ for r in drop_recurring_lines(df).collect()} == {0}
+
+
 def test_line_dedup_against_sql_on_random_lines(spark):
     rng = random.Random(8)
     heads = ["a b c", "a b d", "e", "f g 7"]

@@ -10,6 +10,8 @@ from .common import Scratch
 #: Leading tokens that lead down the tree, documents that make a template recurring, and the least share of a
 #: template's tokens that stay as they are.
 DEPTH, LEAST_DOCS, LEAST_SHARE = 3, 10, 0.5
+#: A line of so many tokens is a passage of its own, which recurs in so few documents where lengths count.
+LONG_TOKENS, LONG_DOCS = 50, 2
 FIELD = "<*>"
 
 
@@ -51,19 +53,23 @@ def _leaf(masked: Column) -> Column:
     return F.xxhash64(F.regexp_count(masked, F.lit(" ")), F.substring_index(masked, " ", DEPTH))
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS, long_docs: int | None = None) -> DataFrame:
     """k1, k2 (of a masked line) and first_id for the lines of recurring templates.
 
     docs has doc_id and lines (array of masked lines, distinct, none blank). A line descends by its token count and
     first DEPTH tokens to a leaf. There a token is kept where it stands if lines of at least least_docs documents have
     it at this place, and is a field otherwise; a template of which less than LEAST_SHARE is kept is too general, and
     the line then is its own template. A template recurs if at least least_docs documents hold it, a document counting
-    once for each different line; first_id is the least doc_id among them.
+    once for each different line; first_id is the least doc_id among them. With long_docs, so many documents suffice for
+    templates of LONG_TOKENS tokens and more.
     """
+    long = [] if long_docs is None else [(F.regexp_count("line", F.lit(" ")) >= LONG_TOKENS - 1).alias("long")]
+    named_long = ["long"] if long else []
+    least = F.when(F.col("long"), long_docs).otherwise(least_docs) if long else F.lit(least_docs)
     # the outer form, as the plain one puts a filter before it that finds the lines a second time
     lines = docs.select("doc_id", F.explode_outer("lines").alias("line")).filter("line is not null")
-    lines = lines.select("doc_id", "line", _leaf(F.col("line")).alias("leaf"), _key(F.col("line")).alias("key"))
-    distinct = scratch.keep(lines.groupBy("leaf", "key.k1", "key.k2").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id")))
+    lines = lines.select("doc_id", "line", _leaf(F.col("line")).alias("leaf"), _key(F.col("line")).alias("key"), *long)
+    distinct = scratch.keep(lines.groupBy("leaf", "key.k1", "key.k2", *named_long).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id")))
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines"))
     # in other leaves no template recurs, or the one line is the template
     leaves = scratch.keep(leaves.filter((F.col("leaf_docs") >= least_docs) & (F.col("leaf_lines") > 1)).select("leaf"))
@@ -76,12 +82,13 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_D
     )
     general = placed.filter((F.col("n_kept") < F.col("n")) & (F.col("n_kept") + DEPTH >= LEAST_SHARE * (F.col("n") + DEPTH)))
     general = scratch.keep(general.select("k1", "k2", F.xxhash64("leaf", "found.token").alias("t1"), F.xxhash64(F.lit(7), "leaf", "found.token").alias("t2")))
-    named = distinct.join(general, ["k1", "k2"], "left").select("k1", "k2", "docs", "first_id", F.coalesce("t1", "k1").alias("t1"), F.coalesce("t2", "k2").alias("t2"))
-    templates = scratch.keep(named.groupBy("t1", "t2").agg(F.sum("docs").alias("n"), F.min("first_id").alias("first")).filter(F.col("n") >= least_docs))
+    named = distinct.join(general, ["k1", "k2"], "left").select("k1", "k2", "docs", "first_id", F.coalesce("t1", "k1").alias("t1"), F.coalesce("t2", "k2").alias("t2"), *named_long)
+    # lines of one template have one number of tokens
+    templates = scratch.keep(named.groupBy("t1", "t2", *named_long).agg(F.sum("docs").alias("n"), F.min("first_id").alias("first")).filter(F.col("n") >= least))
     return scratch.keep(named.join(templates, ["t1", "t2"]).select("k1", "k2", F.col("first").alias("first_id")))
 
 
-def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None) -> DataFrame:
     """docs with its own columns and n_lines__, n_dropped__ (int): without the lines of recurring templates.
 
     Lines end at \\n. A template's lines stay in the document with the least doc_id that holds one, so nothing is lost
@@ -98,7 +105,7 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col:
     masked = F.split(_masked(text), "\n")
     id_ = F.coalesce(F.col(id_col).cast("long"), low)
     distinct = F.filter(F.array_distinct(masked), lambda x: x != "")
-    facts = recurring_lines(docs.select(id_.alias("doc_id"), distinct.alias("lines")), scratch, least_docs)
+    facts = recurring_lines(docs.select(id_.alias("doc_id"), distinct.alias("lines")), scratch, least_docs, long_docs)
 
     places = docs.select(id_.alias("id__"), F.xxhash64(text).alias("mark__"), F.posexplode_outer(masked).alias("pos", "line"))
     places = places.filter("line <> ''").select("id__", "mark__", "pos", _key(F.col("line")).alias("key")).select("id__", "mark__", "pos", "key.k1", "key.k2")
