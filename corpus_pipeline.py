@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates, and passages in two documents and more, go but for their first document; so do
     documents that lose all their lines."""
-    left = drop_recurring_lines(docs, long_docs=LONG_DOCS)
+    left = drop_recurring_lines(docs, long_docs=LONG_DOCS, exact=True)
     return left.filter((F.col("n_dropped__") == 0) | (F.trim("text") != "")).select(*docs.columns)
 
 

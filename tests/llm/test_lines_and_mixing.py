@@ -62,6 +62,52 @@ def test_passages_recur_in_two_documents(spark):
     assert {r.n_dropped__ for r in drop_recurring_lines(df).collect()} == {0}
 
 
+def test_lines_recur_in_different_documents(spark):
+    names = "ann bob cal dee eve fay gus hal ida jon kim lee".split()
+    posted = lambda who: [f"Posted by the author {n} on May 3 in archive" for n in who]
+    in_two = [(1, "\n".join(["first", *posted(names[:5])]), "en", "s"), (2, "\n".join(["second", *posted(names[5:10])]), "en", "s")]
+    in_list = [(3, "\n".join(posted(names[:10])), "en", "s"), (4, "\n".join(["page", *posted(names[10:11])]), "en", "s")]
+    numbers = [(i, f"{i} 7{i} 12.{i}\n<*> {i} x", "en", "s") for i in range(12)]
+    kept = lambda rows: {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs_of(spark, rows), "").collect()}
+    for rows in (in_two, in_list, numbers):
+        assert kept(rows) == {i: t for i, t, _, _ in rows}
+    # in twelve documents the template goes from all but the first, and so does a line of the same numbers
+    rows = [(i, f"{n}\n{posted([n])[0]}\n2024-01-01  0\nPage {i} of {i} pages in all", "en", "s") for i, n in enumerate(names)]
+    assert kept(rows) == {i: t if i == 0 else names[i] for i, t, _, _ in rows}
+
+
+def brute(rows, least_docs=10, long=50, long_docs=2):
+    """Lines dropped of each document, as the exact form has it."""
+    real = lambda t: "<*>" not in t and not any(c.isdigit() for c in t)
+    forms = {}
+    for i, t in rows:
+        for pos, line in enumerate(t.split("\n")):
+            p = line.split()
+            m = ["<*>" if any(c.isdigit() for c in x) else x for x in p]
+            if p:
+                forms[i, pos] = tuple(p if "<*>" in " ".join(m) and sum(map(real, m)) < 0.5 * len(m) else m)
+    seen, docs = {}, {}
+    for (i, _), f in forms.items():
+        for at in range(3, len(f)):
+            seen.setdefault((len(f), f[:3], at, f[at]), set()).add(i)
+    for (i, _), f in forms.items():
+        stays = [real(f[at]) and len(seen[len(f), f[:3], at, f[at]]) >= least_docs for at in range(3, len(f))]
+        general = not all(stays) and sum(stays) + sum(map(real, f[:3])) >= 0.5 * len(f)
+        template = (True, f[:3], *(x if s else "<*>" for x, s in zip(f[3:], stays, strict=True))) if general else (False, f)
+        docs.setdefault(template, {}).setdefault(i, []).append((i, _))
+    gone = [place for held in docs.values() for i, places in held.items() for place in places if len(held) >= (long_docs if len(forms[place]) >= long else least_docs) and i > min(held)]
+    return {i: sum(1 for j, _ in gone if j == i) for i, _ in rows}
+
+
+def test_exact_lines_against_brute_force(spark):
+    rng = random.Random(11)
+    heads = ["a b c", "a b d", "e", "f g 7", "4 5 6", "h " * 48 + "i"]
+    lines = lambda: "\n".join(rng.choice(heads) + " " + " ".join(rng.choices(["t", "u", "v", "w", "8", "9"], k=rng.randrange(0, 5))) for _ in range(rng.randrange(1, 8)))
+    rows = [(i, lines()) for i in range(120)]
+    got = drop_recurring_lines(docs_of(spark, [(i, t, "en", "s") for i, t in rows]), long_docs=2, exact=True)
+    assert {r.doc_id: r.n_dropped__ for r in got.collect()} == brute(rows)
+
+
 def test_line_dedup_against_sql_on_random_lines(spark):
     rng = random.Random(8)
     heads = ["a b c", "a b d", "e", "f g 7"]

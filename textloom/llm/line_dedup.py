@@ -53,7 +53,26 @@ def _leaf(masked: Column) -> Column:
     return F.xxhash64(F.regexp_count(masked, F.lit(" ")), F.substring_index(masked, " ", DEPTH))
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS, long_docs: int | None = None) -> DataFrame:
+def _constants(tokens: Column) -> Column:
+    """Tokens that are neither fields nor hold a digit."""
+    return F.size(F.filter(tokens, _constant))
+
+
+def _constant(token: Column) -> Column:
+    return ~token.contains(FIELD) & ~token.rlike("[0-9]")
+
+
+def _apart(text: Column, masked: Column) -> Column:
+    """The masked lines, but those of which less than LEAST_SHARE is constant with their values."""
+    plain = _let(_spaces(text), lambda a: _let(_single(a), lambda b: F.split(F.trim(_tight(b)), "\n")))
+
+    def line(m: Column, p: Column) -> Column:
+        return F.when(m.contains(FIELD), _let(F.split(m, " "), lambda t: F.when(_constants(t) < LEAST_SHARE * F.size(t), p).otherwise(m))).otherwise(m)
+
+    return _let(F.split(masked, "\n"), lambda m: F.when(text.rlike("[0-9]") | text.contains(FIELD), F.zip_with(m, plain, line)).otherwise(m))
+
+
+def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS, long_docs: int | None = None, exact: bool = False) -> DataFrame:
     """k1, k2 (of a masked line) and first_id for the lines of recurring templates.
 
     docs has doc_id and lines (array of masked lines, distinct, none blank). A line descends by its token count and
@@ -62,6 +81,10 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_D
     the line then is its own template. A template recurs if at least least_docs documents hold it, a document counting
     once for each different line; first_id is the least doc_id among them. With long_docs, so many documents suffice for
     templates of LONG_TOKENS tokens and more.
+
+    With exact, documents are counted by their different ids, also for a token at its place, and only constant tokens
+    count as kept. The result then has k1, k2, t1, t2 (the template) and least, for all templates that can reach their
+    threshold; the caller counts the documents where it meets the lines again.
     """
     long = [] if long_docs is None else [(F.regexp_count("line", F.lit(" ")) >= LONG_TOKENS - 1).alias("long")]
     named_long = ["long"] if long else []
@@ -73,43 +96,70 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_D
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines"))
     # in other leaves no template recurs, or the one line is the template
     leaves = scratch.keep(leaves.filter((F.col("leaf_docs") >= least_docs) & (F.col("leaf_lines") > 1)).select("leaf"))
-    mixed = lines.join(leaves, "leaf").groupBy("leaf", "line").agg(F.count("*").alias("docs"))
-    mixed = mixed.select("leaf", _key(F.col("line")).alias("key"), "docs", F.slice(F.split("line", " "), DEPTH + 1, 2**31 - 1).alias("rest")).filter(F.size("rest") > 0)
-    tokens = scratch.keep(mixed.select("leaf", "key.k1", "key.k2", "docs", F.posexplode("rest").alias("pos", "token")))
-    stable = scratch.keep(tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf", "pos", "token", F.lit(True).alias("stays")))
-    placed = tokens.join(stable, ["leaf", "pos", "token"], "left").groupBy("leaf", "k1", "k2").agg(
+    held = lines.join(leaves, "leaf")
+    if exact:
+        held = scratch.keep(held.select("doc_id", "leaf", "line"))
+    mixed = held.groupBy("leaf", "line").agg((F.count_distinct("doc_id") if exact else F.count("*")).alias("docs"))
+    head = [_constants(F.slice(F.split("line", " "), 1, DEPTH)).alias("head")] if exact else []
+    mixed = mixed.select("leaf", _key(F.col("line")).alias("key"), "docs", *head, F.slice(F.split("line", " "), DEPTH + 1, 2**31 - 1).alias("rest")).filter(F.size("rest") > 0)
+    named_head = ["head"] if exact else []
+    tokens = scratch.keep(mixed.select("leaf", "key.k1", "key.k2", "docs", *named_head, F.posexplode("rest").alias("pos", "token")))
+    places = tokens.filter(_constant(F.col("token"))) if exact else tokens
+    stable = places.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"), *([F.max("docs").alias("most")] if exact else [])).filter(F.col("n") >= least_docs)
+    if exact:
+        stable = _stable(scratch.keep(stable), tokens, held, least_docs)
+    stable = scratch.keep(stable.select("leaf", "pos", "token", F.lit(True).alias("stays")))
+    placed = tokens.join(stable, ["leaf", "pos", "token"], "left").groupBy("leaf", "k1", "k2", *named_head).agg(
         F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("stays"), F.col("token")).otherwise(FIELD).alias("token")))).alias("found"), F.count("stays").alias("n_kept"), F.count("*").alias("n")
     )
-    general = placed.filter((F.col("n_kept") < F.col("n")) & (F.col("n_kept") + DEPTH >= LEAST_SHARE * (F.col("n") + DEPTH)))
+    general = placed.filter((F.col("n_kept") < F.col("n")) & (F.col("n_kept") + (F.col("head") if exact else DEPTH) >= LEAST_SHARE * (F.col("n") + DEPTH)))
     general = scratch.keep(general.select("k1", "k2", F.xxhash64("leaf", "found.token").alias("t1"), F.xxhash64(F.lit(7), "leaf", "found.token").alias("t2")))
     named = distinct.join(general, ["k1", "k2"], "left").select("k1", "k2", "docs", "first_id", F.coalesce("t1", "k1").alias("t1"), F.coalesce("t2", "k2").alias("t2"), *named_long)
     # lines of one template have one number of tokens
     templates = scratch.keep(named.groupBy("t1", "t2", *named_long).agg(F.sum("docs").alias("n"), F.min("first_id").alias("first")).filter(F.col("n") >= least))
+    if exact:
+        return scratch.keep(named.join(templates.select("t1", "t2"), ["t1", "t2"]).select("k1", "k2", "t1", "t2", least.alias("least")))
     return scratch.keep(named.join(templates, ["t1", "t2"]).select("k1", "k2", F.col("first").alias("first_id")))
 
 
-def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None) -> DataFrame:
+def _stable(found: DataFrame, tokens: DataFrame, held: DataFrame, least_docs: int) -> DataFrame:
+    """Those of found (leaf, pos, token, most: documents of the token's most frequent line) that so many different
+    documents hold. Only where no line alone is in enough are the documents of all lines brought together."""
+    at = ["leaf", "pos", "token"]
+    unsure = tokens.join(found.filter(F.col("most") < least_docs).select(*at), at).select(*at, "k1", "k2")
+    ids = held.select("doc_id", _key(F.col("line")).alias("key")).select("doc_id", "key.k1", "key.k2")
+    counted = unsure.join(ids, ["k1", "k2"]).groupBy(*at).agg(F.count_distinct("doc_id").alias("n"))
+    return found.filter(F.col("most") >= least_docs).select(*at).union(counted.filter(F.col("n") >= least_docs).select(*at))
+
+
+def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None, exact: bool = False) -> DataFrame:
     """docs with its own columns and n_lines__, n_dropped__ (int): without the lines of recurring templates.
 
     Lines end at \\n. A template's lines stay in the document with the least doc_id that holds one, so nothing is lost
     altogether, and go from all others; blank lines stay. See recurring_lines for what a template is. Texts that lose
     no line are left as they are; n_chars, where docs has it, is counted anew for the others. A null text stays null
     and has no lines. Null ids come before any other id. Rows with one doc_id are told apart by their text, and equal
-    rows are treated alike. An empty table gives an empty result.
+    rows are treated alike. An empty table gives an empty result. With exact, lines of which less than LEAST_SHARE is
+    constant, such as rows of numbers, recur only with their values.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     # stands for the null id, below all others
     low = F.lit(-(2**63))
     text = F.col(text_col).cast("string")
     split = F.split(text, "\n")
-    masked = F.split(_masked(text), "\n")
+    masked = _apart(text, _masked(text)) if exact else F.split(_masked(text), "\n")
     id_ = F.coalesce(F.col(id_col).cast("long"), low)
     distinct = F.filter(F.array_distinct(masked), lambda x: x != "")
-    facts = recurring_lines(docs.select(id_.alias("doc_id"), distinct.alias("lines")), scratch, least_docs, long_docs)
+    facts = recurring_lines(docs.select(id_.alias("doc_id"), distinct.alias("lines")), scratch, least_docs, long_docs, exact)
 
     places = docs.select(id_.alias("id__"), F.xxhash64(text).alias("mark__"), F.posexplode_outer(masked).alias("pos", "line"))
     places = places.filter("line <> ''").select("id__", "mark__", "pos", _key(F.col("line")).alias("key")).select("id__", "mark__", "pos", "key.k1", "key.k2")
-    places = places.join(facts, ["k1", "k2"]).filter(F.col("id__") > F.col("first_id"))
+    places = places.join(facts, ["k1", "k2"])
+    if exact:
+        places = scratch.keep(places.select("id__", "mark__", "pos", "t1", "t2", "least"))
+        counted = places.groupBy("t1", "t2", "least").agg(F.count_distinct("id__").alias("n"), F.min("id__").alias("first_id"))
+        places = places.join(scratch.keep(counted.filter(F.col("n") >= F.col("least")).select("t1", "t2", "first_id")), ["t1", "t2"])
+    places = places.filter(F.col("id__") > F.col("first_id"))
     dropped = scratch.keep(places.groupBy("id__", "mark__").agg(F.collect_set("pos").alias("dropped__")))
 
     names = docs.columns
