@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch, table
 from textloom.llm.decontaminate import decontaminate
-from textloom.llm.line_dedup import LONG_DOCS, drop_recurring_lines
+from textloom.llm.line_dedup import drop_recurring_lines
 from textloom.llm.minhash_dedup import near_duplicates
 from textloom.llm.mixing import mix
 from textloom.llm.queries import lang_weight, source_levels
@@ -21,9 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates, and passages in two documents and more, go but for their first document; so do
-    documents that lose all their lines."""
-    left = drop_recurring_lines(docs, long_docs=LONG_DOCS, exact=True)
+    """Lines of recurring templates go but for their first document; so do documents that lose all their lines."""
+    left = drop_recurring_lines(docs, exact=True)
     return left.filter((F.col("n_dropped__") == 0) | (F.trim("text") != "")).select(*docs.columns)
 
 

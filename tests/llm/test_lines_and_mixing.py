@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from textloom.llm import queries as q
 from textloom.llm.common import table
-from textloom.llm.line_dedup import drop_recurring_lines
+from textloom.llm.line_dedup import LONG_DOCS, drop_recurring_lines
 from textloom.llm.mixing import budgets, mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, budget int"
@@ -57,7 +57,7 @@ def test_passages_recur_in_two_documents(spark):
     short = " ".join(passage.split()[:40])
     rows = [(1, f"one\n{passage}\n{short}", "en", "s"), (2, f"two\n{passage}\n{short}", "en", "s"), (3, f"three\n{passage} z", "en", "s")]
     df = docs_of(spark, rows)
-    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, df, "").collect()}
+    got = {r.doc_id: r.text for r in drop_recurring_lines(df, long_docs=LONG_DOCS).collect()}
     assert got == {1: rows[0][1], 2: f"two\n{short}", 3: rows[2][1]}
     assert {r.n_dropped__ for r in drop_recurring_lines(df).collect()} == {0}
 
