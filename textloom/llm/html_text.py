@@ -27,163 +27,313 @@ IMPLIED = {
     "tr": (frozenset(["tr", "td", "th"]), frozenset(["table", "tbody", "thead", "tfoot"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 }
-
-#: Elements that are never the article's text, and words in classes, ids and roles that tell the same.
-SKIPPED = frozenset("nav footer aside form script style noscript template iframe button select option textarea input head svg canvas object embed audio video map dialog menu search title".split())
-SKIP_WORDS = frozenset(
+TABLE_PARTS = frozenset("caption tbody td tfoot th thead tr".split())
+CELLS = frozenset("caption td th".split())
+P_BARRIERS = frozenset("table caption td th button object".split())
+IN_HEAD = frozenset("base head html link meta noscript script style template title".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote".split())
+
+#: Elements that are never the article's text.
+SKIPPED = frozenset("nav footer aside script style noscript template iframe button select option textarea input head svg canvas object embed audio video map dialog menu search title".split())
+#: Elements that are not unless they hold nearly all of the page's text.
+MARKED = frozenset(["form", "header"])
+#: A class, id or role made of these words alone (and of neutral ones) marks its element in the same way.
+MARK_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar banner cookie cookies consent notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments commentlist disqus respond "
-    "reply replies share sharing social related recommended recommendations widget pagination pager toolbar skip complementary contentinfo search".split()
+    "newsletter subscribe subscription signup login ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion disqus respond "
+    "share sharing social related recommended recommendations widget widgets pagination pager toolbar skip complementary contentinfo search".split()
 )
-#: Parts of a document that head the article rather than the site.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+NEUTRAL_WORDS = frozenset("site page main global top bottom left right primary secondary box bar block slot list area section wrap wrapper container button buttons links link item items form group unit inner outer bottom text gdpr".split())
+#: Within these, and where a class or id is one of the names, a header is the article's own.
 MAIN = frozenset(["article", "main"])
+ARTICLE_NAMES = frozenset("post entry article story hentry content".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
+_WORDS = re.compile(r"[a-z]+|[0-9]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
+_CLOSE = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
+
 
+def _mark(token: str) -> int:
+    """Of one class, id or role: 1 if its words tell of something beside the article, 2 of readers' comments, else 0."""
+    words = _WORDS.findall(_HUMP.sub("-", token).lower())
+    known = [w for w in words if w in MARK_WORDS or w in COMMENT_WORDS]
+    if not known or any(w not in MARK_WORDS and w not in COMMENT_WORDS and w not in NEUTRAL_WORDS and not w.isdigit() for w in words):
+        return 0
+    return 2 if any(w in COMMENT_WORDS for w in known) else 1
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """A path step (tag and classes, digits as #) and whether the element is to be skipped."""
-    classes, words = "", []
+
+def _describe(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """A path step (tag and classes, digits as #), the mark of the names, and whether they are those of an article."""
+    classes, mark, own = "", 0, False
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            words += _WORDS.findall(value)
-            if m[1].lower() == "class" and value.split():
-                classes = "." + ".".join(sorted(_DIGITS.sub("#", x) for x in set(value.split())))
-    skip = tag in SKIPPED or (tag not in MAIN and tag not in ("html", "body") and not SKIP_WORDS.isdisjoint(words))
-    return tag + classes, skip
+            tokens = html.unescape(m[2] or m[3] or m[4] or "").split()
+            if m[1].lower() == "class" and tokens and not classes:
+                classes = "." + ".".join(sorted({_DIGITS.sub("#", x.lower()) for x in tokens}))
+            for t in set(tokens):
+                mark = max(mark, _mark(t))
+                own = own or not ARTICLE_NAMES.isdisjoint(_WORDS.findall(t.lower()))
+    return tag + classes, 0 if tag in MAIN or tag in ("html", "body") else mark, own
 
 
 class Page:
-    """Blocks of text in page order, each with the path of steps above it and whether it stands in a skipped part."""
+    """The elements of a page and its blocks of text in page order. One forward pass; time and space are linear.
+
+    Elements are numbered from 0 (the page) in the order of their start tags. `node` numbers their paths: elements with
+    equal steps (tag and classes) all the way up have one number.
+    """
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []  # path of the parent, text, characters in links
+        self.parent, self.node, self.tag, self.mark, self.own = [-1], [0], [""], [0], [False]
+        self.above, self.step = [-1], [""]  # of paths: the path above and the last step
+        self._known: dict[tuple[int, str], int] = {}
+        self._pieces: list[tuple[int, str, bool] | None] = []  # element, text, in a link; None ends a block
         self._parse(source)
+        self._lift()
+        self._join()
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, str, bool]] = []  # tag, step, skipped
-        text: list[str] = []
-        linked = 0
-        block_path: tuple[str, ...] = ()
-
-        def flush() -> None:
-            nonlocal linked
-            found = _SPACE.sub(" ", html.unescape("".join(text))).strip() if text else ""
-            if found:
-                self.blocks.append((block_path, found, linked))
-            text.clear()
-            linked = 0
-
-        def skipped() -> bool:
-            return bool(stack) and stack[-1][2]
-
-        def pop(to: int) -> None:
-            nonlocal block_path
-            if any(t in BLOCK for t, _, _ in stack[to:]):
-                flush()
-            del stack[to:]
-            block_path = path()
-
-        def path() -> tuple[str, ...]:
-            """Steps down to the nearest block element."""
-            last = max((i for i, s in enumerate(stack) if s[0] in BLOCK), default=-1)
-            return tuple(s[1] for s in stack[: last + 1])
+        open_: list[int] = [0]  # elements; those that a misplaced end tag has ended stay, with their tag in ended
+        ended: set[int] = set()
+        at_depth: dict[str, list[int]] = {}  # depths of the open elements of a tag
+        skipped_at = 0  # depth of the outermost skipped element
+        own: list[int] = []  # depths of elements in which a header is the article's
+        pieces = self._pieces
+
+        def deepest(tags) -> int:
+            return max((at_depth[t][-1] for t in tags if at_depth.get(t)), default=0)
+
+        def pop(depth: int) -> None:
+            nonlocal skipped_at
+            block = False
+            while len(open_) > depth:
+                e = open_.pop()
+                block = block or self.tag[e] in BLOCK
+                if e in ended:
+                    ended.discard(e)
+                else:
+                    at_depth[self.tag[e]].pop()
+            if skipped_at >= depth:
+                skipped_at = 0
+            while own and own[-1] >= depth:
+                own.pop()
+            if block:
+                pieces.append(None)
 
         at, end = 0, len(source)
         while at < end:
-            m = _TOKEN.search(source, at)
-            piece = source[at : m.start()] if m else source[at:]
-            if piece and not skipped():
-                text.append(piece)
-                if any(s[0] == "a" for s in stack):
-                    linked += len(piece)
+            lt = source.find("<", at)
+            if lt < 0:
+                lt = end
+            if lt > at and self.tag[open_[-1]] == "head" and not source[at:lt].isspace():
+                pop(at_depth["head"][-1])
+            if lt > at and not skipped_at:
+                pieces.append((open_[-1], source[at:lt], bool(at_depth.get("a"))))
+            if lt == end:
+                break
+            after = source[lt + 1 : lt + 3]
+            name = after[1:] if after[:1] == "/" else after[:1]
+            if not (name.isascii() and name.isalpha()):
+                if after[:1] not in ("!", "?", "/") or (after[:1] == "/" and not name):
+                    # a bare < is text
+                    if not skipped_at:
+                        pieces.append((open_[-1], "<", bool(at_depth.get("a"))))
+                    at = lt + 1
+                    continue
+                comment = source.startswith("<!--", lt)
+                close = source.find("-->", lt + 2) if comment else source.find(">", lt)
+                if close < 0:
+                    break
+                at = close + (3 if comment else 1)
+                continue
+            m = _TAG.match(source, lt)
             if not m:
+                # the page ends within a tag
                 break
             at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
-                continue
+            tag = m[2].lower()
             if m[1]:
-                if tag == "p" and not any(s[0] == "p" for s in stack):
-                    flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        pop(i)
-                        break
+                self._end(tag, open_, ended, at_depth, deepest, pop)
                 continue
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in ("table", "td", "th", "button", "object"):
-                        break
+            if at_depth.get("head") and tag not in IN_HEAD:
+                pop(at_depth["head"][-1])
+            if tag in CLOSES_P and at_depth.get("p") and at_depth["p"][-1] > deepest(P_BARRIERS):
+                pop(at_depth["p"][-1])
             if tag in IMPLIED:
                 ends, within = IMPLIED[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in within:
-                        break
-                    if stack[i][0] in ends:
-                        pop(i)
-                        break
+                barrier = deepest(within)
+                depths = [at_depth[t][-1] for t in ends if at_depth.get(t) and at_depth[t][-1] > barrier]
+                if depths:
+                    pop(min(depths))
             if tag in BLOCK:
-                flush()
-            if tag == "br" and not skipped():
-                text.append(" ")
-            if tag in VOID or (m[3] or "").endswith("/"):
+                pieces.append(None)
+            if tag == "br" and not skipped_at:
+                pieces.append((open_[-1], " ", False))
+            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
+                close = _CLOSE[tag].search(source, at)
                 if not close:
                     break
                 gt = source.find(">", close.start())
                 at = end if gt < 0 else gt + 1
                 continue
-            step, skip = _describe(tag, m[3] or "")
-            # the article's own header is a part of it; the site's is not
-            if tag == "header":
-                skip = skip or not any(s[0] in MAIN for s in stack)
-            stack.append((tag, step, skip or skipped()))
-            if tag in BLOCK:
-                block_path = path()
-        flush()
+            if tag == "a" and at_depth.get("a"):
+                self._end("a", open_, ended, at_depth, deepest, pop)
+            step, mark, is_own = _describe(tag, m[3])
+            depth = len(open_)
+            if tag == "form" or (tag == "header" and not own):
+                mark = max(mark, 1)
+            elif mark == 1 and own and "header" in step:
+                mark = 0
+            up = open_[-1]
+            key = (self.node[up], step)
+            node = self._known.get(key)
+            if node is None:
+                node = self._known[key] = len(self.step)
+                self.above.append(key[0])
+                self.step.append(step)
+            open_.append(len(self.parent))
+            at_depth.setdefault(tag, []).append(depth)
+            self.parent.append(up)
+            self.node.append(node)
+            self.tag.append(tag)
+            self.mark.append(mark)
+            if tag in SKIPPED and not skipped_at:
+                skipped_at = depth
+            self.own.append(tag in MAIN or (is_own and tag not in ("html", "body")))
+            if self.own[-1]:
+                own.append(depth)
+        pieces.append(None)
+
+    def _end(self, tag: str, open_: list[int], ended: set[int], at_depth: dict[str, list[int]], deepest: Callable, pop: Callable) -> None:
+        depths = at_depth.get(tag)
+        if not depths:
+            if tag == "p":
+                self._pieces.append(None)
+            elif tag == "br":
+                self._pieces.append((open_[-1], " ", False))
+            return
+        depth = depths[-1]
+        if tag in BLOCK or tag in SKIPPED:
+            barrier = 0 if tag == "table" else deepest(["table"]) if tag in TABLE_PARTS else deepest(CELLS)
+            if depth > barrier or tag in ("body", "html"):
+                pop(depth)
+        elif depth == len(open_) - 1:
+            pop(depth)
+        else:
+            # an inline element that ends beyond others: it ends, they stay
+            ended.add(open_[depth])
+            depths.pop()
+
+    def _lift(self) -> None:
+        """Takes the marks from elements that hold nearly all of the page's text outside links, and all of it that
+        stands in an article, as then the names tell of the layout."""
+        sums, articles = [0] * len(self.parent), [0] * len(self.parent)
+        for e in range(1, len(sums)):
+            self.own[e] = self.own[e] or self.own[self.parent[e]]
+        for piece in self._pieces:
+            if piece is not None and not piece[2]:
+                n = len(piece[1].strip())
+                sums[piece[0]] += n
+                articles[piece[0]] += n if self.own[piece[0]] else 0
+        for e in range(len(sums) - 1, 0, -1):
+            sums[self.parent[e]] += sums[e]
+            articles[self.parent[e]] += articles[e]
+        for e, mark in enumerate(self.mark):
+            if mark and sums[e] > sums[0] * (0.8 if mark == 1 else 0.9) and articles[e] == articles[0]:
+                self.mark[e] = 0
+
+    def _join(self) -> None:
+        """blocks: (block element, text, characters in links)."""
+        self.blocks: list[tuple[int, str, int]] = []
+        # the nearest block element at or above, and whether an inline element's mark drops the text
+        holder, gone = [0], [False]
+        for e in range(1, len(self.parent)):
+            block = self.tag[e] in BLOCK
+            holder.append(e if block else holder[self.parent[e]])
+            gone.append(not block and (self.mark[e] > 0 or gone[self.parent[e]]))
+        text: list[str] = []
+        linked, last = 0, 0
+        for piece in self._pieces:
+            if piece is not None:
+                if not gone[piece[0]]:
+                    text.append(piece[1])
+                    last = holder[piece[0]]
+                    linked += len(piece[1]) if piece[2] else 0
+            elif text:
+                found = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+                if found:
+                    self.blocks.append((last, found, linked))
+                text, linked = [], 0
+        self._pieces = []
+
+    def _is_main(self, node: int) -> bool:
+        return self.step[node].split(".", 1)[0] in MAIN
 
     def best_path(self) -> str | None:
         """The container with the most text outside links; a block counts in full for the element around it, half for
-        the one above that, and a fourth for each article or main element that is further up. Empty (the page as a
-        whole) if no container has such text; None for a page without text."""
-        scores: dict[tuple[str, ...], float] = {}
-        for path, text, linked in self.blocks:
+        the one above that, and a fourth for each article or main element that is further up. Text in marked elements
+        counts a tenth. Empty (the page as a whole) if no container has such text; None for a page without text."""
+        marked = [False]
+        for e in range(1, len(self.parent)):
+            marked.append(marked[self.parent[e]] or self.mark[e] > 0)
+        n = len(self.step)
+        near, below = [0.0] * n, [0.0] * n  # what counts for the path itself, and for all paths above
+        for e, text, linked in self.blocks:
             weight = max(0, len(text) - 2 * linked) + (25 if len(text) > 25 and not linked else 0)
-            around = path[:-1] if len(path) > 1 and path[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote") else path
-            for up, share in ((0, 1.0), (1, 0.5)):
-                if len(around) > up:
-                    key = around[: len(around) - up]
-                    scores[key] = scores.get(key, 0) + weight * share
-            for i in range(len(around) - 2):
-                if around[i].split(".")[0] in MAIN:
-                    scores[around[: i + 1]] = scores.get(around[: i + 1], 0) + weight * 0.25
-        for key in scores:
-            if key[-1].split(".")[0] in MAIN:
-                scores[key] *= 1.5
-        best = max(scores, key=lambda k: (scores[k], -len(k), k), default=None)
-        if not best or scores[best] <= 0:
+            weight *= 0.1 if marked[e] else 1.0
+            node = self.node[e]
+            around = self.above[node] if node and self.step[node].split(".", 1)[0] in LEAVES else node
+            near[around] += weight
+        scores = list(near)
+        for node in range(n - 1, 0, -1):
+            up = self.above[node]
+            below[up] += below[node] + near[node]
+            scores[up] += 0.5 * near[node]
+        # of what is further up than the element above, a fourth
+        direct = [0.0] * n
+        for node in range(1, n):
+            direct[self.above[node]] += near[node]
+        best = 0
+        for node in range(1, n):
+            if self._is_main(node):
+                scores[node] = 1.5 * (scores[node] + 0.25 * (below[node] - direct[node]))
+            if scores[node] > scores[best]:
+                best = node
+        if not best:
             return "" if self.blocks else None
-        # a part of an article stands for the whole
-        whole = max((i for i, step in enumerate(best) if step.split(".")[0] in MAIN), default=len(best) - 1)
-        return ">".join(best[: whole + 1])
+        steps, node, whole = [], best, best
+        while node > 0:
+            # a part of an article stands for the whole
+            if self._is_main(node):
+                whole = node
+                break
+            node = self.above[node]
+        node = whole
+        while node > 0:
+            steps.append(self.step[node])
+            node = self.above[node]
+        return ">".join(reversed(steps))
 
     def text(self, path: str | None) -> str | None:
-        """The blocks in containers of that path; None if the page has no such container with text."""
+        """The blocks in containers of that path, without what is marked below them; None if the page has none."""
         if path is None:
             return None
-        steps = tuple(path.split(">")) if path else ()
-        found = [t for p, t, _ in self.blocks if p[: len(steps)] == steps]
+        target = 0
+        for step in path.split(">") if path else ():
+            target = self._known.get((target, step), -1)
+            if target < 0:
+                return None
+        inside = [target == 0]
+        for e in range(1, len(self.parent)):
+            inside.append(self.node[e] == target or (inside[self.parent[e]] and not self.mark[e]))
+        found = [t for e, t, _ in self.blocks if inside[e]]
         return "\n\n".join(found) if found else None
 
 
@@ -216,7 +366,9 @@ def extract_text(pages: DataFrame, *columns: str, url_col: str = "url", html_col
 
     Each page scores its containers and votes for one generalised path; a host's path is that with the most votes
     (ties: the first by name). A page is extracted by its host's path, or by its own best where it has no such
-    container. Blocks are joined by an empty line. Null and empty html, and pages without text, give "". Pages without
+    container. Blocks are joined by an empty line. What is
+    marked as beside the article (see MARK_WORDS) is left out only below the chosen container, and not where it holds
+    most of the page's text. A page that ends within a tag or a comment ends there. Null and empty html, and pages without text, give "". Pages without
     a host vote together.
     """
     scratch = Scratch(pages.sparkSession, "html")
