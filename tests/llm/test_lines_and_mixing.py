@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from textloom.llm import queries as q
 from textloom.llm.common import table
-from textloom.llm.line_dedup import LONG_DOCS, drop_recurring_lines
+from textloom.llm.line_dedup import drop_recurring_lines
 from textloom.llm.mixing import budgets, mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, budget int"
@@ -57,9 +57,24 @@ def test_passages_recur_in_two_documents(spark):
     short = " ".join(passage.split()[:40])
     rows = [(1, f"one\n{passage}\n{short}", "en", "s"), (2, f"two\n{passage}\n{short}", "en", "s"), (3, f"three\n{passage} z", "en", "s")]
     df = docs_of(spark, rows)
-    got = {r.doc_id: r.text for r in drop_recurring_lines(df, long_docs=LONG_DOCS).collect()}
+    got = {r.doc_id: r.text for r in drop_recurring_lines(df).collect()}
     assert got == {1: rows[0][1], 2: f"two\n{short}", 3: rows[2][1]}
-    assert {r.n_dropped__ for r in drop_recurring_lines(df).collect()} == {0}
+    assert {r.n_dropped__ for r in drop_recurring_lines(df, long_docs=10).collect()} == {0}
+
+
+def test_copies_are_spared_passages_are_not(spark):
+    passage = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "qrstuvw")
+    rng = random.Random(3)
+    own = lambda n: "\n".join(" ".join(rng.choices("abcdefghij", k=12)) for _ in range(n))
+    first = own(20)
+    texts = [f"{first}\n{passage}", f"{first}\n{passage}", f"{own(1)}\n{first}\n{passage}", f"{own(20)}\n{passage}", f"{passage}\n{own(30)}"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.n_dropped__ for r in drop_recurring_lines(docs_of(spark, rows), spare_copies=True).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1}
+    assert {r.doc_id: r.n_dropped__ for r in drop_recurring_lines(docs_of(spark, rows)).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+    # in ten documents it goes from copies as well
+    rows += [(10 + i, passage, "en", "s") for i in range(6)]
+    assert {r.n_dropped__ for r in drop_recurring_lines(docs_of(spark, rows), spare_copies=True).collect() if r.doc_id} == {1}
 
 
 def test_lines_recur_in_different_documents(spark):
@@ -77,7 +92,7 @@ def test_lines_recur_in_different_documents(spark):
 
 
 def brute(rows, least_docs=10, long=50, long_docs=2):
-    """Lines dropped of each document, as the exact form has it."""
+    """Lines dropped of each document."""
     real = lambda t: "<*>" not in t and not any(c.isdigit() for c in t)
     forms = {}
     for i, t in rows:
@@ -99,18 +114,18 @@ def brute(rows, least_docs=10, long=50, long_docs=2):
     return {i: sum(1 for j, _ in gone if j == i) for i, _ in rows}
 
 
-def test_exact_lines_against_brute_force(spark):
+def test_lines_against_brute_force(spark):
     rng = random.Random(11)
     heads = ["a b c", "a b d", "e", "f g 7", "4 5 6", "h " * 48 + "i"]
     lines = lambda: "\n".join(rng.choice(heads) + " " + " ".join(rng.choices(["t", "u", "v", "w", "8", "9"], k=rng.randrange(0, 5))) for _ in range(rng.randrange(1, 8)))
     rows = [(i, lines()) for i in range(120)]
-    got = drop_recurring_lines(docs_of(spark, [(i, t, "en", "s") for i, t in rows]), long_docs=2, exact=True)
+    got = drop_recurring_lines(docs_of(spark, [(i, t, "en", "s") for i, t in rows]))
     assert {r.doc_id: r.n_dropped__ for r in got.collect()} == brute(rows)
 
 
 def test_line_dedup_against_sql_on_random_lines(spark):
     rng = random.Random(8)
-    heads = ["a b c", "a b d", "e", "f g 7"]
+    heads = ["a b c", "a b d", "e", "f g 7", "5 6", "k " * 50]
     lines = lambda: "\n".join(rng.choice(heads) + " " + " ".join(rng.choices("tuvwxyz", k=rng.randrange(0, 4))) for _ in range(rng.randrange(1, 6)))
     df = docs_of(spark, [(i, lines(), "en", "s") for i in range(150)])
     got = drop_recurring_lines(df).select("doc_id", F.col("n_lines__").alias("n_lines"), F.col("n_dropped__").alias("n_dropped"), F.md5(F.col("text").cast("binary")))

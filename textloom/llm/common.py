@@ -14,9 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, as in tests, one is set."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a session on this machine alone
+    (as in tests) gets one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,12 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written between the steps of an operator, so that lost executors cost one step and lineage stays short.
 
-    `keep` writes a frame and reads it back; `drop` deletes all that was kept but the frames named.
+    `keep` writes a frame and reads it back; `drop` deletes all that was kept but the frames named. An operator whose
+    result is evaluated later leaves its tables to the caller, who deletes them by `clear` when the result is written.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        Scratch.made.append(self)
 
     def path(self) -> str:
         self.n += 1
@@ -52,6 +59,13 @@ class Scratch:
                 del self.paths[key]
 
 
+def clear(since: int = 0) -> None:
+    """Deletes the tables of all scratch folders made in this process after the first `since`."""
+    for scratch in Scratch.made[since:]:
+        delete(scratch.spark, scratch.root)
+    del Scratch.made[since:]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -13,6 +13,8 @@ DEPTH, LEAST_DOCS, LEAST_SHARE = 3, 10, 0.5
 #: A line of so many tokens is a passage of its own, which recurs in so few documents where lengths count.
 LONG_TOKENS, LONG_DOCS = 50, 2
 FIELD = "<*>"
+#: Min-hashes over a document's lines, half of which copies have in common.
+SKETCH = 8
 
 
 def _masked(text: Column) -> Column:
@@ -72,54 +74,38 @@ def _apart(text: Column, masked: Column) -> Column:
     return _let(F.split(masked, "\n"), lambda m: F.when(text.rlike("[0-9]") | text.contains(FIELD), F.zip_with(m, plain, line)).otherwise(m))
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS, long_docs: int | None = None, exact: bool = False) -> DataFrame:
-    """k1, k2 (of a masked line) and first_id for the lines of recurring templates.
+def recurring_lines(lines: DataFrame, scratch: Scratch, least_docs: int = LEAST_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """k1, k2 (of a masked line), t1, t2 (its template) and least for all templates that can recur.
 
-    docs has doc_id and lines (array of masked lines, distinct, none blank). A line descends by its token count and
-    first DEPTH tokens to a leaf. There a token is kept where it stands if lines of at least least_docs documents have
-    it at this place, and is a field otherwise; a template of which less than LEAST_SHARE is kept is too general, and
-    the line then is its own template. A template recurs if at least least_docs documents hold it, a document counting
-    once for each different line; first_id is the least doc_id among them. With long_docs, so many documents suffice for
-    templates of LONG_TOKENS tokens and more.
-
-    With exact, documents are counted by their different ids, also for a token at its place, and only constant tokens
-    count as kept. The result then has k1, k2, t1, t2 (the template) and least, for all templates that can reach their
-    threshold; the caller counts the documents where it meets the lines again.
+    lines has id__, line (masked, not blank), leaf, k1, k2 and long (LONG_TOKENS tokens or more). A line descends by its
+    token count and first DEPTH tokens to a leaf. There a constant token is kept where it stands if at least least_docs
+    different documents have it at this place in a line of the leaf, and is a field otherwise; a template of which less
+    than LEAST_SHARE is constant is too general, and the line then is its own template. `least` is how many different
+    documents make the template recur; they are counted where the caller meets the lines again, as what is summed up
+    here is an upper bound.
     """
-    long = [] if long_docs is None else [(F.regexp_count("line", F.lit(" ")) >= LONG_TOKENS - 1).alias("long")]
-    named_long = ["long"] if long else []
-    least = F.when(F.col("long"), long_docs).otherwise(least_docs) if long else F.lit(least_docs)
-    # the outer form, as the plain one puts a filter before it that finds the lines a second time
-    lines = docs.select("doc_id", F.explode_outer("lines").alias("line")).filter("line is not null")
-    lines = lines.select("doc_id", "line", _leaf(F.col("line")).alias("leaf"), _key(F.col("line")).alias("key"), *long)
-    distinct = scratch.keep(lines.groupBy("leaf", "key.k1", "key.k2", *named_long).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id")))
+    least = F.when(F.col("long"), long_docs).otherwise(least_docs)
+    distinct = scratch.keep(lines.groupBy("leaf", "k1", "k2", "long").agg(F.count("*").alias("docs")))
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines"))
     # in other leaves no template recurs, or the one line is the template
     leaves = scratch.keep(leaves.filter((F.col("leaf_docs") >= least_docs) & (F.col("leaf_lines") > 1)).select("leaf"))
-    held = lines.join(leaves, "leaf")
-    if exact:
-        held = scratch.keep(held.select("doc_id", "leaf", "line"))
-    mixed = held.groupBy("leaf", "line").agg((F.count_distinct("doc_id") if exact else F.count("*")).alias("docs"))
-    head = [_constants(F.slice(F.split("line", " "), 1, DEPTH)).alias("head")] if exact else []
-    mixed = mixed.select("leaf", _key(F.col("line")).alias("key"), "docs", *head, F.slice(F.split("line", " "), DEPTH + 1, 2**31 - 1).alias("rest")).filter(F.size("rest") > 0)
-    named_head = ["head"] if exact else []
-    tokens = scratch.keep(mixed.select("leaf", "key.k1", "key.k2", "docs", *named_head, F.posexplode("rest").alias("pos", "token")))
-    places = tokens.filter(_constant(F.col("token"))) if exact else tokens
-    stable = places.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"), *([F.max("docs").alias("most")] if exact else [])).filter(F.col("n") >= least_docs)
-    if exact:
-        stable = _stable(scratch.keep(stable), tokens, held, least_docs)
+    held = scratch.keep(lines.join(leaves, "leaf").select("id__", "leaf", "k1", "k2", "line"))
+    mixed = held.groupBy("leaf", "k1", "k2", "line").agg(F.count_distinct("id__").alias("docs"))
+    head = _constants(F.slice(F.split("line", " "), 1, DEPTH)).alias("head")
+    mixed = mixed.select("leaf", "k1", "k2", "docs", head, F.slice(F.split("line", " "), DEPTH + 1, 2**31 - 1).alias("rest")).filter(F.size("rest") > 0)
+    tokens = scratch.keep(mixed.select("leaf", "k1", "k2", "docs", "head", F.posexplode("rest").alias("pos", "token")))
+    places = tokens.filter(_constant(F.col("token"))).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"), F.max("docs").alias("most"))
+    stable = _stable(scratch.keep(places.filter(F.col("n") >= least_docs)), tokens, held, least_docs)
     stable = scratch.keep(stable.select("leaf", "pos", "token", F.lit(True).alias("stays")))
-    placed = tokens.join(stable, ["leaf", "pos", "token"], "left").groupBy("leaf", "k1", "k2", *named_head).agg(
+    placed = tokens.join(stable, ["leaf", "pos", "token"], "left").groupBy("leaf", "k1", "k2", "head").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("stays"), F.col("token")).otherwise(FIELD).alias("token")))).alias("found"), F.count("stays").alias("n_kept"), F.count("*").alias("n")
     )
-    general = placed.filter((F.col("n_kept") < F.col("n")) & (F.col("n_kept") + (F.col("head") if exact else DEPTH) >= LEAST_SHARE * (F.col("n") + DEPTH)))
+    general = placed.filter((F.col("n_kept") < F.col("n")) & (F.col("n_kept") + F.col("head") >= LEAST_SHARE * (F.col("n") + DEPTH)))
     general = scratch.keep(general.select("k1", "k2", F.xxhash64("leaf", "found.token").alias("t1"), F.xxhash64(F.lit(7), "leaf", "found.token").alias("t2")))
-    named = distinct.join(general, ["k1", "k2"], "left").select("k1", "k2", "docs", "first_id", F.coalesce("t1", "k1").alias("t1"), F.coalesce("t2", "k2").alias("t2"), *named_long)
+    named = distinct.join(general, ["k1", "k2"], "left").select("k1", "k2", "docs", F.coalesce("t1", "k1").alias("t1"), F.coalesce("t2", "k2").alias("t2"), "long")
     # lines of one template have one number of tokens
-    templates = scratch.keep(named.groupBy("t1", "t2", *named_long).agg(F.sum("docs").alias("n"), F.min("first_id").alias("first")).filter(F.col("n") >= least))
-    if exact:
-        return scratch.keep(named.join(templates.select("t1", "t2"), ["t1", "t2"]).select("k1", "k2", "t1", "t2", least.alias("least")))
-    return scratch.keep(named.join(templates, ["t1", "t2"]).select("k1", "k2", F.col("first").alias("first_id")))
+    templates = named.groupBy("t1", "t2", "long").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least).select("t1", "t2")
+    return scratch.keep(named.join(templates, ["t1", "t2"]).select("k1", "k2", "t1", "t2", least.alias("least")))
 
 
 def _stable(found: DataFrame, tokens: DataFrame, held: DataFrame, least_docs: int) -> DataFrame:
@@ -127,39 +113,58 @@ def _stable(found: DataFrame, tokens: DataFrame, held: DataFrame, least_docs: in
     documents hold. Only where no line alone is in enough are the documents of all lines brought together."""
     at = ["leaf", "pos", "token"]
     unsure = tokens.join(found.filter(F.col("most") < least_docs).select(*at), at).select(*at, "k1", "k2")
-    ids = held.select("doc_id", _key(F.col("line")).alias("key")).select("doc_id", "key.k1", "key.k2")
-    counted = unsure.join(ids, ["k1", "k2"]).groupBy(*at).agg(F.count_distinct("doc_id").alias("n"))
+    counted = unsure.join(held.select("id__", "k1", "k2"), ["k1", "k2"]).groupBy(*at).agg(F.count_distinct("id__").alias("n"))
     return found.filter(F.col("most") >= least_docs).select(*at).union(counted.filter(F.col("n") >= least_docs).select(*at))
 
 
-def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None, exact: bool = False) -> DataFrame:
+def _sketch(lines: Column) -> Column:
+    """The least of the lines' hashes in each of SKETCH orders."""
+
+    def least(hashes: Column, order: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.xxhash64(F.lit(order)))))
+
+    return _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.array(*[least(h, i) for i in range(SKETCH)]))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    return F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: p["a"] == p["b"])) * 2 >= SKETCH
+
+
+def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, long_docs: int = LONG_DOCS, spare_copies: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its own columns and n_lines__, n_dropped__ (int): without the lines of recurring templates.
 
-    Lines end at \\n. A template's lines stay in the document with the least doc_id that holds one, so nothing is lost
-    altogether, and go from all others; blank lines stay. See recurring_lines for what a template is. Texts that lose
-    no line are left as they are; n_chars, where docs has it, is counted anew for the others. A null text stays null
-    and has no lines. Null ids come before any other id. Rows with one doc_id are told apart by their text, and equal
-    rows are treated alike. An empty table gives an empty result. With exact, lines of which less than LEAST_SHARE is
-    constant, such as rows of numbers, recur only with their values.
+    Lines end at \\n. A template recurs if least_docs different documents hold it, or long_docs where it has LONG_TOKENS
+    tokens and more; see recurring_lines for what a template is. Lines of which less than LEAST_SHARE is constant, such
+    as rows of numbers, recur only with their values. A template's lines stay in the document with the least doc_id that
+    holds one, so nothing is lost altogether, and go from all others; blank lines stay. With spare_copies, templates of
+    fewer than least_docs documents go only from documents that are otherwise different from that first one: half of
+    SKETCH min-hashes over their lines differ. So copies stay whole for an operator that looks for them.
+
+    Texts that lose no line are left as they are; n_chars, where docs has it, is counted anew for the others. A null text
+    stays null and has no lines. Null ids are one document, which comes before any other. Rows with one doc_id are one
+    document with several texts, told apart by their text, and equal rows are treated alike. An empty table gives an
+    empty result. Columns of docs may have any name that does not end in two underscores.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     # stands for the null id, below all others
     low = F.lit(-(2**63))
     text = F.col(text_col).cast("string")
     split = F.split(text, "\n")
-    masked = _apart(text, _masked(text)) if exact else F.split(_masked(text), "\n")
     id_ = F.coalesce(F.col(id_col).cast("long"), low)
-    distinct = F.filter(F.array_distinct(masked), lambda x: x != "")
-    facts = recurring_lines(docs.select(id_.alias("doc_id"), distinct.alias("lines")), scratch, least_docs, long_docs, exact)
-
-    places = docs.select(id_.alias("id__"), F.xxhash64(text).alias("mark__"), F.posexplode_outer(masked).alias("pos", "line"))
-    places = places.filter("line <> ''").select("id__", "mark__", "pos", _key(F.col("line")).alias("key")).select("id__", "mark__", "pos", "key.k1", "key.k2")
-    places = places.join(facts, ["k1", "k2"])
-    if exact:
-        places = scratch.keep(places.select("id__", "mark__", "pos", "t1", "t2", "least"))
-        counted = places.groupBy("t1", "t2", "least").agg(F.count_distinct("id__").alias("n"), F.min("id__").alias("first_id"))
-        places = places.join(scratch.keep(counted.filter(F.col("n") >= F.col("least")).select("t1", "t2", "first_id")), ["t1", "t2"])
-    places = places.filter(F.col("id__") > F.col("first_id"))
+    sketch = [_sketch(F.filter(F.col("masked"), lambda x: x != "")).alias("sketch")] if spare_copies else []
+    masked = docs.select(id_.alias("id__"), F.xxhash64(text).alias("mark__"), _apart(text, _masked(text)).alias("masked"))
+    # the outer form, as the plain one puts a filter before it that finds the lines a second time
+    lines = masked.select("id__", "mark__", *sketch, F.posexplode_outer("masked").alias("pos", "line")).filter("line <> ''")
+    lines = lines.select("id__", "mark__", *[c for c in ("sketch",) if sketch], "pos", "line", _leaf(F.col("line")).alias("leaf"), _key(F.col("line")).alias("key"), (F.regexp_count("line", F.lit(" ")) >= LONG_TOKENS - 1).alias("long"))
+    lines = scratch.keep(lines.select("*", "key.k1", "key.k2").drop("key"))
+    facts = recurring_lines(lines, scratch, least_docs, long_docs)
+
+    places = scratch.keep(lines.join(facts, ["k1", "k2"]).select("id__", "mark__", *[c for c in ("sketch",) if sketch], "pos", "t1", "t2", "least"))
+    first = [F.min_by("sketch", "id__").alias("first_sketch")] if sketch else []
+    counted = places.groupBy("t1", "t2", "least").agg(F.count_distinct("id__").alias("n"), F.min("id__").alias("first_id"), *first).filter(F.col("n") >= F.col("least"))
+    places = places.drop("least").join(scratch.keep(counted.drop("least")), ["t1", "t2"]).filter(F.col("id__") > F.col("first_id"))
+    if sketch:
+        places = places.filter((F.col("n") >= least_docs) | ~_alike(F.col("sketch"), F.col("first_sketch")))
     dropped = scratch.keep(places.groupBy("id__", "mark__").agg(F.collect_set("pos").alias("dropped__")))
 
     names = docs.columns

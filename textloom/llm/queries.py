@@ -64,18 +64,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH line AS (SELECT doc_id, i, trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-masked AS (SELECT doc_id, i, regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM line),
-per AS (SELECT m, len(string_split(m, ' ')) AS n_tokens, array_to_string(string_split(m, ' ')[1:3], ' ') AS head, count(*) AS docs, min(doc_id) AS first_id FROM (SELECT DISTINCT doc_id, m FROM masked WHERE m <> '') GROUP BY ALL),
-leaf AS (SELECT n_tokens, head FROM per GROUP BY ALL HAVING sum(docs) >= 10 AND count(*) > 1),
-tok AS (SELECT per.*, unnest(string_split(m, ' ')[4:]) AS token, generate_subscripts(string_split(m, ' ')[4:], 1) AS pos FROM per SEMI JOIN leaf USING (n_tokens, head)),
-stable AS (SELECT n_tokens, head, pos, token FROM tok GROUP BY ALL HAVING sum(docs) >= 10),
+WITH line AS (SELECT doc_id, i, trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')) AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+masked AS (SELECT doc_id, i, p, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM line WHERE p <> ''),
+form AS (SELECT doc_id, i, CASE WHEN contains(m, '<*>') AND len(list_filter(string_split(m, ' '), lambda t: NOT contains(t, '<*>') AND NOT regexp_matches(t, '[0-9]'))) < 0.5 * len(string_split(m, ' ')) THEN p ELSE m END AS m FROM masked),
+per AS (SELECT m, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n_tokens, array_to_string(string_split(m, ' ')[1:3], ' ') AS head FROM (SELECT DISTINCT m FROM form)),
+tok AS (SELECT m, n_tokens, head, len(list_filter(t[1:3], lambda x: NOT contains(x, '<*>') AND NOT regexp_matches(x, '[0-9]'))) AS n_head, unnest(t[4:]) AS token, generate_subscripts(t[4:], 1) AS pos FROM per),
+stable AS (SELECT n_tokens, head, pos, token FROM tok JOIN form USING (m) WHERE NOT contains(token, '<*>') AND NOT regexp_matches(token, '[0-9]') GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
 general AS (SELECT m, t.head || ' ' || string_agg(CASE WHEN s.token IS NULL THEN '<*>' ELSE t.token END, ' ' ORDER BY t.pos) AS template FROM tok t LEFT JOIN stable s ON t.n_tokens = s.n_tokens AND t.head = s.head AND t.pos = s.pos AND t.token = s.token
- GROUP BY m, t.head, t.n_tokens HAVING count(s.token) < count(*) AND count(s.token) + 3 >= 0.5 * (count(*) + 3)),
-named AS (SELECT per.m, docs, first_id, CASE WHEN template IS NULL THEN 'line ' || per.m ELSE 'template ' || per.n_tokens || ' ' || template END AS template FROM per LEFT JOIN general ON per.m = general.m),
-rec AS (SELECT template, min(first_id) AS first_id FROM named GROUP BY template HAVING sum(docs) >= 10),
-fact AS (SELECT m, rec.first_id FROM named JOIN rec USING (template)),
-kept AS (SELECT k.doc_id, count(*) AS n_dropped, list(k.i) AS gone FROM masked k JOIN fact f ON k.m = f.m AND k.doc_id > f.first_id GROUP BY k.doc_id)
+ GROUP BY m, t.head, t.n_tokens, t.n_head HAVING count(s.token) < count(*) AND count(s.token) + t.n_head >= 0.5 * (count(*) + 3)),
+named AS (SELECT per.m, n_tokens, CASE WHEN template IS NULL THEN 'line ' || per.m ELSE 'template ' || per.n_tokens || ' ' || template END AS template FROM per LEFT JOIN general ON per.m = general.m),
+rec AS (SELECT template, min(doc_id) AS first_id FROM named JOIN form USING (m) GROUP BY template, n_tokens HAVING count(DISTINCT doc_id) >= CASE WHEN n_tokens >= 50 THEN 2 ELSE 10 END),
+kept AS (SELECT k.doc_id, count(*) AS n_dropped, list(k.i) AS gone FROM form k JOIN named USING (m) JOIN rec USING (template) WHERE k.doc_id > rec.first_id GROUP BY k.doc_id)
 SELECT d.doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, CAST(coalesce(n_dropped, 0) AS INTEGER) AS n_dropped,
  md5(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(gone, i)), lambda i: string_split(text, chr(10))[i]), chr(10)) END) AS text_md5
 FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id

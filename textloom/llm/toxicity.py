@@ -65,7 +65,7 @@ def _scores(place: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndar
                     v = factors[x]
                     out[i] = bias + linear[x].sum() + 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
                 score = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(score)], names=[*batch.schema.names[:kept], "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(score)], names=[*(f"c{i}" for i in range(kept)), "score"])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -118,14 +118,15 @@ class ToxicityModel:
         scratch.drop()
         return model
 
-    def score(self, docs: DataFrame, *columns: str, text_col: str = "text") -> DataFrame:
-        """The named columns of docs, and the score of each whole text. A null or empty text has the score of no terms."""
+    def score(self, docs: DataFrame, *columns: str, text_col: str = "text", score_col: str = "score") -> DataFrame:
+        """The named columns of docs, and score_col (none of them), the score of each whole text. A null or empty text
+        has the score of no terms."""
         # the text travels once, also where it is one of the columns
         twice = text_col in columns and docs.schema[text_col].dataType.simpleString() == "string"
         chosen = docs.select(*columns, *([] if twice else [F.col(text_col).cast("string").alias("text__")]))
         at = columns.index(text_col) if twice else len(columns)
         schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[: len(columns)])
-        return chosen.mapInArrow(_scores(self.place, self.bias, self.linear, self.factors, at, len(columns)), schema + "score double")
+        return chosen.mapInArrow(_scores(self.place, self.bias, self.linear, self.factors, at, len(columns)), f"{schema}`{score_col}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
