@@ -25,7 +25,7 @@ def raw_sentiment(normalized: Column, words: Column) -> Column:
     """Phrases and words. A word's weight is multiplied by the modifiers among the two words before it and by 0.6 where
     a phrase was found; a negation among the three words before it turns its sign, but not for a bad word after
     `without` in a unit that contains one of the phrases in which `without` says no more than that."""
-    table, modifiers = weights({**lx.POSITIVE, **lx.NEGATIVE}), weights(lx.MODIFIERS)
+    table, modifiers = weights({**lx.POSITIVE, **lx.NEGATIVE}), weights({**lx.INTENSIFIERS, **lx.DOWNPLAYERS})
     contains = lambda phrases: F.exists(strings(phrases), lambda p: normalized.contains(p))
     factor = F.when(contains([*lx.POSITIVE_PHRASES, *lx.NEGATIVE_PHRASES]), 0.6).otherwise(1.0)
 

@@ -1,24 +1,46 @@
 """Aspect and sentiment of clauses ("granules"), and their aggregates.
 
-Everything is relational: units are rows, TF-IDF is in long form with an idf of its own for each document (its units and
-the taxonomy's seeds), and the similarity to seeds is an inverted-index join on terms. The seeds' norms depend on the
-document through idf = ln(1+N) + 1 - ln(1+df): the part for terms that the document lacks follows from three sums per
-seed, the rest is corrected term by term, so that no document meets all seeds.
+All that is computed of a document (its taxonomy, the df of terms in its units, the norms of seeds) stays in the task that
+has its rows: there is one shuffle, of the texts by their key, and every later step groups by the key and more. Units
+and terms are rows of one stream; what belongs to a document or unit as a whole travels in a row of its own (`head`),
+so nothing is joined back. Seeds and profiles are small tables that are broadcast.
+
+The idf of a term is that of one document: its units and the taxonomy's seeds. The seeds' norms depend on the document
+through idf = ln(1+N) + 1 - ln(1+df): the part for terms that the document lacks follows from three sums per seed, the
+rest is corrected term by term, so that no document meets all seeds.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.sentiment import normalized_score, raw_sentiment, sentiment_label
 from ..functions.text import is_evidence, let, ngrams, normalize, strings, tokens
-from .units import explode_units
+from .units import split_units
 
 MIN_SIMILARITY, EVIDENCE = 0.12, 6
 TAXONOMY_SCORE, TAXONOMY_MARGIN, WORD_SHARE = 0.10, 0.05, 0.72
 
+# For units without an aspect, the first rule that fits: words of which the unit has one, the aspect (if the
+# taxonomy has it), its confidence, and the one taxonomy that the rule is for.
+RESCUES = [
+    (lx.SUPPORT_WORDS, "CUSTOMER_SUPPORT_SERVICE", 0.18, None),
+    (lx.SUPPORT_WORDS, "SERVICE_SUPPORT", 0.18, None),
+    (lx.SUPPORT_WORDS, "SERVICE", 0.18, None),
+    (lx.PRICE_WORDS, "PRICE_VALUE", 0.18, None),
+    (lx.WAIT_WORDS, "WAIT_TIME", 0.18, None),
+    (lx.WAIT_WORDS, "PERFORMANCE_SPEED", 0.16, "saas"),
+    (lx.WAIT_WORDS, "SPEED_TIME", 0.16, None),
+    (lx.FAILURE_WORDS, "RELIABILITY_STABILITY", 0.2, "saas"),
+    (lx.FAILURE_WORDS, "QUALITY", 0.18, None),
+    (lx.FAILURE_WORDS, "PRODUCT_QUALITY", 0.18, None),
+]
+
 Taxonomy = dict[str, list[str]]
 
 
@@ -99,34 +121,71 @@ def profile_terms(spark: SparkSession) -> DataFrame:
     return tf.select("kind", "taxonomy", "term", "idf", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("kind", "taxonomy")))).alias("weight"))
 
 
+_TABLES: dict[tuple[str, str], tuple[list, object]] = {}
+
+
+def _local(spark: SparkSession, name: str, taxonomies: dict[str, Taxonomy], build: Callable[[], DataFrame]) -> DataFrame:
+    """A small table that follows from the taxonomies alone, as a broadcast; the last ones are remembered."""
+    at = (name, json.dumps(taxonomies))
+    if at not in _TABLES:
+        df = build()
+        if len(_TABLES) >= 32:
+            _TABLES.pop(next(iter(_TABLES)))
+        _TABLES[at] = df.collect(), df.schema
+    return F.broadcast(spark.createDataFrame(*_TABLES[at]))
+
+
+def _by_key(docs: DataFrame, key: str) -> DataFrame:
+    """All rows of a key in one partition; as many partitions as the session has for shuffles, as texts grow much
+    larger from here on."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def detect_taxonomy(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, taxonomy, margin, scores (taxonomy, score; best first) of each document with text.
 
     A document is compared with the profiles of the built-in taxonomies, by words and by character runs; terms that no
     profile has are left out before its length is taken. The best one is chosen if it is not the general one, scores
     TAXONOMY_SCORE and leads by TAXONOMY_MARGIN; else that for which two words or more speak, and more than for any
-    other; else the general one.
+    other; else the general one. key must be unique.
     """
+    return _detected(_by_key(docs.select(key, F.col(text_col).alias("text")), key), key).drop("text")
+
+
+def _detected(docs: DataFrame, key: str) -> DataFrame:
+    """detect_taxonomy of docs (key, text), with the text; docs is partitioned by the key, and the result is."""
+    names = list(lx.TAXONOMIES)
+    weights = [F.coalesce(F.max(F.when(F.col("taxonomy") == t, F.col("weight"))), F.lit(0.0)).alias(f"w_{t}") for t in names]
     spark = docs.sparkSession
-    profiles = profile_terms(spark)
-    idf = F.broadcast(profiles.select("kind", "term", "idf").distinct())
-    base = docs.select(key, normalize(F.col(text_col)).alias("norm")).filter("norm <> ''").withColumn("words", tokens(F.col("norm")))
-    terms = base.select(key, F.lit("word").alias("kind"), F.explode(ngrams(F.col("words"), 1, 3)).alias("term")).unionByName(base.select(key, F.lit("char").alias("kind"), F.explode(char_grams(F.col("norm"))).alias("term")))
-    tf = terms.join(idf, ["kind", "term"]).groupBy(key, "kind", "term", "idf").agg(F.count("*").alias("tf")).withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    profiles = _local(spark, "profiles", lx.TAXONOMIES, lambda: profile_terms(spark).groupBy("kind", "term").agg(F.first("idf").alias("idf"), *weights))
+    base = docs.select(key, "text", normalize(F.col("text")).alias("norm")).filter("norm <> ''").withColumn("words", tokens(F.col("norm")))
+    anchor = lambda t: F.size(F.array_intersect("words", strings(lx.DOMAIN_ANCHORS[t]))).alias(t)
+    head = F.struct("text", anchor("saas"), anchor("restaurant"))
+    base = base.select(key, head.alias("head"), ngrams(F.col("words"), 1, 3).alias("word"), char_grams(F.col("norm")).alias("char"))
+    no_head = F.lit(None).cast(base.schema["head"].dataType)
+    item = lambda kind, term, h: F.struct(F.lit(kind).cast("string").alias("kind"), term.alias("term"), h.alias("head"))
+    items = F.concat(F.array(item(None, F.lit(None).cast("string"), F.col("head"))), *[_items(kind, item, no_head) for kind in ("word", "char")])
+    rows = base.select(key, F.explode(items).alias("i")).select(key, "i.kind", "i.term", "i.head")
+    rows = rows.join(profiles, ["kind", "term"], "left").filter("idf is not null or head is not null")
+    given = ["kind", "term", "idf", *[f"w_{t}" for t in names]]
+    tf = rows.groupBy(key, *given).agg(F.count("*").alias("tf"), F.first("head", ignorenulls=True).alias("head"))
+    tf = tf.withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     tf = tf.withColumn("len", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key, "kind"))))
-    share = F.when(F.col("kind") == "word", WORD_SHARE).otherwise(1 - WORD_SHARE)
-    hits = tf.join(F.broadcast(profiles.drop("idf")), ["kind", "term"]).groupBy(key, "taxonomy").agg(F.sum(share * F.col("raw") / F.col("len") * F.col("weight")).alias("score"))
-    by = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "score"))).alias("by"))
-    score = lambda t: F.coalesce(F.col("by")[t], F.lit(0.0))
-    listed = F.array(*[F.struct((-score(t)).alias("minus"), F.lit(-i).alias("pos"), F.lit(t).alias("taxonomy")) for i, t in enumerate(lx.TAXONOMIES)])
-    anchor = lambda t: F.size(F.array_intersect("words", strings(lx.DOMAIN_ANCHORS[t])))
-    out = base.join(by, key, "left").withColumns({"listed": F.array_sort(listed), "saas": anchor("saas"), "restaurant": anchor("restaurant")})
+    part = F.when(F.col("kind") == "word", WORD_SHARE).otherwise(1 - WORD_SHARE) * F.col("raw") / F.col("len")
+    sums = [F.coalesce(F.sum(part * F.col(f"w_{t}")), F.lit(0.0)).alias(t) for t in names]
+    out = tf.groupBy(key).agg(*[c.alias(f"score_{t}") for t, c in zip(names, sums, strict=True)], F.first("head", ignorenulls=True).alias("head"))
+    listed = F.array(*[F.struct((-F.col(f"score_{t}")).alias("minus"), F.lit(-i).alias("pos"), F.lit(t).alias("taxonomy")) for i, t in enumerate(names)])
+    out = out.select(key, F.array_sort(listed).alias("listed"), "head.text", "head.saas", "head.restaurant")
     top, second = F.col("listed")[0], F.col("listed")[1]
     margin = second["minus"] - top["minus"]
     leads = (top["taxonomy"] != "general") & (-top["minus"] >= TAXONOMY_SCORE) & (margin >= TAXONOMY_MARGIN)
     chosen = F.when(leads, top["taxonomy"]).when((F.col("saas") >= 2) & (F.col("saas") > F.col("restaurant")), "saas").when((F.col("restaurant") >= 2) & (F.col("restaurant") > F.col("saas")), "restaurant").otherwise("general")
     scores = F.transform("listed", lambda x: F.struct(x["taxonomy"].alias("taxonomy"), (-x["minus"]).alias("score")))
-    return out.select(key, chosen.alias("taxonomy"), margin.alias("margin"), scores.alias("scores"))
+    return out.select(key, chosen.alias("taxonomy"), margin.alias("margin"), scores.alias("scores"), "text")
+
+
+def _items(kind: str, item, head: Column) -> Column:
+    return F.transform(kind, lambda term: item(kind, term, head))
 
 
 def granulate(docs: DataFrame, taxonomy: dict[str, list[str]] | None = None, custom: bool = False, key: str = "doc_id", text_col: str = "text", top_k: int = EVIDENCE, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -139,37 +198,49 @@ def granulate(docs: DataFrame, taxonomy: dict[str, list[str]] | None = None, cus
     spark = docs.sparkSession
     own = custom or taxonomy is not None
     taxonomies = {"custom": custom_taxonomy(taxonomy)} if own else lx.TAXONOMIES
-    texts = docs.select(key, text_col)
-    named = texts.withColumn("taxonomy", F.lit("custom")) if own else texts.join(detect_taxonomy(texts, key, text_col).select(key, "taxonomy"), key)
-    units = explode_units(named, text_col).withColumn("n_units", F.count("*").over(Window.partitionBy(key)))
-
-    terms = units.select(key, "taxonomy", "unit_pos", "n_units", F.explode(ngrams(F.col("tokens"), 1, 3)).alias("term")).groupBy(key, "taxonomy", "unit_pos", "n_units", "term").agg(F.count("*").alias("tf"))
+    texts = _by_key(docs.select(key, F.col(text_col).alias("text")), key)
+    named = texts.withColumn("taxonomy", F.lit("custom")) if own else _detected(texts, key)
+    cut = named.select(key, "taxonomy", split_units(F.col("text")).alias("units"))
+    units = cut.select(key, "taxonomy", F.size("units").alias("n_units"), F.posexplode("units").alias("unit_pos", "unit"))
+    units = units.withColumn("norm", normalize(F.col("unit"))).withColumn("tokens", tokens(F.col("norm")))
+
+    units = units.select(key, "taxonomy", "n_units", "unit_pos", F.struct("unit", "norm", "tokens").alias("head"))
+    no_head = F.lit(None).cast(units.schema["head"].dataType)
+    runs = F.transform(ngrams(F.col("head.tokens"), 1, 3), lambda t: F.struct(t.alias("term"), no_head.alias("head")))
+    first = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("head").alias("head")))
+    unit = [key, "taxonomy", "n_units", "unit_pos"]
+    terms = units.select(*unit, F.explode(F.concat(first, runs)).alias("i")).groupBy(*unit, F.col("i.term").alias("term")).agg(F.count("*").alias("tf"), F.first("i.head", ignorenulls=True).alias("head"))
     terms = terms.withColumn("df_units", F.count("*").over(Window.partitionBy(key, "term")))
-    seeds = seed_terms(spark, taxonomies) if any(a != "OTHER" for tax in taxonomies.values() for a in tax) else None
-    units = units.join(F.broadcast(taxonomy_table(spark, taxonomies)), "taxonomy")
-    if seeds is None:
-        weighted = terms.withColumn("df_seeds", F.lit(0)).withColumn("n_seeds", F.lit(0))
+
+    entry = "struct<seed_id:string,aspect:string,w:double,a:double,b:double,c:double>"
+    if any(a != "OTHER" for tax in taxonomies.values() for a in tax):
+        met = F.collect_list(F.struct("seed_id", "aspect", F.col("w").cast("double").alias("w"), "a", "b", "c"))
+        seeds = _local(spark, "seeds", taxonomies, lambda: seed_terms(spark, taxonomies).groupBy("taxonomy", "term").agg(F.first("df").alias("df_seeds"), met.alias("met")))
+        sizes = _local(spark, "sizes", taxonomies, lambda: seed_terms(spark, taxonomies).select("taxonomy", "n_seeds").distinct())
+        weighted = terms.join(seeds, ["taxonomy", "term"], "left").fillna(0, ["df_seeds"]).join(sizes, "taxonomy")
     else:
-        per_term = seeds.select("taxonomy", "term", F.col("df").alias("df_seeds")).distinct()
-        counts = seeds.select("taxonomy", "n_seeds").distinct()
-        weighted = terms.join(F.broadcast(per_term), ["taxonomy", "term"], "left").fillna(0, ["df_seeds"]).join(F.broadcast(counts), "taxonomy")
+        weighted = terms.withColumns({"df_seeds": F.lit(0), "n_seeds": F.lit(0), "met": F.expr(f"cast(array() as array<{entry}>)")})
     top = F.log(1 + F.col("n_seeds") + F.col("n_units")) + 1
-    weighted = weighted.withColumn("idf", top - F.log(1 + F.col("df_seeds") + F.col("df_units"))).withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    real = F.col("term").isNotNull()
+    weighted = weighted.withColumn("idf", F.when(real, top - F.log(1 + F.col("df_seeds") + F.col("df_units")))).withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     weighted = weighted.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key, "unit_pos"))))
-    if seeds is not None:
-        met = weighted.join(F.broadcast(seeds.select("taxonomy", "term", "seed_id", "aspect", "w", "df", "a", "b", "c")), ["taxonomy", "term"])
-        lone = top - F.log(1 + F.col("df"))
-        met = met.withColumns({"dot": F.col("weight") * F.col("w") * F.col("idf"), "more": F.col("w") * F.col("w") * (F.col("idf") * F.col("idf") - lone * lone), "plain": top * top * F.col("a") + 2 * top * F.col("b") + F.col("c")})
-        once = F.row_number().over(Window.partitionBy(key, "seed_id", "term").orderBy("unit_pos"))
-        met = met.withColumn("more", F.when(once == 1, F.col("more")).otherwise(0.0))
-        met = met.withColumn("norm2", F.sum("more").over(Window.partitionBy(key, "seed_id")) + F.col("plain"))
-        cosines = met.groupBy(key, "unit_pos", "aspect", "seed_id").agg((F.sum("dot") / F.sqrt(F.first("norm2"))).alias("cos"))
-        cosines = cosines.groupBy(key, "unit_pos", "aspect").agg(F.max("cos").alias("cos")).groupBy(key, "unit_pos").agg(F.map_from_entries(F.collect_list(F.struct("aspect", "cos"))).alias("cosines"))
-        units = units.join(cosines, [key, "unit_pos"], "left")
-    else:
-        units = units.withColumn("cosines", F.expr("cast(null as map<string,double>)"))
-    shown = weighted.filter(is_evidence(F.col("term")) & (F.length("term") > 2)).groupBy(key, "unit_pos").agg(F.array_sort(F.collect_list(F.struct((-F.round("weight", 9)).alias("minus"), F.col("term").alias("term")))).alias("shown"))
-    units = units.join(shown, [key, "unit_pos"], "left")
+    shown = F.when(real & (F.length("term") > 2) & is_evidence(F.col("term")), F.struct((-F.round("weight", 9)).alias("minus"), F.col("term").alias("term")))
+    weighted = weighted.withColumn("shown", shown)
+
+    # a term's own row has the head and the evidence, and one row for each of its seeds their figures
+    plain = F.array(F.struct(F.lit(None).cast(entry).alias("seed"), F.col("head"), F.col("shown")))
+    with_seed = F.transform(F.coalesce("met", F.expr(f"cast(array() as array<{entry}>)")), lambda m: F.struct(m.cast(entry).alias("seed"), F.lit(None).cast(weighted.schema["head"].dataType).alias("head"), F.lit(None).cast(weighted.schema["shown"].dataType).alias("shown")))
+    rows = weighted.select(*unit, "term", "idf", "weight", "df_seeds", top.alias("top"), F.explode(F.concat(plain, with_seed)).alias("r"))
+    rows = rows.select(*unit, "term", "idf", "weight", "df_seeds", "top", "r.head", "r.shown", "r.seed.*")
+    lone = F.col("top") - F.log(1 + F.col("df_seeds"))
+    rows = rows.withColumns({"dot": F.col("weight") * F.col("w") * F.col("idf"), "more": F.col("w") * F.col("w") * (F.col("idf") * F.col("idf") - lone * lone), "plain": F.col("top") * F.col("top") * F.col("a") + 2 * F.col("top") * F.col("b") + F.col("c")})
+    once = F.row_number().over(Window.partitionBy(key, "seed_id", "term").orderBy("unit_pos"))
+    rows = rows.withColumn("more", F.when(once == 1, F.col("more")).otherwise(0.0))
+    rows = rows.withColumn("norm2", F.sum("more").over(Window.partitionBy(key, "seed_id")) + F.col("plain"))
+    cosines = rows.groupBy(*unit, "seed_id", "aspect").agg((F.sum("dot") / F.sqrt(F.first("norm2"))).alias("cos"), F.collect_list("shown").alias("shown"), F.first("head", ignorenulls=True).alias("head"))
+    met = F.collect_list(F.when(F.col("aspect").isNotNull(), F.struct("aspect", "cos")))
+    units = cosines.groupBy(*unit).agg(met.alias("cosines"), F.array_sort(F.flatten(F.collect_list("shown"))).alias("shown"), F.first("head", ignorenulls=True).alias("head"))
+    units = units.select(key, "taxonomy", "unit_pos", "cosines", "shown", "head.*").join(_local(spark, "aspects", taxonomies, lambda: taxonomy_table(spark, taxonomies)), "taxonomy")
     return _assign(units, key, top_k, min_similarity)
 
 
@@ -181,7 +252,7 @@ def _assign(units: DataFrame, key: str, top_k: int, min_similarity: float) -> Da
     distinct = F.array_distinct("tokens")
 
     def score(a: Column) -> Column:
-        cos = F.coalesce(F.col("cosines")[a["name"]], F.lit(0.0))
+        cos = F.coalesce(F.array_max(F.transform(F.filter("cosines", lambda c: c["aspect"] == a["name"]), lambda c: c["cos"])), F.lit(0.0))
         hits = F.size(F.array_intersect(distinct, a["seeds"])) + 1.6 * F.size(F.filter(a["phrases"], lambda p: F.col("norm").contains(p)))
         lex = F.least(F.lit(1.0), hits / F.greatest(F.size("tokens"), F.lit(1)))
         anchors = F.size(F.array_intersect(distinct, a["anchors"]))
@@ -205,20 +276,10 @@ def _assign(units: DataFrame, key: str, top_k: int, min_similarity: float) -> Da
     most = F.coalesce(F.array_max(F.transform("ranked", lambda s: s["anchors"])), F.lit(0))
     weak = ~F.col("forced") & (F.col("cos") < min_similarity) & (F.col("conf") < max(min_similarity, 0.16)) & ~((most >= 2) & (F.col("conf") >= 0.14))
     units = units.withColumns({"best": F.when(weak, "OTHER").otherwise(F.col("best")), "margin": F.when(weak, 0.0).otherwise(F.col("margin"))})
-    has = lambda n: F.array_contains("names", n)
-    saas = F.col("taxonomy") == "saas"
-    rescue = (
-        F.when(_has(lx.SUPPORT_WORDS) & has("CUSTOMER_SUPPORT_SERVICE"), _choice("CUSTOMER_SUPPORT_SERVICE", 0.18))
-        .when(_has(lx.SUPPORT_WORDS) & has("SERVICE_SUPPORT"), _choice("SERVICE_SUPPORT", 0.18))
-        .when(_has(lx.SUPPORT_WORDS) & has("SERVICE"), _choice("SERVICE", 0.18))
-        .when(_has(lx.PRICE_WORDS) & has("PRICE_VALUE"), _choice("PRICE_VALUE", 0.18))
-        .when(_has(lx.WAIT_WORDS) & has("WAIT_TIME"), _choice("WAIT_TIME", 0.18))
-        .when(_has(lx.WAIT_WORDS) & saas & has("PERFORMANCE_SPEED"), _choice("PERFORMANCE_SPEED", 0.16))
-        .when(_has(lx.WAIT_WORDS) & has("SPEED_TIME"), _choice("SPEED_TIME", 0.16))
-        .when(_has(lx.FAILURE_WORDS) & saas & has("RELIABILITY_STABILITY"), _choice("RELIABILITY_STABILITY", 0.2))
-        .when(_has(lx.FAILURE_WORDS) & has("QUALITY"), _choice("QUALITY", 0.18))
-        .when(_has(lx.FAILURE_WORDS) & has("PRODUCT_QUALITY"), _choice("PRODUCT_QUALITY", 0.18))
-    )
+    rescue = F.lit(None).cast("struct<name:string,conf:double>")
+    for words, name, conf, only in reversed(RESCUES):
+        fits = _has(words) & F.array_contains("names", name) & (F.lit(True) if only is None else F.col("taxonomy") == only)
+        rescue = F.when(fits, F.struct(F.lit(name).alias("name"), F.lit(conf).alias("conf"))).otherwise(rescue)
     units = units.withColumn("rescue", F.when(F.col("best") == "OTHER", rescue)).withColumn("saved", named(F.col("rescue.name")))
     units = units.withColumns({"best": F.coalesce("rescue.name", "best"), "conf": F.greatest("conf", F.coalesce("rescue.conf", F.lit(0.0))), "cos": F.coalesce("saved.cos", "cos"), "lex": F.coalesce("saved.lex", "lex")})
 
@@ -236,10 +297,6 @@ def _assign(units: DataFrame, key: str, top_k: int, min_similarity: float) -> Da
     )
 
 
-def _choice(name: str, conf: float) -> Column:
-    return F.struct(F.lit(name).alias("name"), F.lit(conf).alias("conf"))
-
-
 def highlights(granules: DataFrame, key: str = "doc_id", n: int = 3) -> DataFrame:
     """The n granules of most weight, |score| (0.6 + confidence), of each document; those of OTHER only where all are."""
     weight = F.abs("sentiment_score") * (0.6 + F.col("confidence"))

@@ -267,7 +267,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REVIEW_UNITS = f"r AS (SELECT event_id AS doc_id, event_type, {REVIEW} AS text FROM events), {_units_sql('r', 'doc_id')}, nu AS (SELECT doc_id, unit_pos, unit, {_normal('unit')} AS norm FROM units), tu AS (SELECT *, {_tokens('norm')} AS tokens FROM nu)"
 _PHRASES = "(VALUES " + ", ".join(f"({_q(p)}, {w}::DOUBLE)" for p, w in {**lx.POSITIVE_PHRASES, **lx.NEGATIVE_PHRASES}.items()) + ") AS ph(phrase, w)"
 _LEXICON = "(VALUES " + ", ".join(f"({_q(p)}, {w}::DOUBLE)" for p, w in {**lx.POSITIVE, **lx.NEGATIVE}.items()) + ") AS lex(word, w)"
-_MODS = "(VALUES " + ", ".join(f"({_q(p)}, {w}::DOUBLE)" for p, w in lx.MODIFIERS.items()) + ") AS mods(word, w)"
+_MODS = "(VALUES " + ", ".join(f"({_q(p)}, {w}::DOUBLE)" for p, w in {**lx.INTENSIFIERS, **lx.DOWNPLAYERS}.items()) + ") AS mods(word, w)"
 _SCORES = f"""phs AS (SELECT norm, sum(w) AS w FROM (SELECT DISTINCT norm FROM tu) JOIN {_PHRASES} ON contains(norm, phrase) GROUP BY norm),
 du AS (SELECT norm, any_value(tokens) AS tokens FROM tu GROUP BY norm),
 tk AS (SELECT norm, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS i FROM du),
@@ -345,47 +345,165 @@ def aspect_anchor_hits(spark, sf_dir):
     return tokens.join(anchors, "token").groupBy("doc_id", "unit_pos", "aspect").agg(F.count("*").alias("hits"))
 
 
-@query()
+CUSTOM = {"speed": ["slow", "fast", "takes forever", "loading"], "trust": ["crashes", "error message", "reliable"], "people": ["support", "waiter", "waited an hour"], "money": ["price", "worth every penny", "vale la pena"]}
+
+
+def _values(rows, names: str) -> str:
+    said = lambda x: "NULL" if x is None else _q(x) if isinstance(x, str) else str(x)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows) + f") AS {names}"
+
+
+def _ngrams_sql(words: str) -> str:
+    return f"list_concat({words}, " + ", ".join(f"list_transform(range(1, len({words}) - {n - 2}), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))" for n in (2, 3)) + ")"
+
+
+def _char_grams_sql(norm: str) -> str:
+    words = f"list_transform(list_filter(string_split({norm}, ' '), lambda w: w <> ''), lambda w: ' ' || w || ' ')"
+    return "list_concat(" + ", ".join(f"flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) - {n - 2}), lambda i: substr(w, i, {n}))))" for n in (3, 4, 5)) + ")"
+
+
+def _evidence_sql(term: str, words: str) -> str:
+    stop = _list(sorted({*lx.STOP_WORDS, *lx.EVIDENCE_STOP}))
+    phrases = " OR ".join(f"contains({term}, {_q(p)})" for p in lx.EVIDENCE_STOP_PHRASES)
+    single = f"{words}[1] NOT IN {_in(lx.EVIDENCE_STOP_VERBS)} AND ({words}[1] IN {_in(lx.EVIDENCE_SHORT)} OR (length({words}[1]) >= 4 AND NOT list_contains({stop}, {words}[1])))"
+    many = f"len(list_filter({words}, lambda w: length(w) >= 4 AND NOT list_contains({stop}, w))) > 0"
+    return f"({term} <> '' AND NOT list_contains({stop}, {term}) AND NOT ({phrases}) AND CASE len({words}) WHEN 0 THEN false WHEN 1 THEN {single} ELSE {many} END)"
+
+
+def _taxonomy_values(taxonomies) -> str:
+    rows = [(t, i, a, j, seed) for t, tax in taxonomies.items() for i, (a, seeds) in enumerate(tax.items()) for j, seed in enumerate(seeds)]
+    return _values(rows, "v(taxonomy, pos, aspect, j, seed)")
+
+
+_PROFILE_ROWS = [(t, i, seed) for t, tax in lx.TAXONOMIES.items() for i, seed in enumerate(x for a, seeds in tax.items() for x in (a, *seeds))]
+#: From rd (id, text): found, the taxonomy of each text, by the definition (all terms of all profiles).
+_DETECT = f"""pn AS (SELECT taxonomy, i, {_normal('seed')} AS norm FROM {_values(_PROFILE_ROWS, 'v(taxonomy, i, seed)')}),
+pd AS (SELECT taxonomy, string_agg(norm, ' ' ORDER BY i) AS norm FROM (SELECT taxonomy, norm, min(i) AS i FROM pn WHERE norm <> '' GROUP BY ALL) GROUP BY taxonomy),
+pt AS (SELECT taxonomy, kind, term, count(*) AS tf FROM (SELECT taxonomy, 'word' AS kind, unnest({_ngrams_sql(_tokens('norm'))}) AS term FROM pd UNION ALL SELECT taxonomy, 'char', unnest({_char_grams_sql('norm')}) FROM pd) GROUP BY ALL),
+pi AS (SELECT *, ln({len(lx.TAXONOMIES) + 1.0} / (1 + count(*) OVER (PARTITION BY kind, term))) + 1 AS idf FROM pt),
+pw AS (SELECT *, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY kind, taxonomy)) AS weight FROM pi),
+dn AS (SELECT id, norm, {_tokens('norm')} AS words FROM (SELECT id, {_normal('text')} AS norm FROM rd) WHERE norm <> ''),
+dt AS (SELECT id, kind, term, count(*) AS tf FROM (SELECT id, 'word' AS kind, unnest({_ngrams_sql('words')}) AS term FROM dn UNION ALL SELECT id, 'char', unnest({_char_grams_sql('norm')}) FROM dn) GROUP BY ALL),
+dw AS (SELECT id, kind, term, (1 + ln(tf)) * idf AS raw FROM dt JOIN (SELECT DISTINCT kind, term, idf FROM pi) USING (kind, term)),
+dl AS (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id, kind)) AS unit FROM dw),
+ds AS (SELECT id, taxonomy, sum(CASE WHEN kind = 'word' THEN {asp.WORD_SHARE} ELSE {1 - asp.WORD_SHARE} END * unit * weight) AS score FROM dl JOIN pw USING (kind, term) GROUP BY ALL),
+dr AS (SELECT id, list(taxonomy ORDER BY score DESC, n DESC) AS t, list(score ORDER BY score DESC, n DESC) AS s FROM (SELECT dn.id, n, v.taxonomy, coalesce(score, 0) AS score FROM dn CROSS JOIN {_values(enumerate(lx.TAXONOMIES), 'v(n, taxonomy)')} LEFT JOIN ds ON ds.id = dn.id AND ds.taxonomy = v.taxonomy) GROUP BY id),
+da AS (SELECT id, len(list_intersect(words, {_list(lx.DOMAIN_ANCHORS['saas'])})) AS saas, len(list_intersect(words, {_list(lx.DOMAIN_ANCHORS['restaurant'])})) AS restaurant FROM dn),
+found AS (SELECT id, s[1] - s[2] AS margin, s[1] AS score, CASE WHEN t[1] <> 'general' AND s[1] >= {asp.TAXONOMY_SCORE} AND s[1] - s[2] >= {asp.TAXONOMY_MARGIN} THEN t[1] WHEN saas >= 2 AND saas > restaurant THEN 'saas' WHEN restaurant >= 2 AND restaurant > saas THEN 'restaurant' ELSE 'general' END AS taxonomy FROM dr JOIN da USING (id))"""
+
+
+def _granules_sql(taxonomies, detect: bool) -> str:
+    """Common table expressions; the last, g, has the granules of all reviews. Equal texts are worked out once. Every
+    text's TF-IDF is taken by the definition: its units and all seeds are the documents."""
+    named = _DETECT if detect else "found AS (SELECT id, 'custom' AS taxonomy FROM rd)"
+    anchors = [(t, a, w) for t, by in lx.ANCHORS.items() for a, ws in by.items() for w in ws]
+    has = lambda words: f"len(list_intersect(tokens, {_list(words)})) > 0"
+    rescue = " ".join(f"WHEN {has(words)} AND list_contains(names, {_q(name)}){'' if only is None else f' AND taxonomy = {_q(only)}'} THEN {{'name': {_q(name)}, 'conf': {conf}}}" for words, name, conf, only in asp.RESCUES)
+    low = max(asp.MIN_SIMILARITY, 0.16)
+    return f"""r AS (SELECT event_id AS doc_id, event_type, {REVIEW} AS text FROM events),
+rd AS (SELECT text, row_number() OVER (ORDER BY text) AS id FROM (SELECT DISTINCT text FROM r)),
+{named},
+k AS (SELECT rd.id, rd.text, taxonomy FROM rd JOIN found USING (id)), {_units_sql('k', 'id')},
+nu AS (SELECT id AS doc_id, unit_pos, unit, {_normal('unit')} AS norm FROM units), tu AS (SELECT *, {_tokens('norm')} AS tokens FROM nu), {_SCORES},
+sd AS (SELECT taxonomy, pos, aspect, j, {_normal('seed')} AS norm FROM {_taxonomy_values(taxonomies)}),
+su AS (SELECT taxonomy, aspect, norm, min(j) AS j FROM sd WHERE norm <> '' AND aspect <> 'OTHER' GROUP BY ALL),
+sa AS (SELECT taxonomy, aspect, j, norm FROM su UNION ALL SELECT taxonomy, aspect, -1, array_to_string(list(norm ORDER BY j)[1:12], ' ') FROM su GROUP BY taxonomy, aspect HAVING count(*) >= 3),
+stf AS (SELECT taxonomy, aspect, j, term, count(*) AS tf FROM (SELECT taxonomy, aspect, j, unnest({_ngrams_sql(_tokens('norm'))}) AS term FROM sa) GROUP BY ALL),
+sdf AS (SELECT taxonomy, term, count(*) AS df FROM stf GROUP BY ALL),
+sn AS (SELECT taxonomy, count(*) AS n FROM (SELECT DISTINCT taxonomy, aspect, j FROM stf) GROUP BY taxonomy),
+utf AS (SELECT doc_id AS id, unit_pos, term, count(*) AS tf FROM (SELECT doc_id, unit_pos, unnest({_ngrams_sql('tokens')}) AS term FROM tu) GROUP BY ALL),
+udf AS (SELECT id, term, count(*) AS df FROM utf GROUP BY ALL),
+un AS (SELECT doc_id AS id, count(*) AS n FROM tu GROUP BY ALL),
+top AS (SELECT k.id, k.taxonomy, ln(1 + un.n + coalesce(sn.n, 0)) + 1 AS top FROM k JOIN un USING (id) LEFT JOIN sn USING (taxonomy)),
+uw AS (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id, unit_pos)) AS weight FROM (SELECT utf.id, top.taxonomy, unit_pos, utf.term, (1 + ln(tf)) * (top - ln(1 + udf.df + coalesce(sdf.df, 0))) AS raw FROM utf JOIN top USING (id) JOIN udf ON udf.id = utf.id AND udf.term = utf.term LEFT JOIN sdf ON sdf.taxonomy = top.taxonomy AND sdf.term = utf.term)),
+sw AS (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id, aspect, j)) AS weight FROM (SELECT top.id, aspect, j, stf.term, (1 + ln(tf)) * (top - ln(1 + sdf.df + coalesce(udf.df, 0))) AS raw FROM top JOIN stf USING (taxonomy) JOIN sdf ON sdf.taxonomy = stf.taxonomy AND sdf.term = stf.term LEFT JOIN udf ON udf.id = top.id AND udf.term = stf.term)),
+cs AS (SELECT id, unit_pos, aspect, max(cos) AS cos FROM (SELECT uw.id, unit_pos, aspect, j, sum(uw.weight * sw.weight) AS cos FROM uw JOIN sw ON uw.id = sw.id AND uw.term = sw.term GROUP BY ALL) GROUP BY ALL),
+ta AS (SELECT taxonomy, pos, aspect, list_distinct(flatten(list(list_filter({_tokens('norm')}, lambda w: NOT list_contains({_list(lx.GENERIC_SEEDS)}, w))))) AS seeds, list_filter(list_distinct(list(norm)), lambda p: contains(p, ' ')) AS phrases FROM sd GROUP BY ALL),
+tn AS (SELECT taxonomy, list(aspect ORDER BY pos) AS names FROM ta GROUP BY taxonomy),
+an AS (SELECT taxonomy, aspect, list(word) AS words FROM {_values(anchors, 'v(taxonomy, aspect, word)')} GROUP BY ALL),
+al AS (SELECT tu.doc_id AS id, tu.unit_pos, ta.taxonomy, ta.aspect, ta.pos, coalesce(cos, 0) AS cos, least(1.0, CAST(len(list_intersect(tokens, seeds)) + 1.6 * len(list_filter(phrases, lambda p: contains(norm, p))) AS DOUBLE) / greatest(1, len(tokens))) AS lex, coalesce(len(list_intersect(tokens, an.words)), 0) AS anchors,
+ CASE WHEN ta.aspect = 'CUSTOMER_SUPPORT_SERVICE' THEN CASE WHEN {has(lx.REPLY_WORDS)} THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN {has(lx.SUPPORT_CONTEXT)} AND {has(lx.DELAY_CONTEXT)} THEN 0.15::DOUBLE ELSE 0 END ELSE 0::DOUBLE END AS reply
+ FROM tu JOIN k ON k.id = tu.doc_id JOIN ta ON ta.taxonomy = k.taxonomy AND ta.aspect <> 'OTHER' LEFT JOIN cs ON cs.id = tu.doc_id AND cs.unit_pos = tu.unit_pos AND cs.aspect = ta.aspect LEFT JOIN an ON an.taxonomy = ta.taxonomy AND an.aspect = ta.aspect),
+ac AS (SELECT id, unit_pos, list({{'name': aspect, 'conf': conf, 'cos': cos, 'lex': lex, 'anchors': anchors}} ORDER BY conf DESC, pos) AS ranked FROM (SELECT *, 0.7::DOUBLE * cos + 0.3::DOUBLE * lex + 0.08::DOUBLE * anchors + reply AS conf FROM al) GROUP BY ALL),
+b0 AS (SELECT raw.doc_id AS id, raw.unit_pos, unit, norm, tokens, raw, k.taxonomy, names, coalesce(ranked, []) AS ranked, list_contains(names, 'WAIT_TIME') AND {has(lx.WAIT_WORDS)} AS waits, coalesce(ranked[1].name = 'PERFORMANCE_SPEED' AND {has(lx.REPLY_WORDS)}, false) AS replies FROM raw JOIN k ON k.id = raw.doc_id JOIN tn USING (taxonomy) LEFT JOIN ac ON ac.id = raw.doc_id AND ac.unit_pos = raw.unit_pos),
+b1 AS (SELECT *, CASE WHEN waits THEN 'WAIT_TIME' WHEN replies THEN 'CUSTOMER_SUPPORT_SERVICE' ELSE coalesce(ranked[1].name, 'OTHER') END AS best0 FROM b0),
+b2 AS (SELECT *, list_filter(ranked, lambda x: x.name = best0)[1] AS own, coalesce(list_max(list_transform(list_filter(ranked, lambda x: x.name <> best0), lambda x: x.conf)), 0) AS rest, coalesce(list_max(list_transform(ranked, lambda x: x.anchors)), 0) AS most FROM b1),
+b3 AS (SELECT *, CASE WHEN waits THEN greatest(coalesce(own.conf, 0), 0.75::DOUBLE) ELSE coalesce(own.conf, 0) END AS conf0, coalesce(own.cos, 0) AS cos0, coalesce(own.lex, 0) AS lex0 FROM b2),
+b4 AS (SELECT *, CASE WHEN best0 <> 'OTHER' THEN conf0 - rest ELSE 0 END AS margin0, CASE WHEN best0 <> 'OTHER' AND conf0 - rest < 0.04 THEN 0.8::DOUBLE * conf0 ELSE conf0 END AS conf1 FROM b3),
+b5 AS (SELECT *, NOT (waits OR replies) AND cos0 < {asp.MIN_SIMILARITY} AND conf1 < {low} AND NOT (most >= 2 AND conf1 >= 0.14) AS weak FROM b4),
+b6 AS (SELECT *, CASE WHEN weak OR best0 = 'OTHER' THEN CASE {rescue} END END AS rescue FROM b5),
+b7 AS (SELECT *, coalesce(rescue.name, CASE WHEN weak THEN 'OTHER' ELSE best0 END) AS best, list_filter(ranked, lambda x: x.name = rescue.name)[1] AS saved FROM b6),
+ev AS (SELECT id, unit_pos, list(term ORDER BY round(weight, 9) DESC, term) AS shown FROM (SELECT *, {_tokens('term')} AS words FROM uw) WHERE length(term) > 2 AND {_evidence_sql('term', 'words')} GROUP BY ALL),
+b8 AS (SELECT b7.*, coalesce(shown[1:{asp.EVIDENCE}], tokens[1:{asp.EVIDENCE}]) AS terms, list_transform(list_sort(list_transform(list_filter(coalesce(ta.phrases, []), lambda p: contains(norm, p)), lambda p: {{'minus': -length(p), 'p': p}})), lambda x: x.p) AS held FROM b7 LEFT JOIN ev ON ev.id = b7.id AND ev.unit_pos = b7.unit_pos LEFT JOIN ta ON ta.taxonomy = b7.taxonomy AND ta.aspect = b7.best AND b7.best <> 'OTHER'),
+gd AS (SELECT id, taxonomy, CAST(unit_pos AS INTEGER) AS unit_pos, unit AS excerpt, best AS aspect, list_concat(terms, list_filter(held, lambda p: NOT list_contains(terms, p)))[1:{asp.EVIDENCE}] AS evidence,
+ CASE WHEN tanh(raw / 2) > {THRESHOLD} THEN 'positive' WHEN tanh(raw / 2) < -{THRESHOLD} THEN 'negative' ELSE 'neutral' END AS sentiment, round(tanh(raw / 2), 3) AS sentiment_score, round(CAST(raw AS DOUBLE), 3) AS sentiment_raw, round(coalesce(saved.cos, cos0), 4) AS similarity, round(coalesce(saved.lex, lex0), 4) AS lexical_overlap,
+ round(greatest(conf1, coalesce(CAST(rescue.conf AS DOUBLE), 0)), 4) AS confidence, round(CASE WHEN weak THEN 0 ELSE margin0 END, 4) AS confidence_margin, names FROM b8),
+g AS (SELECT r.doc_id, r.event_type, gd.* EXCLUDE (id) FROM r JOIN rd USING (text) JOIN gd USING (id))"""
+
+
+_GRANULES, _OWN_GRANULES = _granules_sql(lx.TAXONOMIES, True), _granules_sql({"custom": asp.custom_taxonomy(CUSTOM)}, False)
+_SENTIMENTS = ("positive", "negative", "neutral")
+
+
+def _aggregate_sql(by: str) -> str:
+    keys = f"{by}aspect"
+    votes = ", ".join(f"count(*) FILTER (sentiment = '{x}') AS {x}_count" for x in _SENTIMENTS)
+    return f"""WITH {_GRANULES}, gs AS (SELECT {keys}, count(*) AS "count", avg(sentiment_score) AS score, avg(sentiment_raw) AS raw, {votes} FROM g WHERE aspect <> 'OTHER' GROUP BY ALL),
+et AS (SELECT {keys}, term, count(*) AS f, min((doc_id, unit_pos, at_)) AS seen FROM (SELECT {keys}, doc_id, unit_pos, unnest(evidence) AS term, generate_subscripts(evidence, 1) AS at_ FROM g WHERE aspect <> 'OTHER') GROUP BY ALL),
+tp AS (SELECT {keys}, list(term ORDER BY f DESC, seen)[1:3] AS top_evidence FROM et GROUP BY ALL)
+SELECT {keys}, "count", round(score, 3) AS avg_sentiment, round(raw, 3) AS avg_sentiment_raw, {", ".join(f'{x}_count, round({x}_count / "count", 3) AS {x}' for x in _SENTIMENTS)}, CASE WHEN score > 0.05 THEN 'positive' WHEN score < -0.05 THEN 'negative' ELSE 'neutral' END AS direction, coalesce(top_evidence, []) AS top_evidence FROM gs LEFT JOIN tp USING ({keys})"""
+
+
+_SHOWN = "doc_id, taxonomy, unit_pos, excerpt, aspect, evidence, sentiment, sentiment_score, sentiment_raw, similarity, lexical_overlap, confidence, confidence_margin"
+
+
+@query(f"WITH {_GRANULES} SELECT {_SHOWN} FROM g")
 def aspect_assign(spark, sf_dir):
     return asp.granulate(reviews(spark, sf_dir)).drop("names", "top_aspects")
 
 
-@query()
+@query(f"WITH {_OWN_GRANULES} SELECT {_SHOWN} FROM g")
 def aspect_assign_custom(spark, sf_dir):
-    taxonomy = {"speed": ["slow", "fast", "takes forever", "loading"], "trust": ["crashes", "error message", "reliable"], "people": ["support", "waiter", "waited an hour"], "money": ["price", "worth every penny", "vale la pena"]}
-    return asp.granulate(reviews(spark, sf_dir), taxonomy).drop("names", "top_aspects")
+    return asp.granulate(reviews(spark, sf_dir), CUSTOM).drop("names", "top_aspects")
 
 
-@query()
+@query(f"WITH r AS (SELECT event_id AS doc_id, {REVIEW} AS text FROM events), rd AS (SELECT text, row_number() OVER (ORDER BY text) AS id FROM (SELECT DISTINCT text FROM r)), {_DETECT} SELECT doc_id, taxonomy, round(margin, 6) AS margin, round(score, 6) AS score FROM r JOIN rd USING (text) JOIN found USING (id)")
 def taxonomy_detect(spark, sf_dir):
     found = asp.detect_taxonomy(reviews(spark, sf_dir))
     return found.select("doc_id", "taxonomy", F.round("margin", 6).alias("margin"), F.round(F.col("scores")[0]["score"], 6).alias("score"))
 
 
-@query()
+@query(_aggregate_sql(""))
 def aspect_aggregate(spark, sf_dir):
     # the aggregate reads its granules twice
     return asp.aspect_aggregate(asp.granulate(reviews(spark, sf_dir)).persist()).drop("first_seen")
 
 
-@query()
+@query(_aggregate_sql("event_type, "))
 def aspect_per_cluster(spark, sf_dir):
     docs = reviews(spark, sf_dir)
     granules = asp.granulate(docs).join(docs.select("doc_id", "event_type"), "doc_id").persist()
     return asp.aspect_aggregate(granules, ["event_type"]).drop("first_seen")
 
 
-@query()
+@query(f"""WITH {_GRANULES}, ew AS (SELECT doc_id, aspect, unit_pos, at_, term, {_tokens('term')} AS words FROM (SELECT doc_id, aspect, unit_pos, unnest(evidence) AS term, generate_subscripts(evidence, 1) AS at_ FROM g)),
+ef AS (SELECT doc_id, aspect, term, count(*) AS f, min((unit_pos, at_)) AS seen FROM ew WHERE {_evidence_sql('term', 'words')} GROUP BY ALL),
+tp AS (SELECT doc_id, aspect, list(term ORDER BY f DESC, length(term) DESC, seen)[1:3] AS top_evidence FROM ef GROUP BY ALL),
+gs AS (SELECT doc_id, aspect, count(*) AS "count", round(avg(sentiment_score), 3) AS avg_sentiment, round(avg(sentiment_raw), 3) AS avg_sentiment_raw FROM g GROUP BY ALL),
+dn2 AS (SELECT doc_id, unnest(names) AS aspect, generate_subscripts(names, 1) - 1 AS pos FROM (SELECT doc_id, any_value(names) AS names FROM g GROUP BY doc_id))
+SELECT doc_id, aspect, CAST(pos AS INTEGER) AS pos, coalesce("count", 0) AS "count", coalesce(avg_sentiment, 0) AS avg_sentiment, coalesce(avg_sentiment_raw, 0) AS avg_sentiment_raw, coalesce(top_evidence, []) AS top_evidence FROM dn2 LEFT JOIN gs USING (doc_id, aspect) LEFT JOIN tp USING (doc_id, aspect) WHERE aspect <> 'OTHER'""")
 def aspect_document_summary(spark, sf_dir):
     return asp.document_summary(asp.granulate(reviews(spark, sf_dir)).persist())
 
 
-@query()
+@query(f"""WITH {_GRANULES}, i AS (SELECT *, round(abs(sentiment_score) * (0.6::DOUBLE + confidence), 4) AS impact_score, bool_or(aspect <> 'OTHER') OVER (PARTITION BY doc_id) AS named FROM g),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY impact_score DESC, unit_pos) AS rank FROM i WHERE NOT named OR aspect <> 'OTHER')
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, unit_pos, aspect, excerpt, sentiment, impact_score FROM n2 WHERE rank <= 3""")
 def aspect_highlights(spark, sf_dir):
     return asp.highlights(asp.granulate(reviews(spark, sf_dir))).select("doc_id", "rank", "unit_pos", "aspect", "excerpt", "sentiment", "impact_score")
 
 
-@query()
+@query(f"WITH {_GRANULES} SELECT doc_id, count(*) AS n_granules, count(*) FILTER (aspect = 'OTHER') AS n_other, round(avg(CAST(aspect = 'OTHER' AS DOUBLE)), 4) AS other_rate FROM g GROUP BY ROLLUP (doc_id)")
 def other_rate(spark, sf_dir):
     return asp.other_rate(asp.granulate(reviews(spark, sf_dir)))
 
