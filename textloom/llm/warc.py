@@ -19,6 +19,8 @@ from .common import Scratch, shared_dir
 
 #: A new archive begins at FILE_BYTES; ranges are read together if they are at most GAP apart, up to RUN bytes.
 FILE_BYTES, GAP, RUN = 1 << 30, 1 << 16, 1 << 23
+#: Archives are read in pieces of about PIECE bytes, and a task gets about two of them.
+PIECE = 1 << 26
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -59,7 +61,7 @@ def _write(folder: str) -> Callable:
         system.create_dir(base, recursive=True)
         out, name, offset = None, "", 0
         try:
-            for batch in batches:
+            for batch in (whole.slice(lo, 100) for whole in batches for lo in range(0, len(whole), 100)):
                 rows = []
                 for r in batch.to_pylist():
                     if out is None or offset >= FILE_BYTES:
@@ -156,8 +158,15 @@ def _read(folder: str, with_payload: bool) -> Callable:
 
 def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records that the rows of index name, by reads of their byte ranges alone: sorted by file and offset, and
-    near ones together."""
-    ranges = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    near ones together.
+
+    A record belongs to the piece of its file in which it starts. Pieces are dealt out to as many tasks as the bytes of
+    the selected records ask for, so a task reads about 2 * PIECE bytes, however many records that are.
+    """
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // (2 * PIECE)))
+    piece = F.floor(F.col("offset") / min(PIECE, max(1, size // tasks)))
+    ranges = index.select("file", "offset", "length").repartition(int(tasks), "file", piece).sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_read(folder, with_payload), RECORD)
 
 
