@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-#: Words of the items of one automaton. Longer benchmarks are taken in blocks of about so many.
-BLOCK_WORDS = 100_000
+#: Words of the items of one automaton (about 60 MB), and automata that a worker holds at once; more take turns.
+BLOCK_WORDS, HELD = 100_000, 4
+#: Bytes of item text that one pass over the documents scans for; a larger benchmark takes more passes.
+PASS_BYTES = 64 << 20
 
 _KEPT = b"".join(bytes([i]) if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else b" " for i in range(256))
 _FOLD = bytes(i + 32 if 0x41 <= i <= 0x5A else _KEPT[i] for i in range(256))
@@ -23,26 +25,37 @@ def words(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised over the items: states are classes of word runs that end at the same places in the items."""
+    """Generalised over the items: states are classes of word runs that end at the same places in the items. A state
+    of runs of `window` words and more knows the items in which its run of the last `window` words occurs."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.windows: dict[tuple[int, ...], set[str]] = {}
-        short: dict[tuple[int, ...], int] = {}
+        ends: dict[int, set[str]] = {}
+        self.short: dict[int, set[str]] = {}  # items of fewer words, by the state that is reached by the whole item
         for item, found in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found]
             last = 0
-            for c in ids:
+            for c in (self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found):
                 last = self._extend(last, c)
-            for i in range(max(1, len(ids) - window + 1)) if ids else ():
-                self.windows.setdefault(tuple(ids[i : i + window]), set()).add(item)
-            if ids and len(ids) < window:
-                short[tuple(ids)] = 0
-        self.short_lengths = sorted({len(s) for s in short}, reverse=True)
-        self.shortest = min(self.short_lengths, default=window)
+                ends.setdefault(last, set()).add(item)
+            if found and len(found) < window:
+                self.short.setdefault(last, set()).add(item)
+        # from short runs to long ones, as a state's link has shorter runs
+        order = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        self.anchor, self.whole = [0] * len(self.length), [0] * len(self.length)
+        self.items: dict[int, set[str]] = {}
+        for s in order:
+            up = self.link[s]
+            if self.length[s] >= window:
+                # the state whose runs of `window` words end wherever those of s do
+                self.anchor[s] = s if self.length[up] < window else self.anchor[up]
+                if s in ends:
+                    self.items.setdefault(self.anchor[s], set()).update(ends[s])
+            # the nearest state, s or above, at which a short item ends
+            self.whole[s] = s if s in self.short else self.whole[up]
+        self.shortest = min([window, *(self.length[s] for s in self.short)])
 
     def _extend(self, last: int, c: int) -> int:
         if c in self.next[last]:
@@ -85,8 +98,8 @@ class SuffixAutomaton:
         items: set[str] = set()
         known, edges, link, lengths, window, shortest = self.vocabulary, self.next, self.link, self.length, self.window, self.shortest
         state = length = 0
-        ids = [known.get(w, -1) for w in found]
-        for i, c in enumerate(ids):
+        for i, w in enumerate(found):
+            c = known.get(w, -1)
             if c < 0:
                 state = length = 0
                 continue
@@ -101,12 +114,14 @@ class SuffixAutomaton:
             if length >= shortest:
                 start = i + 1
                 if length >= window:
-                    items |= self.windows[tuple(ids[i - window + 1 : i + 1])]
+                    items |= self.items[self.anchor[state]]
                     start = i - length + 1
-                for n in self.short_lengths:
-                    if n <= length and (got := self.windows.get(tuple(ids[i - n + 1 : i + 1]))):
-                        items |= got
-                        start = min(start, i - n + 1)
+                at = self.whole[state]
+                while at:
+                    if lengths[at] <= length:
+                        items |= self.short[at]
+                        start = min(start, i - lengths[at] + 1)
+                    at = self.whole[link[at]]
                 if start <= i:
                     while spans and spans[-1][1] >= start:
                         start = min(start, spans.pop()[0])
@@ -114,61 +129,97 @@ class SuffixAutomaton:
         return spans, items
 
 
-def _automata(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[SuffixAutomaton]:
-    """One at a time, each of about BLOCK_WORDS words, from a block of items that the driver holds alone."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text"))
-    letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-letters // (2 * BLOCK_WORDS)))
-    for block in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        yield SuffixAutomaton([(r.item, words(r.text)) for r in part.collect()], window)
+Block = list[tuple[str, list[bytes]]]
 
 
-def _scan(spark, automaton: SuffixAutomaton, text_at: int, kept: int) -> Callable:
-    shared = spark.sparkContext.broadcast(automaton)
+def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[Block]]:
+    """The items in blocks of about BLOCK_WORDS words, as many at a time as have PASS_BYTES of text; the driver holds
+    no more. An empty benchmark is one pass without blocks."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text"))
+    letters = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-letters // PASS_BYTES))
+    for n in range(passes):
+        part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == n)
+        blocks: list[Block] = []
+        room = 0
+        for r in part.collect():
+            found = words(r.text)
+            if room < len(found) or not blocks:
+                blocks.append([])
+                room = BLOCK_WORDS
+            blocks[-1].append((r.item, found))
+            room -= len(found)
+        yield blocks
+
+
+def _scan(spark, blocks: list[Block], window: int, text_at: int, kept: int) -> Callable:
+    shared, held = spark.sparkContext.broadcast(blocks), HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = shared.value
+        automata: dict[int, SuffixAutomaton] = {}
         for batch in batches:
+            # each block's automaton goes over the whole batch before the next one takes its turn
+            n = [0] * len(batch)
+            spans: list[list[tuple[int, int]]] = [[] for _ in n]
+            items: list[set[str]] = [set() for _ in n]
+            for at, block in enumerate(shared.value):
+                if at not in automata:
+                    if len(automata) >= held:
+                        automata.pop(next(iter(automata)))
+                    automata[at] = SuffixAutomaton(block, window)
+                sam = automata[at]
+                for i, t in enumerate(batch.column(text_at)):
+                    found = words(t.as_py())
+                    n[i] = len(found)
+                    s, ids = sam.scan(found)
+                    spans[i] += s
+                    items[i] |= ids
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
-                n, spans, items = [], [], []
-                for t in part.column(text_at):
-                    found = words(t.as_py())
-                    s, i = sam.scan(found)
-                    n.append(len(found))
-                    spans.append([{"start": a, "end": b} for a, b in s])
-                    items.append(sorted(i))
-                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], names=[*part.schema.names[:kept], "n_words__", "spans__", "items__"])
+                some = slice(lo, lo + 500)
+                said = [[{"start": a, "end": b} for a, b in merged(s)] for s in spans[some]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(n[some], pa.int64()), pa.array(said, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(x) for x in items[some]], pa.list_(pa.string()))], names=[*part.schema.names[:kept], "n_words__", "spans__", "items__"])
         pa.default_memory_pool().release_unused()
 
     return run
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """In order, with overlapping and touching ones joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """All columns of docs, and n_words__, spans__ (of word numbers, merged), items__ (sorted ids, as strings).
 
-    The training text streams through the automaton; nothing is shuffled. A benchmark of more than BLOCK_WORDS words is
-    taken in blocks, each against all documents. Null texts have no words; a null item_id is the item "null"; rows with
-    the same item_id are one item; an empty benchmark has no hits.
+    The training text streams through the automata; nothing is shuffled. A benchmark of more than BLOCK_WORDS words is
+    taken in blocks: each task builds their automata in turn and holds HELD of them. A benchmark of more than PASS_BYTES
+    takes a pass over the documents for each so many bytes. Null texts have no words; a null item_id is the item "null";
+    rows with the same item_id are one item; an empty benchmark has no hits.
     """
     spark = docs.sparkSession
     names = docs.columns
     out = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index(text_col)}"
-    columns, merged = list(out.columns), None
-    for sam in _automata(benchmark, item_col, item_text_col, window):
-        kept = [*columns] if merged is None else [*columns, "spans__", "items__"]
+    columns, before = list(out.columns), False
+    for blocks in _passes(benchmark, item_col, item_text_col):
+        kept = [*columns, "spans__", "items__"] if before else columns
         # the text travels once unless it has to be cast
         is_text = docs.schema[text_col].dataType.simpleString() == "string"
         ready = out.select(*[F.col(c) for c in kept], *([] if is_text else [F.col(text).cast("string").alias("text__")]))
-        if merged is not None:
+        if before:
             ready = ready.withColumnsRenamed({"spans__": "spans_before", "items__": "items_before"})
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields[: len(kept)])
-        out = ready.mapInArrow(_scan(spark, sam, kept.index(text) if is_text else len(kept), len(kept)), f"{schema}, n_words__ long, spans__ array<struct<start:int,end:int>>, items__ array<string>")
-        if merged is not None:
+        out = ready.mapInArrow(_scan(spark, blocks, window, kept.index(text) if is_text else len(kept), len(kept)), f"{schema}, n_words__ long, spans__ array<struct<start:int,end:int>>, items__ array<string>")
+        if before:
             out = out.withColumns({"spans__": _merge(F.concat("spans_before", "spans__")), "items__": F.array_sort(F.array_union("items_before", "items__"))}).drop("spans_before", "items_before")
-        merged = True
+        before = True
     return out.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], "n_words__", "spans__", "items__")
 
 
