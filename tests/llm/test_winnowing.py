@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from textloom.llm import winnowing
 from textloom.llm.winnowing import K, POSITION_BITS, WINDOW, fingerprint_report
@@ -12,9 +13,10 @@ def winnow(text, k=K, w=WINDOW):
         return []
     raw = text.encode("utf-32-be", "surrogatepass")
     n = max(1, len(text) - k + 1)
-    keep = (1 << (64 - POSITION_BITS)) - 1
-    grams = [xxhash.xxh64_intdigest(raw[4 * i : 4 * (i + k)], seed=42) & keep for i in range(n)]
-    signed = [h - (1 << (64 - POSITION_BITS)) if h >> (63 - POSITION_BITS) else h for h in grams]
+    bits = 64 - POSITION_BITS
+    grams = [xxhash.xxh64_intdigest(raw[4 * i : 4 * (i + k)], seed=42) for i in range(n)]
+    lower = [h & ((1 << bits) - 1) for h in grams]
+    signed = [h - (1 << bits) if h >> (bits - 1) else h for h in lower]
     out = set()
     for s in range(max(1, n - w + 1)):
         least = min(signed[s : s + w])
@@ -52,18 +54,18 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(winnowing, "CHUNK", 50)
     rng = random.Random(2)
     texts = ["".join(rng.choices("ab cé😀", k=rng.choice([0, 1, 3, 11, 12, 26, 27, 28, 80, 400]))) for _ in range(40)]
-    rows = [(i * 7, t) for i, t in enumerate(texts)] + [(None, "null id"), (3, None), (4, "x" * 500), (7, texts[1]), (7, "other text of the same id")]
+    rows = [(i * 7, t) for i, t in enumerate(texts)] + [(None, f"null id {i}") for i in range(30)] + [(None, None), (None, "null id 3"), (3, None), (4, "x" * 500), (7, texts[1]), (7, "other text of the same id")]
     assert run(spark, rows) == brute(rows)
 
 
 def test_ranges(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(rng.randrange(10**12),) for _ in range(3000)] + [(None,)], "doc_id long")
-    found = df.withColumn("r", winnowing.ranges_of(df, "doc_id", rows=20)).collect()
+    found = df.withColumn("r", winnowing.ranges_of(df, "doc_id", F.lit("00b"), rows=20)).collect()
     known = sorted((r.doc_id, r.r) for r in found if r.doc_id is not None)
     assert [r for _, r in known] == sorted(r for _, r in known)
     assert len({r for _, r in known}) > 100
-    assert [r.r for r in found if r.doc_id is None] == [-1]
+    assert [r.r for r in found if r.doc_id is None] == [-12]
 
 
 def test_edges(spark):

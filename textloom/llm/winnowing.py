@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 K, WINDOW = 12, 16
 #: Grams that are hashed together; bounds what a long text holds in memory at once.
 CHUNK = 1 << 14
-#: A key is the hash's lower bits, then the bytes from the gram to the last one, so that the least key is the least
-#: hash and, of equal ones, the rightmost.
-POSITION_BITS = 28
+#: A key is the hash's lower 47 bits, then the bytes from the gram to the last one of its chunk, so that the least key is
+#: the least hash and, of equal ones, the rightmost.
+POSITION_BITS = 17
 LOW = (1 << POSITION_BITS) - 1
 
 
@@ -24,11 +24,12 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """array<struct<pos:int, hash:long>> by position: of each window of grams the one of least hash, the rightmost of
     equal ones; each chosen gram once. Positions are code points from 0.
 
-    A text of fewer than k code points, but not none, has its whole as the one gram; one of fewer than `window` grams
-    is one window. Null and empty texts have no fingerprint (an empty array).
+    Windows are compared by 47 bits of the hash; what is chosen has all 64. A text of fewer than k code points, but not
+    none, has its whole as the one gram; one of fewer than `window` grams is one window. Null and empty texts have no
+    fingerprint (an empty array). Any text goes whose UTF-32 form fits a binary value (2 GB).
     """
-    if window & (window - 1):
-        raise ValueError("the window must be a power of two")
+    if window & (window - 1) or 4 * (CHUNK + window) > LOW:
+        raise ValueError("the window must be a power of two, and its bytes with those of a chunk fit POSITION_BITS")
     none = F.expr("cast(array() as array<struct<pos:int,hash:bigint>>)")
 
     def least(keys: Column) -> Column:
@@ -44,22 +45,23 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
         return keys
 
     def between(b: Column, first: Column, last: Column, few: bool) -> Column:
-        """What the windows over the grams from first to last choose; all these grams are one window if they are few."""
+        """The places that the windows over the grams from first to last choose; all these grams are one window if they
+        are few."""
         # in four-byte code points, from the last gram back to the first
         keys = _let(last * 4 + 1, lambda c: F.transform(F.sequence(F.lit(0), (last - first) * 4, F.lit(4)), lambda e: F.shiftleft(F.xxhash64(F.substring(b, c - e, F.lit(4 * k))), POSITION_BITS).bitwiseOR(e.cast("long"))))
         if few:
             keys = F.array(F.array_min(keys))
         else:
             keys = F.array_distinct(F.slice(least(keys), F.lit(1), last - first - (window - 2)))
-        # windows further left choose further left, so this is in order of position; hash and position stay one number
-        at = lambda x: F.shiftleft(F.shiftright(x, POSITION_BITS), POSITION_BITS).bitwiseOR(last - F.shiftright(x.bitwiseAND(LOW), 2))
-        return F.reverse(F.transform(keys, at))
+        # windows further left choose further left, so this is in order of position
+        return F.reverse(F.transform(keys, lambda x: last - F.shiftright(x.bitwiseAND(LOW), 2).cast("int")))
 
     def chosen(b: Column, grams: Column) -> Column:
         starts = F.sequence(F.lit(0), grams - window, F.lit(CHUNK))
         many = F.flatten(F.transform(starts, lambda s: _let(F.least(s + (CHUNK + window - 2), grams - 1), lambda last: between(b, s, last, False))))
         found = F.when(grams < window, between(b, F.lit(0), F.greatest(grams, F.lit(1)) - 1, True)).otherwise(F.array_distinct(many))
-        return F.transform(found, lambda x: F.struct(x.bitwiseAND(LOW).cast("int").alias("pos"), F.shiftright(x, POSITION_BITS).alias("hash")))
+        # the few grams that are chosen get a hash of full width
+        return F.transform(found, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.substring(b, p * 4 + 1, F.lit(4 * k))).alias("hash")))
 
     def bound(b: Column) -> Column:
         grams = (F.octet_length(b) / 4).cast("int") - (k - 1)
@@ -98,11 +100,12 @@ def hashes(fingerprint: Column) -> Column:
 
 def said(fingerprint: Column) -> Column:
     """hash (hexadecimal) and position of each gram: `hash:pos,hash:pos`."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.concat_ws(":", F.hex(x["hash"].bitwiseAND((1 << (64 - POSITION_BITS)) - 1)), x["pos"].cast("string"))), ",")
+    return F.array_join(F.transform(fingerprint, lambda x: F.concat_ws(":", F.hex(x["hash"]), x["pos"].cast("string"))), ",")
 
 
-def ranges_of(docs: DataFrame, key: str, rows: int = 1000, most: int = 256) -> Column:
-    """The number of the range of the key (long) in which a row lies, in the key's order; -1 for null.
+def ranges_of(docs: DataFrame, key: str, mark: Column, rows: int = 1000, most: int = 256) -> Column:
+    """The number of the range of the key (long) in which a row lies, in the key's order. Rows without a key come below
+    all others, in descending order of three hexadecimal digits of mark.
 
     Ranges hold about `rows` rows, or more if that took above most * most of them. Their borders are approximate
     quantiles that are found once, so a task that runs again sees the same ranges. A row is placed among `most` outer
@@ -125,7 +128,7 @@ def ranges_of(docs: DataFrame, key: str, rows: int = 1000, most: int = 256) -> C
         at = below(F.lit(",".join(str(g[-1]) for g in groups)))
         fine = F.element_at(F.split(F.lit(";".join([*(",".join(map(str, g)) for g in groups), str(2**63 - 1)])), ";"), at + 1)
         number = at * (inner + 1) + below(fine)
-    return F.when(id_.isNull(), -1).otherwise(number).cast("int")
+    return F.when(id_.isNull(), -1 - F.conv(F.substring(mark, 1, 3), 16, 10).cast("int")).otherwise(number).cast("int")
 
 
 def fingerprint_report(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -134,15 +137,15 @@ def fingerprint_report(docs: DataFrame, k: int = K, window: int = WINDOW) -> Dat
     The edited text is the document's, its last third replaced by the first code points of the next document in
     descending order of doc_id (of the first, for the last). Null texts are empty. Rows of one doc_id follow each other
     in the order of their texts' md5, null ids come last, a single document is its own next, and an empty table gives
-    an empty result. Texts may have up to 2**26 code points.
+    an empty result. Other columns are ignored.
 
-    The rows are dealt out by ranges of doc_id. Behind its own rows each range gets a copy of the row with which the
-    next range starts. The driver sees one row for each range, 65792 at most, and never a text.
+    The rows are dealt out by ranges of doc_id (without an id, of the md5). Behind its own rows each range gets a copy
+    of the row with which the next range starts. The driver sees one row for each range, 69888 at most, and never a text.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("range__", ranges_of(base.select("doc_id"), "doc_id"))
     mark = F.md5(F.col("text").cast("binary"))
+    base = base.withColumn("range__", ranges_of(base.select("doc_id"), "doc_id", mark))
     first = F.min(F.struct((-F.col("doc_id")).alias("minus"), mark.alias("mark"))).alias("first")
     starts = [(r.range__, r.first["minus"], r.first["mark"]) for r in base.groupBy("range__").agg(first).collect()]
     starts.sort(key=lambda s: -s[0])
