@@ -12,7 +12,7 @@ from textloom.llm.common import Scratch, shared_dir
 from textloom.llm.decontaminate import SuffixAutomaton, contamination, decontaminate
 from textloom.llm.html_text import extract_text, page_texts
 from textloom.llm.language_id import CHUNK, grams, identify_languages
-from textloom.llm.secrets import secret_report
+from textloom.llm.secrets import LOWER, UPPER, SecretModel, find_secrets, ordinary_samples, random_samples, secret_report
 from textloom.llm.toxicity import ToxicityModel, toxicity
 from textloom.llm.warc import archive_report, parse_record, read_records, write_archives
 
@@ -83,6 +83,24 @@ def test_secrets(spark):
     assert secret_report(docs_of(spark, [])).count() == 0
 
 
+def test_secret_models_on_held_out_samples(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = SecretModel.fit(docs)
+    rng = random.Random(77)
+    found = [model.ratio(x) >= model.threshold for x in random_samples(1800, rng)]
+    words = sorted({w for r in docs.collect() for w in (r.text or "").split() if w.isascii() and w.isalpha()})
+    wrong = [model.ratio(x) >= model.threshold for x in ordinary_samples(words, 2000, rng)]
+    assert sum(found) >= 0.99 * len(found) and sum(wrong) <= 0.005 * len(wrong)
+    # keys that no fixed pattern has: letters alone, one of few characters, and what is left beside a base span
+    letters, short = "".join(rng.choices(LOWER + UPPER, k=24)), "".join(rng.choices(LOWER + UPPER + "0123456789", k=16))
+    long = "".join(rng.choices(UPPER[6:], k=20)) + "0123456789abcdef" + "".join(rng.choices(UPPER[6:], k=30))
+    text = f"use {letters} or ({short}), getHTTPResponseCode200 of /usr/local/lib/python3/site-packages, {LOWER}; {long}"
+    spans = [(k, text[a:b]) for a, k, b in model.spans(text)]
+    assert spans == [(3, letters), (3, short), (3, long[:20]), (2, long[20:36]), (3, long[36:])]
+    clash = find_secrets(docs.withColumnRenamed("lang", "spans"), "spans", model=model)
+    assert clash.columns == ["spans", "spans__"] and clash.count() == docs.count()
+
+
 def brute_hits(text, items):
     norm = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     w, hit, ids = norm(text), set(), set()
@@ -98,9 +116,10 @@ def brute_hits(text, items):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [100_000, 20])
-def test_decontamination_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(dec, "BLOCK_WORDS", block)
+@pytest.mark.parametrize(("block", "held", "bytes_"), [(100_000, 4, 1 << 20), (20, 2, 1 << 20), (20, 2, 100)])
+def test_decontamination_against_brute_force(spark, monkeypatch, block, held, bytes_):
+    for name, value in (("BLOCK_WORDS", block), ("HELD", held), ("PASS_BYTES", bytes_)):
+        monkeypatch.setattr(dec, name, value)
     rng = random.Random(block)
     word = lambda n: " ".join(rng.choices(["a", "B", "c", "é", "d1"], k=n))
     items = [(i, word(rng.choice([0, 1, 3, 9, 10, 11, 25]))) for i in range(14)] + [(20, None), (3, word(12)), (None, "only null item words here")]
