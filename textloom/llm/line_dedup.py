@@ -88,30 +88,31 @@ def recurring_lines(lines: DataFrame, scratch: Scratch, least_docs: int = LEAST_
     distinct = scratch.keep(lines.groupBy("leaf", "k1", "k2", "long").agg(F.count("*").alias("docs")))
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines"))
     # in other leaves no template recurs, or the one line is the template
-    leaves = scratch.keep(leaves.filter((F.col("leaf_docs") >= least_docs) & (F.col("leaf_lines") > 1)).select("leaf"))
-    held = scratch.keep(lines.join(leaves, "leaf").select("id__", "leaf", "k1", "k2", "line"))
+    leaves = leaves.filter((F.col("leaf_docs") >= least_docs) & (F.col("leaf_lines") > 1)).select("leaf")
+    held = scratch.keep(lines.select("id__", "leaf", "k1", "k2", "line").join(leaves, "leaf"))
     mixed = held.groupBy("leaf", "k1", "k2", "line").agg(F.count_distinct("id__").alias("docs"))
     head = _constants(F.slice(F.split("line", " "), 1, DEPTH)).alias("head")
     mixed = mixed.select("leaf", "k1", "k2", "docs", head, F.slice(F.split("line", " "), DEPTH + 1, 2**31 - 1).alias("rest")).filter(F.size("rest") > 0)
     tokens = scratch.keep(mixed.select("leaf", "k1", "k2", "docs", "head", F.posexplode("rest").alias("pos", "token")))
-    places = tokens.filter(_constant(F.col("token"))).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"), F.max("docs").alias("most"))
-    stable = _stable(scratch.keep(places.filter(F.col("n") >= least_docs)), tokens, held, least_docs)
-    stable = scratch.keep(stable.select("leaf", "pos", "token", F.lit(True).alias("stays")))
+    stable = _stable(tokens, held, least_docs).withColumn("stays", F.lit(True))
     placed = tokens.join(stable, ["leaf", "pos", "token"], "left").groupBy("leaf", "k1", "k2", "head").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("stays"), F.col("token")).otherwise(FIELD).alias("token")))).alias("found"), F.count("stays").alias("n_kept"), F.count("*").alias("n")
     )
     general = placed.filter((F.col("n_kept") < F.col("n")) & (F.col("n_kept") + F.col("head") >= LEAST_SHARE * (F.col("n") + DEPTH)))
     general = scratch.keep(general.select("k1", "k2", F.xxhash64("leaf", "found.token").alias("t1"), F.xxhash64(F.lit(7), "leaf", "found.token").alias("t2")))
-    named = distinct.join(general, ["k1", "k2"], "left").select("k1", "k2", "docs", F.coalesce("t1", "k1").alias("t1"), F.coalesce("t2", "k2").alias("t2"), "long")
+    # all other lines are templates of their own
+    own = distinct.filter(F.col("docs") >= least).join(general.select("k1", "k2"), ["k1", "k2"], "left_anti").select("k1", "k2", F.col("k1").alias("t1"), F.col("k2").alias("t2"), least.alias("least"))
     # lines of one template have one number of tokens
-    templates = named.groupBy("t1", "t2", "long").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least).select("t1", "t2")
-    return scratch.keep(named.join(templates, ["t1", "t2"]).select("k1", "k2", "t1", "t2", least.alias("least")))
+    named = distinct.join(general, ["k1", "k2"]).select("k1", "k2", "t1", "t2", "docs", least.alias("least"))
+    sums = named.groupBy("t1", "t2", "least").agg(F.sum("docs").alias("n")).filter(F.col("n") >= F.col("least")).select("t1", "t2")
+    return scratch.keep(own.union(named.join(sums, ["t1", "t2"]).select("k1", "k2", "t1", "t2", "least")))
 
 
-def _stable(found: DataFrame, tokens: DataFrame, held: DataFrame, least_docs: int) -> DataFrame:
-    """Those of found (leaf, pos, token, most: documents of the token's most frequent line) that so many different
-    documents hold. Only where no line alone is in enough are the documents of all lines brought together."""
+def _stable(tokens: DataFrame, held: DataFrame, least_docs: int) -> DataFrame:
+    """leaf, pos, token of the constant tokens that so many different documents hold there. Only where no line alone is
+    in enough are the documents of all lines brought together."""
     at = ["leaf", "pos", "token"]
+    found = tokens.filter(_constant(F.col("token"))).groupBy(*at).agg(F.sum("docs").alias("n"), F.max("docs").alias("most")).filter(F.col("n") >= least_docs)
     unsure = tokens.join(found.filter(F.col("most") < least_docs).select(*at), at).select(*at, "k1", "k2")
     counted = unsure.join(held.select("id__", "k1", "k2"), ["k1", "k2"]).groupBy(*at).agg(F.count_distinct("id__").alias("n"))
     return found.filter(F.col("most") >= least_docs).select(*at).union(counted.filter(F.col("n") >= least_docs).select(*at))
@@ -162,10 +163,10 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, long_doc
     places = scratch.keep(lines.join(facts, ["k1", "k2"]).select("id__", "mark__", *[c for c in ("sketch",) if sketch], "pos", "t1", "t2", "least"))
     first = [F.min_by("sketch", "id__").alias("first_sketch")] if sketch else []
     counted = places.groupBy("t1", "t2", "least").agg(F.count_distinct("id__").alias("n"), F.min("id__").alias("first_id"), *first).filter(F.col("n") >= F.col("least"))
-    places = places.drop("least").join(scratch.keep(counted.drop("least")), ["t1", "t2"]).filter(F.col("id__") > F.col("first_id"))
+    places = places.drop("least").join(counted.drop("least"), ["t1", "t2"]).filter(F.col("id__") > F.col("first_id"))
     if sketch:
         places = places.filter((F.col("n") >= least_docs) | ~_alike(F.col("sketch"), F.col("first_sketch")))
-    dropped = scratch.keep(places.groupBy("id__", "mark__").agg(F.collect_set("pos").alias("dropped__")))
+    dropped = places.groupBy("id__", "mark__").agg(F.collect_set("pos").alias("dropped__"))
 
     names = docs.columns
     # dropped grows with the corpus, so it is never sent to all executors
