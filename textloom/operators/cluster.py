@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The largest table that is linked exactly, on the driver; larger ones are first brought to so many k-means centres.
 EXACT_ITEMS, CENTRES = 2000, 64
+#: The most centres that are sent to all executors.
+MOST_CENTRES = 10_000
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -43,8 +45,10 @@ def centroid_distance(items: DataFrame, key: str, cluster: str, vector: str) ->
 
 
 def nearest_centroid(items: DataFrame, centres: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
-    """key, cluster, distance, margin (to the second nearest; 0 with one centre). centres is one row per cluster: small,
-    and gathered to one array, so that each item looks at it without a join of all pairs."""
+    """key, cluster, distance, margin (to the second nearest; 0 with one centre). centres is one row per cluster, gathered
+    to one array, so that each item looks at it without a join of all pairs; more than MOST_CENTRES are an error."""
+    if centres.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres")
     all_ = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct(cluster, "centroid"))).alias("centres")))
     near = F.array_sort(F.transform("centres", lambda c: F.struct(distance(F.col(vector), c["centroid"]).alias("distance"), c[cluster].alias("cluster"))))
     found = items.crossJoin(all_).select(key, F.slice(near, 1, 2).alias("near"))
@@ -150,17 +154,26 @@ def hierarchy(items: DataFrame, key: str, vector: str, k: int = 8) -> tuple[Data
     return found.join(F.broadcast(mapped), "centre").select(key, "cluster"), nodes.unionByName(own)
 
 
-def node_members(nodes: DataFrame, key: str, rounds: int = 64) -> DataFrame:
-    """node_id, key: the leaves below each node (a leaf is its own). One join a level of the tree."""
-    edges = nodes.filter("parent_id is not null").select("node_id", "parent_id")
-    level = nodes.filter(F.col(key).isNotNull()).select("node_id", key)
-    out = level
-    for _ in range(rounds):
-        level = level.join(edges, "node_id").select(F.col("parent_id").alias("node_id"), key)
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+def node_members(nodes: DataFrame, key: str) -> DataFrame:
+    """node_id, key: the leaves below each node (a leaf is its own). A ValueError if the edges hold a cycle.
+
+    Each round joins the ways up to themselves, so a chain of any depth takes as many rounds as its depth has binary
+    digits; each round's tables are kept, so none is worked out twice.
+    """
+    edges = nodes.filter("parent_id is not null").select("node_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("steps")).persist()
+    pairs, reach = edges, 1
+    most = edges.count()
+    while not edges.isEmpty():
+        # ways of exactly `reach` steps prolong all ways of up to `reach` steps
+        on = edges.select(F.col("node_id").alias("mid"), F.col("up").alias("top"))
+        longer = pairs.join(on, pairs.up == on.mid).select("node_id", F.col("top").alias("up"), (F.col("steps") + reach).alias("steps"))
+        pairs = pairs.union(longer).persist()
+        edges = pairs.filter(F.col("steps") == 2 * reach).persist()
+        reach *= 2
+        if reach > 2 * most:
+            raise ValueError("the hierarchy has a cycle")
+    leaves = nodes.filter(F.col(key).isNotNull()).select("node_id", key)
+    return leaves.union(leaves.join(pairs, "node_id").select(F.col("up").alias("node_id"), key))
 
 
 def dominant_cluster(members: DataFrame, group: str, cluster: str) -> DataFrame:
@@ -172,17 +185,33 @@ def dominant_cluster(members: DataFrame, group: str, cluster: str) -> DataFrame:
 
 def representatives(items: DataFrame, key: str, cluster: str, distance_col: str, text: Column, n: int = 5, likeness: float = 0.82, keep: int = 200) -> DataFrame:
     """cluster, representatives (keys): the items nearest to the centroid whose words are not too like those chosen
-    before, then the nearest others up to min(n, size). The choice runs over the `keep` nearest of each cluster."""
+    before, then the nearest others up to min(n, size).
+
+    The choice runs over the `keep` nearest of each cluster. Clusters that find less than n there, and have more items,
+    choose the others one after another from all of theirs; what fills up is always among the nearest.
+    """
     from ..functions.text import jaccard, word_set
 
-    order = Window.partitionBy(cluster).orderBy(distance_col, key)
-    near = items.withColumn("words__", word_set(text)).withColumn("nth__", F.row_number().over(order)).filter(F.col("nth__") <= keep)
-    listed = near.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("nth__", F.col(key).alias("key"), F.col("words__").alias("words")))).alias("all"))
+    place = F.struct(F.col(distance_col).alias("distance"), F.col(key).alias("key"))
+    rows = items.select(cluster, place.alias("place"), word_set(text).alias("words")).persist()
+    near = rows.withColumn("nth", F.row_number().over(Window.partitionBy(cluster).orderBy("place"))).filter(F.col("nth") <= keep)
+    listed = near.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("place", "words"))).alias("all"))
+    unlike = lambda chosen, words: ~F.exists(chosen, lambda y: jaccard(words, y["words"]) >= likeness)
     none = F.filter("all", lambda x: F.lit(False))
-    chosen = F.aggregate("all", none, lambda done, x: F.when((F.size(done) < n) & ~F.exists(done, lambda y: jaccard(x["words"], y["words"]) >= likeness), F.concat(done, F.array(x))).otherwise(done))
-    rest = F.filter("all", lambda x: ~F.exists("chosen", lambda y: y["nth__"] == x["nth__"]))
-    out = listed.withColumn("chosen", chosen).withColumn("full", F.slice(F.concat("chosen", rest), 1, n))
-    return out.select(cluster, F.transform("full", lambda x: x["key"]).alias("representatives"))
+    chosen = F.aggregate("all", none, lambda done, x: F.when((F.size(done) < n) & unlike(done, x["words"]), F.concat(done, F.array(x))).otherwise(done))
+    out = listed.withColumn("chosen", chosen).persist()
+    open_ = out.filter((F.size("all") >= keep) & (F.size("chosen") < n)).select(cluster, "chosen").persist()
+    found = open_
+    for _ in range(n - 1):
+        if open_.isEmpty():
+            break
+        rest = rows.join(open_, cluster).filter(unlike(F.col("chosen"), F.col("words")))
+        nxt = rest.groupBy(cluster).agg(F.min(F.struct("place", "words")).alias("next"))
+        open_ = open_.join(nxt, cluster).filter(F.size("chosen") < n).select(cluster, F.concat("chosen", F.array("next")).alias("chosen")).persist()
+        found = open_.unionByName(found.join(open_.select(cluster), cluster, "left_anti"))
+    out = out.join(found.select(cluster, F.col("chosen").alias("more")), cluster, "left").withColumn("chosen", F.coalesce("more", "chosen"))
+    rest = F.filter("all", lambda x: ~F.exists("chosen", lambda y: y["place"]["key"] == x["place"]["key"]))
+    return out.select(cluster, F.transform(F.slice(F.concat("chosen", rest), 1, n), lambda x: x["place"]["key"]).alias("representatives"))
 
 
 def scale_points(points: DataFrame, columns: list[str], clamp: float = 3.0) -> DataFrame:

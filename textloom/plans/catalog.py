@@ -94,6 +94,12 @@ def _informative(term: str) -> str:
     return f"(NOT ({phrases}) AND NOT regexp_matches({term}, '[0-9]') AND CASE len({words}) WHEN 0 THEN false WHEN 1 THEN {words}[1] IN {_in(single)} ELSE len(list_filter({words}, lambda w: NOT list_contains({_list(both)}, w))) >= 2 AND {words}[1] NOT IN {_in(stop)} AND {words}[-1] NOT IN {_in(stop)} END)"
 
 
+#: Reviews made of events, as the given texts hold no word of the lexicons. Both engines read this expression.
+REVIEW = """concat(CASE event_id % 6 WHEN 0 THEN 'It is very good. ' WHEN 1 THEN 'It is not great at all. ' WHEN 2 THEN 'Slightly slow today. ' WHEN 3 THEN 'Worth every penny. ' WHEN 4 THEN 'No vale la pena. ' ELSE '' END,
+CASE event_type WHEN 'error' THEN 'The app crashes without any error message and support never replied' WHEN 'purchase' THEN 'Great price, easy setup' WHEN 'click' THEN 'The checkout page takes forever, extremely slow loading' WHEN 'view' THEN 'Beautiful design and really intuitive navigation'
+ELSE 'The waiter ignored us while we waited an hour' END, CASE WHEN event_id % 4 = 0 THEN '; never reliable' WHEN event_id % 4 = 1 THEN '. Overall a fine experience!' ELSE '' END)"""
+
+
 # Sources, projections and text functions
 
 
@@ -187,7 +193,18 @@ def fallback_cluster_terms(spark, sf_dir):
     return tf.rank_terms(tf.weighted_terms(table(spark, sf_dir, "documents"), "source"), "source").select("source", "term", F.col("score").cast("long").alias("score"), "rank")
 
 
-@query()
+def _summary_sql() -> str:
+    """The first best term, then twice the best of those that share no word with the ones before."""
+    steps, taken = [], []
+    for i in range(3):
+        bars = "".join(f" AND NOT list_has_any(string_split(s.term, ' '), string_split(t{j}.term, ' '))" for j in taken)
+        joins = "".join(f" JOIN t{j} USING (source)" for j in taken)
+        steps.append(f"t{i} AS (SELECT source, s.term AS term FROM s{joins} WHERE true{bars} QUALIFY row_number() OVER (PARTITION BY source ORDER BY s.score DESC, CAST(s.k > 1 AS INT) DESC, s.term) = 1)")
+        taken.append(i)
+    return f"WITH {_GRAMS}, s AS (SELECT source, term, n * k AS score, k FROM c WHERE k <= 2 AND {_informative('term')}), {', '.join(steps)} SELECT source, list_filter([t0.term, t1.term, t2.term], lambda t: t IS NOT NULL) AS terms FROM t0 LEFT JOIN t1 USING (source) LEFT JOIN t2 USING (source)"
+
+
+@query(_summary_sql())
 def summary_terms(spark, sf_dir):
     return tf.summary_terms(table(spark, sf_dir, "documents"), "source")
 
@@ -204,10 +221,16 @@ def quality_figures(spark, sf_dir):
     return found.select("n", *[F.round(c, 9).alias(c) for c in found.columns if c != "n"])
 
 
-@query()
+_WARNED = ["dup >= 0.15", "short >= 0.30", "clean < 0.45", "codes > 0.22"]
+
+
+@query(rf"""WITH t AS (SELECT {REVIEW} AS text FROM events UNION ALL SELECT props || ' ' || event_id FROM events), r AS (SELECT lower({_collapse('text')}) AS low, {_clean('text')} AS c, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS raw, len(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: regexp_matches(x, '[0-9]'))) AS codes FROM t),
+f AS (SELECT 1 - count(DISTINCT nullif(low, '')) / count(nullif(low, '')) AS dup, avg(CASE WHEN length(c) < 20 THEN 1.0 ELSE 0.0 END) AS short, sum(len(regexp_extract_all(c, '[A-Za-z0-9]+'))) / sum(raw) AS clean, sum(codes) / sum(raw) AS codes FROM r)
+{" UNION ALL ".join(f"SELECT {i} AS pos, {_q(w)} AS warning FROM f WHERE {hit}" for i, (w, hit) in enumerate(zip(ql.WARNINGS, _WARNED, strict=True)))}""")
 def quality_warnings(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("text", tx.clean(F.col("text")).alias("clean"))
-    return ql.quality_warnings(ql.quality_figures(docs))
+    events = table(spark, sf_dir, "events")
+    texts = events.select(F.expr(REVIEW).alias("text")).union(events.select(F.concat("props", F.lit(" "), F.col("event_id").cast("string"))))
+    return ql.quality_warnings(ql.quality_figures(texts.withColumn("clean", tx.clean(F.col("text")))))
 
 
 @query("SELECT source, count(*) AS n, count(toxic) AS labelled, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic, CAST(coalesce(sum(quality), 0) AS BIGINT) AS good FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
@@ -254,12 +277,6 @@ def split_conversation_units(spark, sf_dir):
     return turns
 
 
-#: Reviews made of events, as the given texts hold no word of the lexicons. Both engines read this expression.
-REVIEW = """concat(CASE event_id % 6 WHEN 0 THEN 'It is very good. ' WHEN 1 THEN 'It is not great at all. ' WHEN 2 THEN 'Slightly slow today. ' WHEN 3 THEN 'Worth every penny. ' WHEN 4 THEN 'No vale la pena. ' ELSE '' END,
-CASE event_type WHEN 'error' THEN 'The app crashes without any error message and support never replied' WHEN 'purchase' THEN 'Great price, easy setup' WHEN 'click' THEN 'The checkout page takes forever, extremely slow loading' WHEN 'view' THEN 'Beautiful design and really intuitive navigation'
-ELSE 'The waiter ignored us while we waited an hour' END, CASE WHEN event_id % 4 = 0 THEN '; never reliable' WHEN event_id % 4 = 1 THEN '. Overall a fine experience!' ELSE '' END)"""
-
-
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type", "user_id", "ts", F.expr(REVIEW).alias("text"))
 
@@ -569,7 +586,19 @@ def renumbered_clusters(spark, sf_dir):
     return cl.renumber(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id").select("vec_id", "label")
 
 
-@query()
+def _representatives_sql() -> str:
+    """Five times the nearest of the documents whose words are not too like those chosen, then the nearest others."""
+    steps = []
+    for i in range(5):
+        like = "".join(f" AND NOT coalesce(len(list_intersect(d.w, c{j}.w)) / nullif(len(list_distinct(list_concat(d.w, c{j}.w))), 0) >= 0.82 AND len(d.w) > 0 AND len(c{j}.w) > 0, false) AND d.doc_id <> c{j}.doc_id" for j in range(i))
+        joins = "".join(f" JOIN c{j} USING (source)" for j in range(i))
+        steps.append(f"c{i} AS (SELECT source, d.doc_id AS doc_id, d.w AS w FROM d{joins} WHERE true{like} QUALIFY row_number() OVER (PARTITION BY source ORDER BY d.distance, d.doc_id) = 1)")
+    all_ = " UNION ALL ".join(f"SELECT source, doc_id, {i} AS step FROM c{i}" for i in range(5))
+    words = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9]*'))"
+    return f"WITH d AS (SELECT source, doc_id, {words} AS w, CAST(abs(n_chars - 500) AS DOUBLE) AS distance FROM documents), {', '.join(steps)}, chosen AS ({all_}), o AS (SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY step NULLS LAST, distance, d.doc_id) AS nth FROM d LEFT JOIN chosen ON d.doc_id = chosen.doc_id AND d.source = chosen.source) SELECT source, list(doc_id ORDER BY nth) AS representatives FROM o WHERE nth <= 5 GROUP BY source"
+
+
+@query(_representatives_sql())
 def cluster_representatives(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("distance", F.abs(F.col("n_chars") - 500).cast("double"))
     return cl.representatives(docs, "doc_id", "source", "distance", F.col("text"))
@@ -620,7 +649,26 @@ def informative_terms(spark, sf_dir):
     return grams.groupBy("source").agg(F.count("*").alias("n_terms"), F.count_if(tx.is_informative(F.col("term"))).alias("n_informative"))
 
 
-@query()
+def _candidates_sql() -> str:
+    """Keywords have letters only here, so a candidate is its first three words with capitals."""
+    cleaned = f"list_transform([{_clean('term')}], lambda c: {_collapse(_sub(_sub('c', tx.LABEL_ID), tx.LABEL_CODE))})[1]"
+    words = f"regexp_extract_all(CASE WHEN {cleaned} <> '' THEN {cleaned} ELSE term END, '[A-Za-z0-9]+')[1:3]"
+    named = f"array_to_string(list_transform({words}, lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
+    stop = [*lx.LABEL_STOP, "topic", "general", "misc", *lx.LABEL_STOP_WORDS]
+    ok = f"low NOT IN {_in(stop)} AND low <> '' AND (contains(low, ' ') OR low IN {_in(lx.SINGLE_LABELS)})"
+    rules = ", ".join(f"({i}, {_q(n)}, {_list(ws)})" for i, (n, ws) in enumerate(lx.LABEL_RULES.items()))
+    given = ", ".join(f"({i}, {_q(n)})" for i, n in enumerate(lx.LABEL_TAXONOMY))
+    return f"""WITH {_GRAMS}, s AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY n * CASE k WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END DESC, CAST(k > 1 AS INT) DESC, term) AS rank FROM c WHERE {_informative('term')} QUALIFY rank <= 12),
+n AS (SELECT source, rank, label, lower(label) AS low FROM (SELECT source, rank, {named} AS label FROM s)),
+a AS (SELECT source, 0 AS part, rank, label FROM n WHERE {ok} AND contains(label, ' ') UNION ALL SELECT source, 1, rank, label FROM n WHERE {ok} UNION ALL SELECT source, 2, i, label FROM (SELECT DISTINCT source FROM s), (VALUES {given}) AS v(i, label)),
+o AS (SELECT source, label, part, rank FROM a QUALIFY row_number() OVER (PARTITION BY source, lower(label) ORDER BY part, rank) = 1),
+cand AS (SELECT source, list(label ORDER BY part, rank)[1:16] AS candidates FROM o GROUP BY source),
+kw AS (SELECT source, list_distinct(flatten(list({_words('term')}))) AS w, list(term ORDER BY rank) AS terms FROM s GROUP BY source),
+rl AS (SELECT source, CASE WHEN n > 0 THEN label END AS label FROM (SELECT source, i, label, len(list_intersect(w, keys)) AS n FROM kw, (VALUES {rules}) AS t(i, label, keys)) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, i) = 1)
+SELECT source, candidates, coalesce(label, array_to_string(list_transform(({_words('terms[1]')})[1:3], lambda w: upper(w[1:1]) || w[2:]), ' ')) AS label, len(terms) >= 8 AND len(list_distinct(list_transform(terms, lambda t: string_split(t, ' ')[1]))) >= 6 AS diverse FROM kw JOIN cand USING (source) JOIN rl USING (source)"""
+
+
+@query(_candidates_sql())
 def candidate_labels(spark, sf_dir):
     terms = tf.rank_terms(tf.weighted_terms(table(spark, sf_dir, "documents"), "source"), "source", 12)
     listed = terms.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
