@@ -6,9 +6,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate as dec
-from textloom.llm.common import Scratch, shared_dir
+from textloom.llm.common import Scratch, held_out, shared_dir
 from textloom.llm.decontaminate import SuffixAutomaton, contamination, decontaminate
 from textloom.llm.html_text import extract_text, page_texts
 from textloom.llm.language_id import CHUNK, grams, identify_languages
@@ -214,3 +215,20 @@ def test_toxicity(spark):
     assert toxicity(docs_of(spark, []), lab).count() == 0
     assert toxicity(docs_of(spark, rows[:3]), lab.limit(0)).filter("score > 0.01").count() == 0
     assert ToxicityModel.fit(docs_of(spark, rows[:50]), lab.withColumn("toxic", lab.quality)).score(docs_of(spark, rows[:2]), "doc_id").first().score > 0.99
+
+
+def test_toxicity_of_a_pair_without_linear_effect(spark):
+    """Toxic where an insult and a group word come together or where neither does: each alone tells nothing."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(4000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        t = rng.choices(words, k=8) + ["awful"] * insult + ["folk"] * group
+        rng.shuffle(t)
+        rows.append((i, " ".join(t)))
+        labels.append((i, 1, int(insult == group)))
+    df = docs_of(spark, rows + [(5, rows[5][1])])
+    model = ToxicityModel.fit(df.withColumn("score", F.lit("clash")), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = model.score(df, "doc_id").filter(held_out(F.col("doc_id"))).collect()
+    assert len(held) > 400 and sum((r.score > 0.5) == bool(labels[r.doc_id][2]) for r in held) >= 0.9 * len(held)
