@@ -128,18 +128,21 @@ def test_labels(spark):
     assert (one.label, one.confidence) == ("Shipping Issue", 0.9)
 
 
-def test_labeller_budget_and_cache():
-    row = {"terms": ["a"], "candidates": ["Shipping"], "fallback": "F"}
+def test_labeller_budget_and_cache(spark):
+    row = {"terms": ["shipping late"], "candidates": ["Shipping", "Refund"], "fallback": "F"}
     cache = {}
-    assert lb.label_rows([row], lambda r: {"label": "Shipping", "confidence": 0.9}, cache) == ["Shipping"]
-    assert lb.label_rows([row], None, cache) == ["Shipping"]
+    assert lb.label_rows(spark, [row], lambda r: {"label": "Shipping", "confidence": 0.9}, cache) == ["Shipping"]
+    assert lb.label_rows(spark, [row], None, cache) == ["Shipping"]
+    # no word of the keywords, then a strict second answer
+    assert lb.label_rows(spark, [row], lambda r: {"label": "Shipping" if r.get("strict") else "Refund", "confidence": 0.9}, {}) == ["Shipping"]
+    assert lb.label_rows(spark, [row], lambda r: {"label": "Refund", "confidence": 0.9}, {}) == ["F"]
     calls = []
 
     def broken(r):
         calls.append(1)
         raise ValueError("no JSON")
 
-    assert lb.label_rows([{**row, "terms": [str(i)]} for i in range(3)], broken, {}) == ["F"] * 3 and len(calls) == 1
+    assert lb.label_rows(spark, [{**row, "terms": [str(i)]} for i in range(3)], broken, {}) == ["F"] * 3 and len(calls) == 1
 
 
 def test_quality(spark):
@@ -167,8 +170,8 @@ def test_sources(spark, tmp_path):
 
 
 def test_options():
-    got = Options.parse({"k_clusters": 500, "granulate_max_rows": True, "granulate_per_cluster": "yes", "map_clamp": "x"})
-    assert (got.k_clusters, got.granulate_max_rows, got.granulate_per_cluster, got.map_clamp) == (64, 200, True, 3.0)
+    got = Options.parse({"k_clusters": 500, "granulate_max_rows": True, "granulate_per_cluster": "yes", "umap_scale_clamp": "x", "llm_label_budget": -5, "preview_char_limit": "130"})
+    assert (got.k_clusters, got.granulate_max_rows, got.granulate_per_cluster, got.umap_scale_clamp, got.llm_label_budget, got.preview_char_limit) == (64, 200, True, 3.0, 0, 130)
 
 
 def test_analysis(spark, tmp_path):
@@ -179,12 +182,60 @@ def test_analysis(spark, tmp_path):
     out = analyze(items, Options(k_clusters=3, granulate_per_cluster=True), store=store, run_id="r1")
     assert out.clusters.agg(F.sum("size")).first()[0] == len(rows) and out.map.count() == len(rows)
     assert store.status("r1")["status"] == "completed" and store.recent().first().item_count == len(rows)
+    assert out.nodes.filter("label is not null").count() == out.nodes.filter("item_idx is null").count() and store.load("r1", "timings").count() == 8
+    assert store.load("r1", "embeddings").count() == len(rows) and store.aspect_payload("r1")[1] is None
     assert 3 <= store.load("r1", "insights").count() <= 6 and out.aspects_per_cluster.count() > 0
     assert store.status("unknown")["status"] == "queued"
     with pytest.raises(RuntimeError):
         store.require_completed("unknown")
 
 
+def test_deep_trees_and_groups_of_copies(spark):
+    chain = [("leaf", "n0", 7)] + [(f"n{i}", f"n{i + 1}" if i < 99 else None, None) for i in range(100)]
+    nodes = spark.createDataFrame(chain, "node_id string, parent_id string, item long")
+    assert cl.node_members(nodes, "item").count() == 101
+    with pytest.raises(ValueError):
+        cl.node_members(spark.createDataFrame([("a", "b", None), ("b", "a", 1)], "node_id string, parent_id string, item long"), "item").count()
+    # thirty copies are nearest; other texts follow far behind
+    rows = [(i, "g", float(i), "same words here") for i in range(30)] + [(100 + i, "g", 100.0 + i, f"other {w} text") for i, w in enumerate("abcd")] + [(200, "h", 1.0, "lone"), (201, "h", 2.0, "lone")]
+    df = spark.createDataFrame(rows, "id long, c string, d double, t string")
+    got = {r.c: r.representatives for r in cl.representatives(df, "id", "c", "d", F.col("t"), n=5, keep=10).collect()}
+    assert got == {"g": [0, 100, 101, 102, 103], "h": [200, 201]}
+    assert {r.c: r.representatives for r in cl.representatives(df, "id", "c", "d", F.col("t"), n=5, fill=False).collect()} == {"g": [0, 100, 101, 102, 103], "h": [200]}
+    docs = spark.createDataFrame([("g", " ".join(["refund billing"] * 9)), ("g", "shipping outage warranty")], "g string, text string")
+    few, all_ = (tf.summary_terms(docs, "g", n=3, keep=k).first().terms for k in (1, 60))
+    assert few == all_ and len(all_) == 3
+
+
+def test_project_models(spark):
+    from textloom.operators import project as pj
+
+    rng = np.random.default_rng(3)
+    words = ["delivery courier parcel late", "battery charge power phone", "refund invoice money card"]
+    rows = [(i, " ".join(rng.permutation(words[i % 3].split()))) for i in range(60)] + [(60, "  "), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pj.train_project(docs, k_max=5)
+    points, clusters, stats = pj.project_results(model, docs.filter("doc_id < 60"))
+    by = {r.doc_id: r.cluster_id for r in points.collect()}
+    assert len({by[i] for i in (0, 1, 2)}) == 3 and all(by[i] == by[i % 3] for i in range(60))
+    assert stats.first().asDict() == {"n_texts": 60, "n_clusters": 3} and sum(r["size"] for r in clusters.collect()) == 60
+    one = pj.classify(model, spark.createDataFrame([(5, "my parcel is late, says the courier")], "doc_id long, text string")).first()
+    assert one.cluster_id == by[0] and one.confidence_margin > 0 and one.cluster_label.count(" / ") == 2
+    assert pj.classify(model, docs.filter("doc_id >= 60")).count() == 2
+    with pytest.raises(ValueError):
+        pj.train_project(docs.filter("doc_id = 3 or doc_id = 60"))
+
+
+def test_evaluation_cases(spark, tmp_path):
+    from textloom.sources.items import read_cases
+
+    (tmp_path / "cases.json").write_text('[{"test_number": 7, "input_text": "The app crashes and the waiter was rude."}, {"input_text": "ok then folks, nothing here"}, {"input_text": " "}]')
+    per_case, chosen = asp.evaluate(read_cases(spark, str(tmp_path / "cases.json")))
+    rows = {r.test_number: r for r in per_case.collect()}
+    assert set(rows) == {7, 2, None} and rows[None].n_granules == rows[7].n_granules + rows[2].n_granules
+    assert sum(r.n_cases for r in chosen.collect()) == 2
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame(REVIEWS, "doc_id long, text string").withColumn("ts", F.lit("2024-01-01 00:10:00").cast("timestamp"))
     rows.write.parquet(str(tmp_path / "in"))

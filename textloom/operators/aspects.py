@@ -342,3 +342,12 @@ def other_rate(granules: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document and (key null) in all: granules, those of OTHER, their share. The evaluation's counters."""
     rate = F.round(F.avg((F.col("aspect") == "OTHER").cast("double")), 4)
     return granules.rollup(key).agg(F.count("*").alias("n_granules"), F.count_if(F.col("aspect") == "OTHER").alias("n_other"), rate.alias("other_rate"))
+
+
+def evaluate(cases: DataFrame, key: str = "test_number", text_col: str = "input_text") -> tuple[DataFrame, DataFrame]:
+    """Per case (and, key null, in all): granules, those of OTHER and their share, the taxonomy with the best score and
+    that score, and the chosen one; and the number of cases of each chosen taxonomy."""
+    rows = cases.select(key, F.col(text_col).alias("text"))
+    found = detect_taxonomy(rows, key).select(key, F.col("taxonomy").alias("chosen"), F.col("scores")[0]["taxonomy"].alias("top_taxonomy"), F.round(F.col("scores")[0]["score"], 4).alias("top_score"))
+    rates = other_rate(granulate(rows, key=key), key)
+    return rates.join(found, key, "left"), found.groupBy("chosen").agg(F.count("*").alias("n_cases"))

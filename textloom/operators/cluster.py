@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lineage
+
 #: The largest table that is linked exactly, on the driver; larger ones are first brought to so many k-means centres.
 EXACT_ITEMS, CENTRES = 2000, 64
 #: The most centres that are sent to all executors.
@@ -158,17 +160,18 @@ def node_members(nodes: DataFrame, key: str) -> DataFrame:
     """node_id, key: the leaves below each node (a leaf is its own). A ValueError if the edges hold a cycle.
 
     Each round joins the ways up to themselves, so a chain of any depth takes as many rounds as its depth has binary
-    digits; each round's tables are kept, so none is worked out twice.
+    digits; each round's table is written, so none is worked out twice.
     """
-    edges = nodes.filter("parent_id is not null").select("node_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("steps")).persist()
+    edges = lineage.cut(nodes.filter("parent_id is not null").select("node_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("steps")))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs, reach = edges, 1
     most = edges.count()
     while not edges.isEmpty():
         # ways of exactly `reach` steps prolong all ways of up to `reach` steps
         on = edges.select(F.col("node_id").alias("mid"), F.col("up").alias("top"))
         longer = pairs.join(on, pairs.up == on.mid).select("node_id", F.col("top").alias("up"), (F.col("steps") + reach).alias("steps"))
-        pairs = pairs.union(longer).persist()
-        edges = pairs.filter(F.col("steps") == 2 * reach).persist()
+        pairs = lineage.cut(pairs.union(longer).coalesce(parts))
+        edges = pairs.filter(F.col("steps") == 2 * reach)
         reach *= 2
         if reach > 2 * most:
             raise ValueError("the hierarchy has a cycle")
@@ -183,9 +186,9 @@ def dominant_cluster(members: DataFrame, group: str, cluster: str) -> DataFrame:
     return counts.groupBy(group).agg(best.alias(cluster), F.round(F.max("n") / F.sum("n"), 4).alias("share"))
 
 
-def representatives(items: DataFrame, key: str, cluster: str, distance_col: str, text: Column, n: int = 5, likeness: float = 0.82, keep: int = 200) -> DataFrame:
+def representatives(items: DataFrame, key: str, cluster: str, distance_col: str, text: Column, n: int = 5, likeness: float = 0.82, keep: int = 200, fill: bool = True) -> DataFrame:
     """cluster, representatives (keys): the items nearest to the centroid whose words are not too like those chosen
-    before, then the nearest others up to min(n, size).
+    before, then (unless fill is off) the nearest others up to min(n, size).
 
     The choice runs over the `keep` nearest of each cluster. Clusters that find less than n there, and have more items,
     choose the others one after another from all of theirs; what fills up is always among the nearest.
@@ -200,16 +203,18 @@ def representatives(items: DataFrame, key: str, cluster: str, distance_col: str,
     none = F.filter("all", lambda x: F.lit(False))
     chosen = F.aggregate("all", none, lambda done, x: F.when((F.size(done) < n) & unlike(done, x["words"]), F.concat(done, F.array(x))).otherwise(done))
     out = listed.withColumn("chosen", chosen).persist()
-    open_ = out.filter((F.size("all") >= keep) & (F.size("chosen") < n)).select(cluster, "chosen").persist()
+    open_ = lineage.cut(out.filter((F.size("all") >= keep) & (F.size("chosen") < n)).select(cluster, "chosen"))
     found = open_
     for _ in range(n - 1):
         if open_.isEmpty():
             break
         rest = rows.join(open_, cluster).filter(unlike(F.col("chosen"), F.col("words")))
         nxt = rest.groupBy(cluster).agg(F.min(F.struct("place", "words")).alias("next"))
-        open_ = open_.join(nxt, cluster).filter(F.size("chosen") < n).select(cluster, F.concat("chosen", F.array("next")).alias("chosen")).persist()
-        found = open_.unionByName(found.join(open_.select(cluster), cluster, "left_anti"))
+        open_ = lineage.cut(open_.join(nxt, cluster).filter(F.size("chosen") < n).select(cluster, F.concat("chosen", F.array("next")).alias("chosen")))
+        found = lineage.cut(open_.unionByName(found.join(open_.select(cluster), cluster, "left_anti")))
     out = out.join(found.select(cluster, F.col("chosen").alias("more")), cluster, "left").withColumn("chosen", F.coalesce("more", "chosen"))
+    if not fill:
+        return out.select(cluster, F.transform("chosen", lambda x: x["place"]["key"]).alias("representatives"))
     rest = F.filter("all", lambda x: ~F.exists("chosen", lambda y: y["place"]["key"] == x["place"]["key"]))
     return out.select(cluster, F.transform(F.slice(F.concat("chosen", rest), 1, n), lambda x: x["place"]["key"]).alias("representatives"))
 

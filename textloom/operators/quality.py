@@ -50,22 +50,29 @@ def metadata_finding(items: DataFrame, metadata: str = "metadata") -> DataFrame:
     counts = rows.groupBy(F.trim("key").alias("key"), F.trim("value").alias("value")).agg(F.count("*").alias("n"))
     totals = counts.groupBy("key").agg(F.sum("n").alias("total"), F.min_by(F.struct("value", "n"), F.struct(-F.col("n"), F.col("value"))).alias("top"))
     best = totals.orderBy(F.col("total").desc(), F.lower("key")).limit(1)
-    text = F.format_string("Most common %s is '%s' (%d/%d, %.0f%%).", "key", "top.value", "top.n", "total", 100.0 * F.col("top.n") / F.col("total"))
+    text = F.format_string(METADATA_FINDING, "key", "top.value", "top.n", "total", 100.0 * F.col("top.n") / F.col("total"))
     return best.select("key", "top.value", "top.n", "total", text.alias("finding"))
 
 
+# The sentences of the findings.
+METADATA_FINDING = "Most common %s is '%s' (%d/%d, %.0f%%)."
+PROCESSED = "Processed {n} records and detected {clusters} main themes."
+LARGEST = "Largest theme is '{label}' with {size} records ({share:.0f}%)."
+SECOND = "Second largest theme is '{label}' with {size} records."
+ASPECTS = "Top reported aspects are: {aspects}."
+QUALITY = "Quality note: {warning}"
+FILLER = "Themes are stable enough to explore by cluster and representative examples."
+
+
 def key_findings(n_items: int, clusters: list[tuple[str, int]], aspects: list[str], metadata: str | None, warnings: list[str]) -> list[str]:
     """Three to six sentences on a run. clusters (label, size) by size."""
-    out = [f"Processed {n_items} records and detected {len(clusters)} main themes."]
+    out = [PROCESSED.format(n=n_items, clusters=len(clusters))]
     if clusters:
-        out.append(f"Largest theme is '{clusters[0][0]}' with {clusters[0][1]} records ({100.0 * clusters[0][1] / max(1, n_items):.0f}%).")
+        out.append(LARGEST.format(label=clusters[0][0], size=clusters[0][1], share=100.0 * clusters[0][1] / max(1, n_items)))
     if len(clusters) > 1:
-        out.append(f"Second largest theme is '{clusters[1][0]}' with {clusters[1][1]} records.")
+        out.append(SECOND.format(label=clusters[1][0], size=clusters[1][1]))
     if aspects:
-        out.append(f"Top reported aspects are: {', '.join(aspects[:3])}.")
+        out.append(ASPECTS.format(aspects=", ".join(aspects[:3])))
     out += [metadata] if metadata else []
-    out += [f"Quality note: {warnings[0]}"] if warnings else []
-    filler = "Themes are stable enough to explore by cluster and representative examples."
-    return [*out, *[filler] * (3 - len(out))][:6]
-
-
+    out += [QUALITY.format(warning=warnings[0])] if warnings else []
+    return [*out, *[FILLER] * (3 - len(out))][:6]

@@ -13,6 +13,7 @@ from ..functions.sentiment import THRESHOLD, normalized_score, phrase_score, raw
 from ..operators import aspects as asp
 from ..operators import cluster as cl
 from ..operators import labels as lb
+from ..operators import project as pj
 from ..operators import quality as ql
 from ..operators import tfidf as tf
 from ..operators.units import split_units
@@ -628,7 +629,20 @@ def pca_map(spark, sf_dir):
 
 @query()
 def svd_embed(spark, sf_dir):
-    return embed(table(spark, sf_dir, "documents"), dims=16, vocabulary=512)
+    return embed(table(spark, sf_dir, "documents"))
+
+
+@query()
+def project_classify(spark, sf_dir):
+    """A model of the conversations' turns places the documents."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return pj.classify(pj.train_project(turns, "id"), table(spark, sf_dir, "documents"))
+
+
+@query()
+def project_clusters(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pj.project_results(pj.train_project(docs), docs)[1]
 
 
 # Labels
@@ -649,6 +663,47 @@ def informative_terms(spark, sf_dir):
     return grams.groupBy("source").agg(F.count("*").alias("n_terms"), F.count_if(tx.is_informative(F.col("term"))).alias("n_informative"))
 
 
+_KEYWORDS = f"""kw0 AS (SELECT source, doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_list(lx.LABEL_STOP_WORDS)}, w)) AS w FROM documents),
+kt AS (SELECT source, doc_id, term, count(*) AS tf FROM (SELECT source, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM kw0) GROUP BY ALL),
+kn AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+kd AS (SELECT source, term, count(*) AS df, n FROM kt JOIN kn USING (source) GROUP BY source, term, n HAVING count(*) >= 2 OR n < 10 QUALIFY row_number() OVER (PARTITION BY source ORDER BY sum(tf) DESC, term) <= {lb.MAX_TERMS}),
+kr AS (SELECT source, doc_id, term, n, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM kt JOIN kd USING (source, term)),
+ku AS (SELECT source, term, n, raw / sqrt(sum(raw * raw) OVER (PARTITION BY source, doc_id)) AS weight FROM kr),
+ks AS (SELECT source, term, round(sum(weight) / any_value(n), 9) AS score FROM ku GROUP BY source, term HAVING {_informative('term')}),
+k1 AS (SELECT * FROM ks QUALIFY row_number() OVER (PARTITION BY source, replace(term, ' ', '') ORDER BY score DESC, term DESC) = 1),
+keys AS (SELECT source, list(term ORDER BY score DESC, term DESC)[1:12] AS keywords FROM k1 GROUP BY source)"""
+
+
+@query(f"WITH {_KEYWORDS} SELECT source, keywords FROM keys")
+def group_keywords(spark, sf_dir):
+    return lb.top_keywords(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+@query(f"WITH {_KEYWORDS}, o AS (SELECT a.source, list_distinct(flatten(list(b.keywords[1:10]))) AS theirs, flatten(list(b.keywords[1:10] ORDER BY b.source)) AS listed FROM keys a JOIN keys b ON a.source <> b.source GROUP BY a.source) SELECT source, list_filter(listed, lambda t, i: NOT list_contains(keywords, t) AND NOT list_contains(listed[1:i - 1], t))[1:5] AS negative_keywords FROM keys JOIN o USING (source)")
+def sibling_keywords(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    names = docs.select("source").distinct()
+    siblings = names.join(names.withColumnRenamed("source", "sibling"), F.col("source") != F.col("sibling"))
+    return lb.evidence_pack(docs, "source", "doc_id", siblings=siblings).select("source", F.col("sibling_negative_keywords").alias("negative_keywords"))
+
+
+@query()
+def representative_texts(spark, sf_dir):
+    return lb.representative_items(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+@query()
+def label_tree_nodes(spark, sf_dir):
+    """Labels of the inner nodes of a tree of languages and sources over the documents."""
+    docs = table(spark, sf_dir, "documents")
+    name = lambda *c: F.concat_ws("/", F.lit("all"), *c)
+    none = F.lit(None)
+    nodes = docs.select(name("lang", "source", F.col("doc_id").cast("string")).alias("node_id"), name("lang", "source").alias("parent_id"), "doc_id")
+    nodes = nodes.unionByName(docs.select(name("lang", "source").alias("node_id"), name("lang").alias("parent_id"), none.cast("long").alias("doc_id")).distinct())
+    nodes = nodes.unionByName(docs.select(name("lang").alias("node_id"), name().alias("parent_id"), none.cast("long").alias("doc_id")).distinct()).unionByName(docs.limit(1).select(name().alias("node_id"), none.cast("string").alias("parent_id"), none.cast("long").alias("doc_id")))
+    return lb.label_nodes(nodes, cl.node_members(nodes, "doc_id"), docs, "doc_id", "text").select("node_id", "label")
+
+
 def _candidates_sql() -> str:
     """Keywords have letters only here, so a candidate is its first three words with capitals."""
     cleaned = f"list_transform([{_clean('term')}], lambda c: {_collapse(_sub(_sub('c', tx.LABEL_ID), tx.LABEL_CODE))})[1]"

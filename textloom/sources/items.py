@@ -53,6 +53,25 @@ def read_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> Dat
     return items(df, text, [c for c in df.columns if c != text], F.monotonically_increasing_id(), max_rows)
 
 
+def normalize_text(df: DataFrame, column: str) -> DataFrame:
+    """The rows with `text`, the column without white space at its ends; blank ones stay, null ones are blank."""
+    return df.withColumn("text", strip(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))))
+
+
+def texts_only(spark: SparkSession, path: str) -> DataFrame:
+    """item_idx and text of a CSV file."""
+    return read_csv(spark, path).select("item_idx", "text")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """test_number, input_text of a JSON array of evaluation cases; a case without a number has its place from 1. As small
+    as a list of test cases, so one task reads it."""
+    cases = spark.read.schema("test_number long, input_text string").json(path, multiLine=True)
+    place = (F.monotonically_increasing_id() + 1).alias("place")
+    text = strip(F.coalesce("input_text", F.lit("")))
+    return cases.coalesce(1).select(place, "*").select(F.coalesce("test_number", "place").alias("test_number"), text.alias("input_text")).filter("input_text <> ''")
+
+
 def items(df: DataFrame, text: str, metadata: list[str], order: Column, max_rows: int | None = None) -> DataFrame:
     """item_idx, id, text, preview, metadata of the rows with text, numbered in the order; the first MAX_KEYS columns of
     metadata are kept. Numbers are dealt by offsets of partitions, not by one task."""

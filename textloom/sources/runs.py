@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +20,37 @@ class RunStore:
         df.write.mode("overwrite").format(fmt).save(f"{self.root}/{name}/run_id={run_id}")
 
     def load(self, run_id: str, name: str, fmt: str = "parquet") -> DataFrame:
+        found = self._read(f"{name}/run_id={run_id}", fmt)
+        if found is None:
+            raise FileNotFoundError(f"run {run_id} has no {name}")
+        return found
+
+    def _read(self, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame | None:
+        """The table at a path below the root; None if there is none. Other failures to read are raised."""
+        reader = self.spark.read.format(fmt)
         try:
-            return self.spark.read.format(fmt).load(f"{self.root}/{name}/run_id={run_id}")
-        except Exception as e:
-            raise FileNotFoundError(f"run {run_id} has no {name}") from e
+            return (reader.schema(schema) if schema else reader).load(f"{self.root}/{path}")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def save_input(self, run_id: str, raw: DataFrame) -> None:
+        """The rows as they were given, before anything is dropped or renamed."""
+        self.save(run_id, "input", raw)
+
+    def save_label_cache(self, run_id: str, cache: dict[str, str]) -> None:
+        if cache:
+            self.save(run_id, "label_cache", self.spark.createDataFrame(sorted(cache.items()), "key string, label string").coalesce(1))
+
+    def label_cache(self, run_id: str) -> dict[str, str]:
+        """Labels that a labeller gave in this run before; as few as its budget."""
+        found = self._read(f"label_cache/run_id={run_id}")
+        return {} if found is None else {r.key: r.label for r in found.collect()}
+
+    def aspect_payload(self, run_id: str) -> tuple[DataFrame, DataFrame | None]:
+        """The aspects of a run, and its granules where they were kept."""
+        return self.load(run_id, "aspects"), self._read(f"granules/run_id={run_id}")
 
     def set_status(self, run_id: str, status: str, stage: str, pct: int, error: str | None = None, debug_error: str | None = None) -> None:
         row = self.spark.createDataFrame([(run_id, status, stage, max(0, min(100, pct)), error, debug_error)], "run_id string, status string, stage string, pct int, error string, debug_error string")
@@ -30,9 +58,8 @@ class RunStore:
 
     def statuses(self) -> DataFrame:
         """The last state of each run."""
-        try:
-            rows = self.spark.read.schema(STATUS).parquet(f"{self.root}/status")
-        except Exception:
+        rows = self._read("status", schema=STATUS)
+        if rows is None:
             return self.spark.createDataFrame([], STATUS)
         fields = [f for f in rows.columns if f != "run_id"]
         return rows.groupBy("run_id").agg(F.max_by(F.struct(*fields), F.struct("updated_at", "pct")).alias("s")).select("run_id", *[f"s.{f}" for f in fields])
@@ -42,13 +69,13 @@ class RunStore:
         return found.asDict() if found else {"run_id": run_id, "status": "queued", "stage": "queued", "pct": 0, "error": None}
 
     def recent(self, limit: int = 20) -> DataFrame:
-        """The last runs, newest first, with the number of items of those that have got so far."""
-        out = self.statuses()
-        try:
-            counts = self.spark.read.parquet(f"{self.root}/items").groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count("*").alias("item_count"))
-            out = out.join(counts, "run_id", "left")
-        except Exception:
-            out = out.withColumn("item_count", F.lit(None).cast("long"))
+        """The last runs, newest first, with the number of items and clusters of those that have got so far."""
+        out, kept, seen = self.statuses(), self._read("items"), self._read("overview")
+        none = F.lit(None).cast("long")
+        # the overview has the number of those that have ended, the items of those that have got so far
+        counts = kept.groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count("*").alias("n_kept")) if kept is not None else self.spark.createDataFrame([], "run_id string, n_kept long")
+        ended = seen.select(F.col("run_id").cast("string").alias("run_id"), F.col("items").alias("n_seen"), F.col("clusters").alias("cluster_count")) if seen is not None else self.spark.createDataFrame([], "run_id string, n_seen long, cluster_count int")
+        out = out.join(ended, "run_id", "left").join(counts, "run_id", "left").withColumn("item_count", F.coalesce("n_seen", "n_kept", none)).drop("n_seen", "n_kept")
         return out.orderBy(F.col("updated_at").desc()).limit(max(1, min(100, limit)))
 
     def require_completed(self, run_id: str) -> None:
