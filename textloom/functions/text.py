@@ -148,6 +148,11 @@ def term_tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z0-9]*"), F.lit(0)), lambda t: F.length(t) >= 3)
 
 
+def long_words(text: Column) -> Column:
+    """Lower-case runs of two and more word characters of any script, repeats kept."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+
+
 def word_set(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z0-9]*"), F.lit(0)))
 

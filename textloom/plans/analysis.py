@@ -184,9 +184,9 @@ def analyze(items: DataFrame, options: Options | None = None, encoder: Callable
 def _cluster_terms(clustered: DataFrame, n: int) -> DataFrame:
     """cluster, terms: the best TF-IDF terms; where a cluster has none, its most frequent informative ones."""
     from ..functions import lexicon as lx
-    from ..functions.text import ngrams
+    from ..functions.text import long_words, ngrams
 
-    words = F.filter(F.regexp_extract_all(F.lower("clean"), F.lit(r"\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(lx.LABEL_STOP_WORDS))
+    words = F.filter(long_words(F.col("clean")), lambda w: ~w.isin(lx.LABEL_STOP_WORDS))
     freq = tf.term_frequencies(clustered, ngrams(words, 1, 3), "item_idx")
     weights = tf.tfidf(freq, n, "item_idx", min_df=2 if n >= 10 else 1, max_features=12_000)
     best = tf.top_terms(tf.mean_weights(weights, clustered.select("item_idx", "cluster"), "cluster", "item_idx"), "cluster")
