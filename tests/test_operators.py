@@ -182,9 +182,10 @@ def test_analysis(spark, tmp_path):
     out = analyze(items, Options(k_clusters=3, granulate_per_cluster=True), store=store, run_id="r1")
     assert out.clusters.agg(F.sum("size")).first()[0] == len(rows) and out.map.count() == len(rows)
     assert store.status("r1")["status"] == "completed" and store.recent().first().item_count == len(rows)
-    assert out.nodes.filter("label is not null").count() == out.nodes.filter("item_idx is null").count() and store.load("r1", "timings").count() == 8
+    nodes = store.load("r1", "nodes")
+    assert nodes.filter("label is not null").count() == nodes.filter("item_idx is null").count() and store.load("r1", "timings").count() == 8
     assert store.load("r1", "embeddings").count() == len(rows) and store.aspect_payload("r1")[1] is None
-    assert 3 <= store.load("r1", "insights").count() <= 6 and out.aspects_per_cluster.count() > 0
+    assert 3 <= store.load("r1", "insights").count() <= 6 and store.load("r1", "aspects_per_cluster").count() > 0
     assert store.status("unknown")["status"] == "queued"
     with pytest.raises(RuntimeError):
         store.require_completed("unknown")

@@ -144,6 +144,7 @@ def analyze(items: DataFrame, options: Options | None = None, encoder: Callable
         tree = nodes.join(counts, "node_id", "left").join(dominant, "node_id", "left").join(summary, "node_id", "left")
         if options.label_internal_nodes:
             tree = tree.join(lb.label_nodes(nodes, members, base, "item_idx", "clean", labeller, cache, min(lb.NODE_CALLS, options.llm_label_budget)), "node_id", "left")
+        tree = tree.persist()
         at("granulate", 90)
         granules = aspects = per_cluster = None
         if options.granulate:
@@ -153,7 +154,7 @@ def analyze(items: DataFrame, options: Options | None = None, encoder: Callable
         if options.granulate and options.granulate_per_cluster:
             nth = F.row_number().over(tf.Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(42), "item_idx")))
             some = clustered.select("item_idx", "text", "cluster").withColumn("nth", nth).filter(F.col("nth") <= options.granulate_per_cluster_max_rows)
-            found = asp.granulate(some.select("item_idx", "text"), key="item_idx").join(some.select("item_idx", "cluster"), "item_idx")
+            found = asp.granulate(some.select("item_idx", "text"), key="item_idx").join(assigned, "item_idx").persist()
             per_cluster = asp.aspect_aggregate(found, ["cluster"], "item_idx")
         at("insights", 98)
         warnings = ql.quality_warnings(ql.quality_figures(base))
