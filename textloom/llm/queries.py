@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .html_text import page_texts
 from .language_id import identify_languages
 from .line_dedup import drop_recurring_lines
+from .merkle import digest, merkle_versions
 from .minhash_dedup import near_duplicates
 from .mixing import budget_sql, mix
 from .secrets import secret_report
@@ -123,6 +124,42 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of `documents`, and the versions that documents of an even crc32 make by losing their line breaks."""
+    docs = table(spark, sf_dir, "documents")
+    meta = [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars")]
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    changed = F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle_versions(docs, digest(*meta, F.col("text")), digest(*meta, changed), F.col("source"), F.col("doc_id"), keep=["doc_id"])
+    folded = F.element_at("copies", -1)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
+def _field(x: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')"
+
+
+_SIDES = """string_agg(h, '') OVER (PARTITION BY key, level, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+ string_agg(h, '') OVER (PARTITION BY key, level, idx // 3 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r"""
+OP11_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('+' || source, '') AS key, {" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))} AS meta, text,
+ list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+ lambda a, c: list_reduce([xor(a, c)] || [CAST(0 AS BIGINT) FOR i IN range(8)], lambda x, z: xor(x >> 1, (x & 1) * CAST(3988292384 AS BIGINT)))) AS crc FROM documents),
+e AS (SELECT doc_id, key, sha256(meta || {_field("text")}) AS leaf, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(meta || {_field("replace(text, chr(10), '')")}) ELSE sha256(meta || {_field("text")}) END AS changed FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM e),
+up AS (SELECT key, 0 AS level, pos AS idx, n, leaf AS h FROM o UNION ALL SELECT key, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY key, level, idx // 3, n),
+subs AS (SELECT key, h, row_number() OVER (ORDER BY encode(key)) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+above AS (SELECT '' AS key, 0 AS level, pos AS idx, n, h FROM subs UNION ALL SELECT key, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM above WHERE n > 1 GROUP BY key, level, idx // 3, n),
+sides AS MATERIALIZED (SELECT key, level, idx, {_SIDES} FROM up WHERE n > 1), tops AS MATERIALIZED (SELECT key, level, idx, {_SIDES} FROM above WHERE n > 1),
+low AS (SELECT doc_id, key, leaf, 0 AS level, pos AS idx, changed AS f, '' AS proof FROM o
+ UNION ALL SELECT doc_id, low.key, leaf, low.level + 1, low.idx // 3, sha256(coalesce(l, '') || f || coalesce(r, '')), proof || coalesce(l, '') || coalesce(r, '') FROM low JOIN sides s ON low.key = s.key AND low.level = s.level AND low.idx = s.idx),
+high AS (SELECT doc_id, low.key, leaf, 0 AS level, pos AS idx, f, proof FROM (SELECT *, row_number() OVER (PARTITION BY key, doc_id, leaf ORDER BY level DESC) AS last FROM low) low JOIN subs ON low.key = subs.key WHERE last = 1
+ UNION ALL SELECT doc_id, high.key, leaf, high.level + 1, high.idx // 3, sha256(coalesce(l, '') || f || coalesce(r, '')), proof || coalesce(l, '') || coalesce(r, '') FROM high JOIN tops s ON high.level = s.level AND high.idx = s.idx),
+done AS (SELECT *, row_number() OVER (PARTITION BY key, doc_id, leaf ORDER BY level DESC) AS last FROM high)
+SELECT doc_id, leaf, subs.h AS subroot, (SELECT h FROM above WHERE n = 1) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT h FROM above WHERE n = 1) AS verified FROM done JOIN subs ON done.key = subs.key WHERE last = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -135,8 +172,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_winnowing": op8_winnowing,
         "op9_toxicity": op9_toxicity,
         "op10_minhash_dedup": op10_minhash_dedup,
+        "op11_merkle": op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op11_merkle": OP11_SQL}
