@@ -17,6 +17,7 @@ from .minhash_dedup import near_duplicates
 from .mixing import budget_sql, mix
 from .secrets import secret_report
 from .toxicity import toxicity
+from .vector_dedup import near_vectors
 from .warc import archive_report
 from .winnowing import fingerprint_report
 
@@ -160,6 +161,21 @@ SELECT doc_id, leaf, subs.h AS subroot, (SELECT h FROM above WHERE n = 1) AS roo
 """
 
 
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of `embeddings` with a cosine of 0.9 and more are linked."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT vec_id, v FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT comp.vec_id, coalesce(n_links, 0) AS n_links, component_id, comp.vec_id = component_id AS kept FROM comp LEFT JOIN n ON comp.vec_id = n.vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -173,8 +189,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_minhash_dedup": op10_minhash_dedup,
         "op11_merkle": op11_merkle,
+        "op13_vector_dedup": op13_vector_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op11_merkle": OP11_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op11_merkle": OP11_SQL, "op13_vector_dedup": OP13_SQL}
