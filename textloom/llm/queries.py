@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .hard_negatives import hard_negatives
 from .html_text import page_texts
 from .language_id import identify_languages
 from .line_dedup import drop_recurring_lines
@@ -161,6 +162,23 @@ SELECT doc_id, leaf, subs.h AS subroot, (SELECT h FROM above WHERE n = 1) AS roo
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector of `embeddings`, whose labels are wrong for every seventh."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS nth FROM s WHERE same) WHERE nth <= 5),
+n AS (SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+ FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of `embeddings` with a cosine of 0.9 and more are linked."""
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
@@ -189,9 +207,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_minhash_dedup": op10_minhash_dedup,
         "op11_merkle": op11_merkle,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_vector_dedup": op13_vector_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op11_merkle": OP11_SQL, "op13_vector_dedup": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op11_merkle": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_vector_dedup": OP13_SQL}
