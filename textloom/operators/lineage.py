@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share. A session on this machine alone gets
+    one where none is set; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table, written to the folder that spark.checkpoint.dir names and read from there, so that plans of later rounds
-    stay short and lost executors cost one round. A session on this machine alone gets a folder where none is set; on a
-    cluster that is an error."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """The table, written to the shared folder and read from there, so that plans of later rounds stay short and lost
+    executors cost one round."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(found)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

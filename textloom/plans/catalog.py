@@ -13,11 +13,13 @@ from ..functions.sentiment import THRESHOLD, normalized_score, phrase_score, raw
 from ..operators import aspects as asp
 from ..operators import cluster as cl
 from ..operators import labels as lb
+from ..operators import lineage
 from ..operators import project as pj
 from ..operators import quality as ql
 from ..operators import tfidf as tf
 from ..operators.units import split_units
 from ..operators.vectors import embed, project_2d
+from ..sources.items import read_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +111,17 @@ def preview_items(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.preview(F.col("text")).alias("preview"), F.length(tx.collapse(F.col("text"))).alias("n"))
 
 
+@query(rf"""SELECT item_idx, 'item_' || item_idx AS id, substr(t, 1, 140) AS preview, md5(t) AS text_md5, CAST(doc_id AS VARCHAR) AS doc_id, lang FROM
+ (SELECT *, {_collapse('text')} AS t, row_number() OVER (ORDER BY doc_id) - 1 AS item_idx FROM documents WHERE regexp_matches(coalesce(text, ''), '\S'))""")
+def csv_items(spark, sf_dir):
+    """The documents as items of quoted CSV files, which are written in the shared folder and read in pieces."""
+    path = lineage.scratch(spark, "csv")
+    rows = table(spark, sf_dir, "documents").select("text", "doc_id", "lang", "source").orderBy("doc_id")
+    rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    found = read_items(spark, path)
+    return found.select("item_idx", "id", "preview", F.md5(tx.collapse(F.col("text")).cast("binary")).alias("text_md5"), F.col("metadata")["doc_id"].alias("doc_id"), F.col("metadata")["lang"].alias("lang"))
+
+
 @query(r"SELECT lang, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE regexp_matches(coalesce(text, ''), '\S') GROUP BY lang")
 def nonblank_scan(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(tx.strip(F.coalesce("text", F.lit(""))) != "").groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import TEXT_COLUMNS
 from ..functions.text import clean_metadata, preview, strip
+from ..operators import lineage
+from .csv_splits import read_delimited
 
 # Limits of an upload.
 MAX_BYTES, MAX_KEYS, KEY_LENGTH, VALUE_LENGTH = 50 * 1024 * 1024, 20, 60, 240
@@ -35,22 +37,26 @@ def check_upload(path: str, size: int) -> None:
         raise ValueError("the file is larger than 50 MB")
 
 
-def read_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """Items of a CSV file with a header and a known text column; all cells are strings, rows with a blank text go.
-
-    UTF-8 (with or without a byte-order mark) is tried first, then Latin-1, which reads anything. The order of rows is
-    that of the file, so a quoted file with line breaks is read by one task.
-    """
+def read_csv(spark: SparkSession, path: str, max_rows: int | None = None, delimiter: str = ",") -> DataFrame:
+    """Items of an uploaded CSV file with a header and a known text column; see read_items. The limits of an upload hold."""
     sizes = spark.read.format("binaryFile").load(path).select("path", "length").collect()
     for r in sizes:
         check_upload(r.path, r.length)
-    valid = spark.read.format("binaryFile").load(path).select(F.min(F.is_valid_utf8(F.col("content").cast("string"))).alias("ok")).first().ok
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8" if valid else "ISO-8859-1", inferSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    text = detect_text_column(df.columns)
+    return read_items(spark, path, max_rows, delimiter)
+
+
+def read_items(spark: SparkSession, path: str, max_rows: int | None = None, delimiter: str = ",") -> DataFrame:
+    """Items of delimited files of any size; all cells are strings, rows with a blank text go.
+
+    UTF-8 (with or without a byte-order mark) is tried first, then Latin-1, which reads anything. Items are in the order
+    of the files' names and rows. A file is read in as many tasks as Spark cuts it into, quoted line breaks or not.
+    """
+    df = read_delimited(spark, path, delimiter)
+    columns = [c for c in df.columns if c != "place__"]
+    text = detect_text_column(columns)
     if text is None:
         raise ValueError("no text column; one of " + ", ".join(TEXT_COLUMNS) + " is needed")
-    return items(df, text, [c for c in df.columns if c != text], F.monotonically_increasing_id(), max_rows)
+    return items(df, text, [c for c in columns if c != text], F.col("place__"), max_rows)
 
 
 def normalize_text(df: DataFrame, column: str) -> DataFrame:
@@ -87,7 +93,7 @@ def items(df: DataFrame, text: str, metadata: list[str], order: Column, max_rows
 def number_rows(rows: DataFrame, order: str) -> DataFrame:
     """Adds item_idx from 0 in the order: rows are sorted by ranges, and each range starts after those before it."""
     ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("part__", F.spark_partition_id()).withColumn("place__", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    ranged = ranged.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else ranged.cache()
+    ranged = lineage.cut(ranged)
     counts = sorted((r.part__, r.n) for r in ranged.groupBy("part__").agg(F.count("*").alias("n")).collect())
     starts, total = [], 0
     for part, n in counts:
