@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which driver and executors share. A session on this machine alone gets
@@ -27,8 +29,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read from there, so that plans of later rounds stay short and lost
-    executors cost one round."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    executors cost one round. It is worked out once; `clear` deletes what was written."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    MADE.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that were cut in this process; to be called when the results made of them are written."""
+    for path in MADE:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    MADE.clear()

@@ -676,15 +676,20 @@ def informative_terms(spark, sf_dir):
     return grams.groupBy("source").agg(F.count("*").alias("n_terms"), F.count_if(tx.is_informative(F.col("term"))).alias("n_informative"))
 
 
-_KEYWORDS = f"""kw0 AS (SELECT source, doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_list(lx.LABEL_STOP_WORDS)}, w)) AS w FROM documents),
-kt AS (SELECT source, doc_id, term, count(*) AS tf FROM (SELECT source, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM kw0) GROUP BY ALL),
-kn AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-kd AS (SELECT source, term, count(*) AS df, n FROM kt JOIN kn USING (source) GROUP BY source, term, n HAVING count(*) >= 2 OR n < 10 QUALIFY row_number() OVER (PARTITION BY source ORDER BY sum(tf) DESC, term) <= {lb.MAX_TERMS}),
-kr AS (SELECT source, doc_id, term, n, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM kt JOIN kd USING (source, term)),
-ku AS (SELECT source, term, n, raw / sqrt(sum(raw * raw) OVER (PARTITION BY source, doc_id)) AS weight FROM kr),
-ks AS (SELECT source, term, round(sum(weight) / any_value(n), 9) AS score FROM ku GROUP BY source, term HAVING {_informative('term')}),
-k1 AS (SELECT * FROM ks QUALIFY row_number() OVER (PARTITION BY source, replace(term, ' ', '') ORDER BY score DESC, term DESC) = 1),
-keys AS (SELECT source, list(term ORDER BY score DESC, term DESC)[1:12] AS keywords FROM k1 GROUP BY source)"""
+def _keywords_sql(group: str = "source", members: str = "SELECT source, doc_id FROM documents", n: int = 12) -> str:
+    """The best keywords of each group of documents."""
+    return f"""kw0 AS (SELECT m.{group}, m.doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_list(lx.LABEL_STOP_WORDS)}, w)) AS w FROM documents d JOIN ({members}) m ON d.doc_id = m.doc_id),
+kt AS (SELECT {group}, doc_id, term, count(*) AS tf FROM (SELECT {group}, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM kw0) GROUP BY ALL),
+kn AS (SELECT {group}, count(*) AS n FROM ({members}) GROUP BY {group}),
+kd AS (SELECT {group}, term, count(*) AS df, n FROM kt JOIN kn USING ({group}) GROUP BY {group}, term, n HAVING count(*) >= 2 OR n < 10 QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY sum(tf) DESC, term) <= {lb.MAX_TERMS}),
+kr AS (SELECT {group}, doc_id, term, n, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM kt JOIN kd USING ({group}, term)),
+ku AS (SELECT {group}, term, n, raw / sqrt(sum(raw * raw) OVER (PARTITION BY {group}, doc_id)) AS weight FROM kr),
+ks AS (SELECT {group}, term, round(sum(weight) / any_value(n), 9) AS score FROM ku GROUP BY {group}, term HAVING {_informative('term')}),
+k1 AS (SELECT * FROM ks QUALIFY row_number() OVER (PARTITION BY {group}, replace(term, ' ', '') ORDER BY score DESC, term DESC) = 1),
+keys AS (SELECT {group}, list(term ORDER BY score DESC, term DESC)[1:{n}] AS keywords FROM k1 GROUP BY {group})"""
+
+
+_KEYWORDS = _keywords_sql()
 
 
 @query(f"WITH {_KEYWORDS} SELECT source, keywords FROM keys")
@@ -705,7 +710,23 @@ def representative_texts(spark, sf_dir):
     return lb.representative_items(table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
-@query()
+def _label_tree_sql() -> str:
+    """The rule whose words occur most in a node's keywords, else the first informative keyword."""
+    members = " UNION ALL ".join(f"SELECT doc_id, concat_ws('/', {path}) AS node FROM documents" for path in ("'all'", "'all', lang", "'all', lang, source"))
+    rules = ", ".join(f"({i}, {_q(n)}, {_list(ws)})" for i, (n, ws) in enumerate(lx.LABEL_RULES.items()))
+    three = f"list_transform(keywords, lambda k: array_to_string(({_words('k')})[1:3], ' '))"
+    good = f"list_filter({three}, lambda s: s <> '' AND {_informative('s')})[1]"
+    title = f"array_to_string(list_transform(string_split({good}, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')"
+    return f"""WITH {_keywords_sql('node', members, 14)},
+kx AS (SELECT kn.node, coalesce(keywords, []) AS keywords, list_distinct(flatten(list_transform(coalesce(keywords, []), lambda t: {_words('t')}))) AS w FROM kn LEFT JOIN keys ON kn.node = keys.node),
+rl AS (SELECT node, CASE WHEN n > 0 THEN label END AS label FROM (SELECT node, i, label, len(list_intersect(w, keys)) AS n FROM kx, (VALUES {rules}) AS t(i, label, keys)) QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, i) = 1),
+fam AS (SELECT node, regexp_replace(node, '/[^/]*$', '') AS parent, keywords[1:10] AS theirs FROM keys WHERE node <> 'all'),
+sib AS (SELECT a.node, flatten(list(b.theirs ORDER BY b.node)) AS listed FROM fam a JOIN fam b ON a.parent = b.parent AND a.node <> b.node GROUP BY a.node)
+SELECT kx.node AS node_id, coalesce(label, CASE WHEN {good} IS NOT NULL THEN {title} END, {_q(lb.DEFAULT)}) AS label, keywords AS top_keywords,
+ coalesce(list_filter(listed, lambda t, i: NOT list_contains(keywords, t) AND NOT list_contains(listed[1:i - 1], t))[1:5], []) AS sibling_negative_keywords FROM kx JOIN rl ON kx.node = rl.node LEFT JOIN sib ON kx.node = sib.node"""
+
+
+@query(_label_tree_sql())
 def label_tree_nodes(spark, sf_dir):
     """Labels of the inner nodes of a tree of languages and sources over the documents."""
     docs = table(spark, sf_dir, "documents")
@@ -714,7 +735,7 @@ def label_tree_nodes(spark, sf_dir):
     nodes = docs.select(name("lang", "source", F.col("doc_id").cast("string")).alias("node_id"), name("lang", "source").alias("parent_id"), "doc_id")
     nodes = nodes.unionByName(docs.select(name("lang", "source").alias("node_id"), name("lang").alias("parent_id"), none.cast("long").alias("doc_id")).distinct())
     nodes = nodes.unionByName(docs.select(name("lang").alias("node_id"), name().alias("parent_id"), none.cast("long").alias("doc_id")).distinct()).unionByName(docs.limit(1).select(name().alias("node_id"), none.cast("string").alias("parent_id"), none.cast("long").alias("doc_id")))
-    return lb.label_nodes(nodes, cl.node_members(nodes, "doc_id"), docs, "doc_id", "text").select("node_id", "label")
+    return lb.label_nodes(nodes, cl.node_members(nodes, "doc_id"), docs, "doc_id", "text")
 
 
 def _candidates_sql() -> str:
