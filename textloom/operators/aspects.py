@@ -330,6 +330,11 @@ def aspect_aggregate(granules: DataFrame, by: list[str] | None = None, key: str
     terms = rows.select(*groups, key, "unit_pos", F.posexplode("evidence").alias("at", "term")).groupBy(*groups, "term").agg(F.count("*").alias("f"), F.min(F.struct(key, "unit_pos", "at")).alias("seen"))
     best = F.row_number().over(Window.partitionBy(*groups).orderBy(F.col("f").desc(), "seen"))
     top = terms.withColumn("nth", best).filter(F.col("nth") <= n).groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "term"))), lambda x: x["term"]).alias("top_evidence"))
+    return aspect_figures(sums, top, groups)
+
+
+def aspect_figures(sums: DataFrame, top: DataFrame, groups: list[str]) -> DataFrame:
+    """The columns of `aspect_aggregate` from counts, votes, means (score, raw) and first_seen, and top_evidence."""
     share = lambda c: F.round(F.col(c) / F.col("count"), 3)
     direction = F.when(F.col("score") > 0.05, "positive").when(F.col("score") < -0.05, "negative").otherwise("neutral")
     return sums.join(top, groups, "left").select(

@@ -20,6 +20,7 @@ from ..operators import tfidf as tf
 from ..operators.units import split_units
 from ..operators.vectors import embed, project_2d
 from ..sources.items import read_items
+from ..streaming import corpus_state, stream_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -510,6 +511,17 @@ def aspect_aggregate(spark, sf_dir):
     return asp.aspect_aggregate(asp.granulate(reviews(spark, sf_dir)).persist()).drop("first_seen")
 
 
+@query(_aggregate_sql(""))
+def stream_aspect_state(spark, sf_dir):
+    """The reviews come in two files, a micro-batch each; the state after the last one. No row counts as late."""
+    path = lineage.scratch(spark, "stream")
+    docs = reviews(spark, sf_dir).select("doc_id", "text", "ts")
+    docs.repartition(2, "doc_id").write.parquet(f"{path}/in")
+    texts = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream_corpus(texts, path, f"{path}/checkpoint", "ts", late="36500 days")
+    return corpus_state(spark, path).drop("first_seen")
+
+
 @query(_aggregate_sql("event_type, "))
 def aspect_per_cluster(spark, sf_dir):
     docs = reviews(spark, sf_dir)

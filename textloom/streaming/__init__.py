@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import normalized_score, raw_sentiment, sentiment_label
-from ..operators.aspects import aspect_aggregate, granulate
+from ..operators.aspects import aspect_aggregate, aspect_figures, granulate
 from ..operators.units import explode_units
 
 
@@ -29,3 +29,54 @@ def stream_aspects(texts: DataFrame, out: str, checkpoint: str, taxonomy: dict |
         granules.unpersist()
 
     return texts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_corpus(texts: DataFrame, out: str, checkpoint: str, time_col: str, window: str = "1 day", late: str = "1 day", taxonomy: dict | None = None, key: str = "doc_id", text_col: str = "text") -> None:
+    """Takes what has come of a stream of texts into the corpus' state below `out`, and ends; to be called again for more.
+
+    Each micro-batch's granules are written first. A second stream over them keeps counts, votes, sums and evidence for
+    each window of event time, aspect and evidence term as Spark's keyed state, so that one document more changes a few
+    keys and no batch is read again; what changes is written under the batch's number, so a repeated batch changes
+    nothing. A term's rows are summed before they are dealt out, so an aspect that all texts share is no hot key. Rows
+    that come more than `late` after the newest time seen, and whose window is closed, are left out.
+    """
+    spark = texts.sparkSession
+
+    def granules(batch: DataFrame, number: int) -> None:
+        found = granulate(batch.select(key, text_col), taxonomy, key=key, text_col=text_col)
+        found.join(batch.select(key, time_col), key).select(key, time_col, *GRANULE).write.mode("overwrite").parquet(f"{out}/granules/batch={number}")
+
+    def changed(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/state/batch={number}")
+
+    texts.writeStream.foreachBatch(granules).option("checkpointLocation", f"{checkpoint}/granules").trigger(availableNow=True).start().awaitTermination()
+    schema = spark.read.parquet(f"{out}/granules").schema
+    rows = spark.readStream.schema(schema).parquet(f"{out}/granules").withWatermark(time_col, late).filter("aspect <> 'OTHER'")
+    none = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("term")))
+    terms = F.transform("evidence", lambda t, i: F.struct(i.cast("int").alias("at"), t.alias("term")))
+    rows = rows.withColumn("entry", F.explode(F.concat(none, terms))).select("*", "entry.at", "entry.term")
+    vote = lambda s: F.sum((F.col("sentiment") == s).cast("long")).alias(f"{s}_count")
+    sums = rows.groupBy(F.window(time_col, window).alias("window"), "aspect", "term").agg(
+        F.count("*").alias("count"), F.sum("sentiment_score").alias("score"), F.sum("sentiment_raw").alias("raw"), vote("positive"), vote("negative"), vote("neutral"), F.min(F.struct(key, "unit_pos", "at")).alias("seen"),
+    )
+    sums.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+#: What the state needs of a granule.
+GRANULE = ["unit_pos", "aspect", "evidence", "sentiment", "sentiment_score", "sentiment_raw"]
+
+
+def corpus_state(spark: SparkSession, out: str, by_window: bool = False, n: int = 3) -> DataFrame:
+    """The aspects of all texts taken in so far (for each window, if asked for), in the columns of `aspect_aggregate`.
+    Of each key the state of its last batch counts."""
+    rows = spark.read.parquet(f"{out}/state")
+    values = [c for c in rows.columns if c not in ("window", "aspect", "term", "batch")]
+    last = rows.groupBy("window", "aspect", "term").agg(F.max_by(F.struct(*values), "batch").alias("v")).select("window", "aspect", "term", "v.*")
+    groups = ["window", "aspect"] if by_window else ["aspect"]
+    first = [F.col("seen")[f].alias(f) for f in last.schema["seen"].dataType.names[:2]]
+    total = [F.sum(c).alias(c) for c in values if c != "seen"]
+    sums = last.filter("term is null").groupBy(*groups).agg(*total, F.min(F.struct(*first)).alias("first_seen"))
+    terms = last.filter("term is not null").groupBy(*groups, "term").agg(F.sum("count").alias("f"), F.min("seen").alias("seen"))
+    best = F.row_number().over(Window.partitionBy(*groups).orderBy(F.col("f").desc(), "seen"))
+    top = terms.withColumn("nth", best).filter(F.col("nth") <= n).groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "term"))), lambda x: x["term"]).alias("top_evidence"))
+    return aspect_figures(sums.withColumns({"score": F.col("score") / F.col("count"), "raw": F.col("raw") / F.col("count")}), top, groups)
