@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -13,6 +14,8 @@ from . import lineage
 
 #: The largest table that is linked exactly, on the driver; larger ones are first brought to so many k-means centres.
 EXACT_ITEMS, CENTRES = 2000, 64
+#: The largest table whose silhouettes are of plain distances.
+PLAIN_ITEMS = 20_000
 #: The most centres that are sent to all executors.
 MOST_CENTRES = 10_000
 
@@ -64,15 +67,63 @@ def kmeans(items: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> D
     return KMeans(k=k, seed=seed).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))
 
 
+def silhouettes(items: DataFrame, key: str, cluster: str, vector: str, block: int = 1000) -> DataFrame:
+    """key, cluster, silhouette of each item by plain Euclidean distances: (b - a) / max(a, b), where a is the mean
+    distance to the others of its cluster and b the least mean distance to those of another one; 0 for an item that is
+    alone in its cluster, and where there is one cluster only.
+
+    Items are dealt out in blocks of some `block` rows, each pair of blocks is one task's work, and of its distances only
+    the sums for each item and cluster go on. The work grows with the square of the items.
+    """
+    n = items.count()
+    parts = max(1, -(-n // block))
+    kind = dict(items.dtypes)
+    rows = items.select(key, F.col(cluster).alias("cluster__"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        sides = [pdf[pdf.own == pdf.x], pdf[pdf.own == pdf.y]]
+        both = [np.stack(p.v.to_numpy()) if len(p) else np.empty((0, 0)) for p in sides]
+        for mine, theirs in ((0, 1), (1, 0)) if pdf.x.iloc[0] != pdf.y.iloc[0] else ((0, 0),):
+            a, b, names = both[mine], both[theirs], sides[theirs].cluster__.to_numpy()
+            if not len(a) or not len(b):
+                continue
+            codes, clusters = pd.factorize(names)
+            member = np.eye(len(clusters))[codes]
+            for lo in range(0, len(a), 500):
+                part = a[lo : lo + 500]
+                far = np.sqrt(np.maximum(0, (part**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * part @ b.T))
+                if mine == theirs:
+                    far[np.arange(len(part)), lo + np.arange(len(part))] = 0
+                total = far @ member
+                out.append(pd.DataFrame({key: np.repeat(sides[mine][key].to_numpy()[lo : lo + 500], len(clusters)), "other": np.tile(np.asarray(clusters), len(part)), "total": total.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({key: [], "other": [], "total": []})
+
+    pairs = rows.groupBy("x", "y").applyInPandas(sums, f"{key} {kind[key]}, other {kind[cluster]}, total double")
+    total = pairs.groupBy(key, "other").agg(F.sum("total").alias("total"))
+    sizes = items.groupBy(F.col(cluster).alias("other")).agg(F.count("*").alias("size"))
+    total = total.join(sizes, "other").join(items.select(key, F.col(cluster).alias("cluster__")), key)
+    own = F.col("other") == F.col("cluster__")
+    found = total.groupBy(key, "cluster__").agg(F.max(F.when(own & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"))
+    top = F.greatest("a", "b")
+    score = F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    return found.select(key, F.col("cluster__").alias(cluster), score.alias("silhouette"))
+
+
 def choose_k(items: DataFrame, vector: str, low: int = 2, high: int = 12, seed: int = 42) -> tuple[int, float]:
-    """The number of clusters with the best silhouette; the least one of equal ones."""
-    rows = items.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
+    """The number of clusters with the best mean silhouette; the least one of equal ones. Distances are plain ones up to
+    PLAIN_ITEMS items; beyond, squared ones, whose work grows with the items only."""
+    rows = lineage.cut(items.select(F.monotonically_increasing_id().alias("row"), F.col(vector).cast("array<double>").alias("v"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
+    n = rows.count()
     best = (low, -1.0)
-    for k in range(low, min(high, rows.count() - 1) + 1):
+    for k in range(low, min(high, n - 1) + 1):
         found = KMeans(k=k, seed=seed).fit(rows).transform(rows)
-        score = ClusteringEvaluator().evaluate(found) if found.select("prediction").distinct().count() > 1 else -1.0
+        if found.select("prediction").distinct().count() < 2:
+            continue
+        score = silhouettes(found, "row", "prediction", "v").agg(F.avg("silhouette")).first()[0] if n <= PLAIN_ITEMS else ClusteringEvaluator().evaluate(found)
         best = (k, score) if score > best[1] else best
-    rows.unpersist()
     return best
 
 
@@ -84,27 +135,47 @@ def renumber(items: DataFrame, cluster: str, order: str) -> DataFrame:
 
 
 def ward(vectors: np.ndarray) -> np.ndarray:
-    """Ward linkage (left, right, height, size) of up to EXACT_ITEMS points, closest pair first (ties: lowest numbers)."""
+    """Ward linkage (left, right, height, size) of up to EXACT_ITEMS points, closest pair first.
+
+    A chain of nearest neighbours is followed until two points are each other's nearest, which can be merged at once, as
+    no later merge brings anything nearer; so a merge costs one row of distances, not all of them. Merges are then put
+    in the order of their heights (ties: the order in which the chain, begun at the lowest number, found them).
+    """
     n = len(vectors)
-    d = ((vectors[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2) if n * n * vectors.shape[1] < 5_000_000 else np.maximum(0, (vectors**2).sum(1)[:, None] + (vectors**2).sum(1)[None, :] - 2 * vectors @ vectors.T)
+    squares = (vectors**2).sum(1)
+    d = ((vectors[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2) if n * n * vectors.shape[1] < 5_000_000 else np.maximum(0, squares[:, None] + squares[None, :] - 2 * vectors @ vectors.T)
     d = d.astype(float)
     np.fill_diagonal(d, np.inf)
-    size, name = np.ones(n), np.arange(n)
-    out = np.empty((max(0, n - 1), 4))
-    for step in range(n - 1):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        i, j = min(i, j), max(i, j)
+    size, alive = np.ones(n), np.ones(n, bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        x = chain[-1]
+        y = int(np.argmin(d[x]))
+        if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+            y = chain[-2]
+        if len(chain) < 2 or y != chain[-2]:
+            chain.append(y)
+            continue
+        del chain[-2:]
+        i, j = min(x, y), max(x, y)
         height2 = d[i, j]
-        total = size + size[i] + size[j]
-        merged = ((size + size[i]) * d[i] + (size + size[j]) * d[j] - size * height2) / total
-        merged[[i, j]] = np.inf
-        merged[~np.isfinite(d[i]) & ~np.isfinite(d[j])] = np.inf
-        a, b = sorted((name[i], name[j]))
-        out[step] = a, b, np.sqrt(height2), size[i] + size[j]
+        row = ((size + size[i]) * d[i] + (size + size[j]) * d[j] - size * height2) / (size + size[i] + size[j])
+        row[~alive] = np.inf
+        row[[i, j]] = np.inf
+        merges.append((height2, i, j))
         size[i] += size[j]
-        name[i] = n + step
-        d[i], d[:, i] = merged, merged
+        alive[j] = False
+        d[i], d[:, i] = row, row
         d[j], d[:, j] = np.inf, np.inf
+    out = np.empty((max(0, n - 1), 4))
+    name, count = list(range(n)), [1] * n
+    for step, (height2, i, j) in enumerate(sorted(merges, key=lambda m: m[0])):
+        a, b = sorted((name[i], name[j]))
+        out[step] = a, b, np.sqrt(height2), count[i] + count[j]
+        name[i], count[i] = n + step, count[i] + count[j]
     return out
 
 

@@ -559,6 +559,13 @@ def cluster_sizes(spark, sf_dir):
     return cl.cluster_sizes(table(spark, sf_dir, "embeddings"), "label")
 
 
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY ALL),
+s AS (SELECT vec_id, label, max(CASE WHEN label = other THEN total / n END) AS a, min(CASE WHEN label <> other THEN total / n END) AS b FROM d GROUP BY ALL)
+SELECT vec_id, label, round(CASE WHEN greatest(a, b) > 0 AND a IS NOT NULL AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS silhouette FROM s""")
+def silhouettes(spark, sf_dir):
+    return cl.silhouettes(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding").withColumn("silhouette", F.round("silhouette", 6))
+
+
 _CENTROIDS = "x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS c FROM x GROUP BY ALL)"
 
 
