@@ -98,3 +98,25 @@ def test_pages_against_a_plain_parser(spark, sf):
         plain.feed(r.html or "")
         want[r.page_id] = "\n\n".join(plain.blocks)
     assert {r.page_id: r.text for r in page_texts(pages).collect()} == want
+
+
+BODY = "<p>" + "The body goes on for a while and says many things about the matter. " * 6 + "</p>"
+PARTS = {
+    "headline": (f'<body><h1>Headline</h1><div class="content">{BODY}{BODY}</div></body>', ["Headline", "B", "B"]),
+    "headline in a head": (f'<body><div><div class="top"><h1>Headline</h1></div><div class="content">{BODY}{BODY}</div></div><h2>After</h2></body>', ["Headline", "B", "B"]),
+    "lead": (f'<body><div class="page"><div class="lead"><p>Lead paragraph.</p></div><div class="body-text">{BODY}{BODY}</div></div></body>', ["Lead paragraph.", "B", "B"]),
+    "name of the site": (f'<body><header><h1>The site</h1></header><nav><h2>Go</h2></nav><div class="content">{BODY}{BODY}</div></body>', ["B", "B"]),
+    "links before": (f'<body><div class="tools"><p>Font size</p><h2><a href="x">Home</a></h2></div><div class="content">{BODY}{BODY}</div></body>', ["B", "B"]),
+    "menu of a restaurant": (f'<body><article>{BODY}<div class="menu">{BODY}</div>{BODY}</article></body>', ["B", "B", "B"]),
+    "search for a ship": (f'<body><article>{BODY}<section id="search"><p>The search for the ship went on for years.</p></section></article></body>', ["B", "The search for the ship went on for years."]),
+    "share of the money": (f'<body><article>{BODY}<p class="share">He took his share of the money.</p></article></body>', ["B", "He took his share of the money."]),
+    "controls": (f'<body><article>{BODY}<div class="share">Share this</div><div class="menu"><a href="/">The first page of this site is here.</a></div><p class="ad">Buy the best of all things here now.</p></article></body>', ["B"]),
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_parts_of_articles_stay_and_controls_go(name):
+    source, want = PARTS[name]
+    page = Page(source)
+    said = BODY[3:-4].strip()
+    assert (page.text(page.best_path()) or "").split("\n\n") == [said if x == "B" else x for x in want]

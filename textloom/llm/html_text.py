@@ -35,14 +35,16 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote".split())
 
 #: Elements that are never the article's text.
 SKIPPED = frozenset("nav footer aside script style noscript template iframe button select option textarea input head svg canvas object embed audio video map dialog menu search title".split())
-#: Elements that are not unless they hold nearly all of the page's text.
-MARKED = frozenset(["form", "header"])
 #: A class, id or role made of these words alone (and of neutral ones) marks its element in the same way.
 MARK_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar banner cookie cookies consent notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion disqus respond "
     "share sharing social related recommended recommendations widget widgets pagination pager toolbar skip complementary contentinfo search".split()
 )
+#: Of these, words that name an article's parts as well: below the container they leave out only what reads like controls.
+WEAK_WORDS = frozenset("menu search share sharing social related navigation promotion header".split())
+#: Classes of what stands before the text and belongs to it.
+LEAD_WORDS = frozenset("headline title subtitle heading lead lede intro introduction standfirst deck dek abstract teaser summary".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 NEUTRAL_WORDS = frozenset("site page main global top bottom left right primary secondary box bar block slot list area section wrap wrapper container button buttons links link item items form group unit inner outer bottom text gdpr".split())
 #: Within these, and where a class or id is one of the names, a header is the article's own.
@@ -54,17 +56,29 @@ _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+_STOP = re.compile(r"[.!?\u2026]['\")\u201d\u00bb]*(?= |\Z)")
 _DIGITS = re.compile(r"\d+")
 _CLOSE = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 
 
 def _mark(token: str) -> int:
-    """Of one class, id or role: 1 if its words tell of something beside the article, 2 of readers' comments, else 0."""
+    """Of one class, id or role: 2 if its words tell of something beside the article, 3 of readers' comments, 1 if all that
+    tell of it are weak, else 0."""
     words = _WORDS.findall(_HUMP.sub("-", token).lower())
     known = [w for w in words if w in MARK_WORDS or w in COMMENT_WORDS]
     if not known or any(w not in MARK_WORDS and w not in COMMENT_WORDS and w not in NEUTRAL_WORDS and not w.isdigit() for w in words):
         return 0
-    return 2 if any(w in COMMENT_WORDS for w in known) else 1
+    return 3 if any(w in COMMENT_WORDS for w in known) else 1 if all(w in WEAK_WORDS for w in known) else 2
+
+
+def _has_sentence(text: str) -> bool:
+    """Whether six words and more end with a stop."""
+    begin = 0
+    for m in _STOP.finditer(text):
+        if text.count(" ", begin, m.start()) >= 5:
+            return True
+        begin = m.end() + 1
+    return False
 
 
 def _describe(tag: str, attributes: str) -> tuple[str, int, bool]:
@@ -188,8 +202,8 @@ class Page:
             step, mark, is_own = _describe(tag, m[3])
             depth = len(open_)
             if tag == "form" or (tag == "header" and not own):
-                mark = max(mark, 1)
-            elif mark == 1 and own and "header" in step:
+                mark = max(mark, 2)
+            elif 0 < mark < 3 and own and "header" in step:
                 mark = 0
             up = open_[-1]
             key = (self.node[up], step)
@@ -246,7 +260,7 @@ class Page:
             sums[self.parent[e]] += sums[e]
             articles[self.parent[e]] += articles[e]
         for e, mark in enumerate(self.mark):
-            if mark and sums[e] > sums[0] * (0.8 if mark == 1 else 0.9) and articles[e] == articles[0]:
+            if mark and sums[e] > sums[0] * (0.8 if mark < 3 else 0.9) and articles[e] == articles[0]:
                 self.mark[e] = 0
 
     def _join(self) -> None:
@@ -272,6 +286,21 @@ class Page:
                     self.blocks.append((last, found, linked))
                 text, linked = [], 0
         self._pieces = []
+        # weak marks stay on what is short or mostly links, and outside articles
+        size, links, reads = [0] * len(self.parent), [0] * len(self.parent), [False] * len(self.parent)
+        for e, found, n in self.blocks:
+            size[e] += len(found)
+            links[e] += n
+            reads[e] = reads[e] or (not n and _has_sentence(found))
+        for e in range(len(size) - 1, 0, -1):
+            up = self.parent[e]
+            size[up] += size[e]
+            links[up] += links[e]
+            reads[up] = reads[up] or reads[e]
+        self.reads = [2 * b <= a and (r or a - b >= 200) for a, b, r in zip(size, links, reads, strict=True)]
+        for e, mark in enumerate(self.mark):
+            if mark == 1 and self.own[e] and self.reads[e]:
+                self.mark[e] = 0
 
     def _is_main(self, node: int) -> bool:
         return self.step[node].split(".", 1)[0] in MAIN
@@ -331,10 +360,34 @@ class Page:
             if target < 0:
                 return None
         inside = [target == 0]
+        first = 0
         for e in range(1, len(self.parent)):
-            inside.append(self.node[e] == target or (inside[self.parent[e]] and not self.mark[e]))
+            inside.append(self.node[e] == target or (inside[self.parent[e]] and (not self.mark[e] or (self.mark[e] == 1 and self.reads[e]))))
+            first = first or (e if inside[e] else 0)
         found = [t for e, t, _ in self.blocks if inside[e]]
-        return "\n\n".join(found) if found else None
+        return "\n\n".join(self._before(first, inside) + found) if found else None
+
+    def _before(self, first: int, inside: list[bool]) -> list[str]:
+        """Headlines and leads that stand before the first container, below its parent or the element above that: headings,
+        paragraphs of 80 characters and more, and what has a class of LEAD_WORDS; without links and not marked."""
+        top = self.parent[first]
+        if not first or self.tag[first] in ("body", "html"):
+            return []
+        if self.tag[top] not in (*MAIN, "body", "html", "") and self.parent[top] > 0:
+            top = self.parent[top]
+        below = {top: False}  # elements there, and whether a class of theirs or above tells of a lead
+        for e in range(top + 1, first):
+            up = self.parent[e]
+            if up in below and not self.mark[e]:
+                below[e] = below[up] or not LEAD_WORDS.isdisjoint(_WORDS.findall(self.step[self.node[e]].partition(".")[2]))
+        out = []
+        for e, text, linked in self.blocks:
+            if inside[e]:
+                break
+            tag = self.tag[e]
+            if e in below and e != top and not linked and (below[e] or tag in ("h1", "h2") or (tag == "p" and len(text) >= 80)):
+                out.append(text)
+        return out
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,9 +419,10 @@ def extract_text(pages: DataFrame, *columns: str, url_col: str = "url", html_col
 
     Each page scores its containers and votes for one generalised path; a host's path is that with the most votes
     (ties: the first by name). A page is extracted by its host's path, or by its own best where it has no such
-    container. Blocks are joined by an empty line. What is
-    marked as beside the article (see MARK_WORDS) is left out only below the chosen container, and not where it holds
-    most of the page's text. A page that ends within a tag or a comment ends there. Null and empty html, and pages without text, give "". Pages without
+    container. Blocks are joined by an empty line. What is marked as beside the article (see MARK_WORDS) is left out only
+    below the chosen container, and not where it holds most of the page's text; where the names are weak (WEAK_WORDS) only
+    if it is mostly links, or short and without a sentence. Headlines and leads that stand before the container are
+    taken too (see Page._before). A page that ends within a tag or a comment ends there. Null and empty html, and pages without text, give "". Pages without
     a host vote together.
     """
     scratch = Scratch(pages.sparkSession, "html")
