@@ -232,3 +232,27 @@ def test_toxicity_of_a_pair_without_linear_effect(spark):
     model = ToxicityModel.fit(df.withColumn("score", F.lit("clash")), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     held = model.score(df, "doc_id").filter(held_out(F.col("doc_id"))).collect()
     assert len(held) > 400 and sum((r.score > 0.5) == bool(labels[r.doc_id][2]) for r in held) >= 0.9 * len(held)
+
+
+def test_automata_that_take_turns_are_built_once_for_each_group_of_batches(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from textloom.llm import decontaminate as dc
+
+    built = []
+    monkeypatch.setattr(dc, "SuffixAutomaton", lambda block, window, made=dc.SuffixAutomaton: built.append(block[0][0]) or made(block, window))
+    monkeypatch.setattr(dc, "HELD", 2)
+    blocks = [[(f"item{i}", dc.words(" ".join(f"w{i}x{j}" for j in range(10))))] for i in range(6)]
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+    texts = [" ".join(f"w{i % 7}x{j}" for j in range(10)) for i in range(40)]
+    batches = lambda: (pa.RecordBatch.from_arrays([pa.array(texts[lo : lo + 4])], names=["text"]) for lo in range(0, 40, 4))
+    found = pa.Table.from_batches(dc._scan(spark, blocks, 10, 0, 1)(batches()))
+    assert len(built) == 6
+    assert found["items__"].to_pylist() == [[f"item{i % 7}"] if i % 7 < 6 else [] for i in range(40)]
+    # with two groups, those held at the end of the first are not built again
+    monkeypatch.setattr(dc, "GROUP_BYTES", 1)
+    built.clear()
+    again = pa.Table.from_batches(dc._scan(spark, blocks, 10, 0, 1)(iter([b for b, _ in zip(batches(), range(2), strict=False)])))
+    assert len(built) == 10 and again["items__"].to_pylist() == found["items__"].to_pylist()[:8]

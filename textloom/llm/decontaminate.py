@@ -14,6 +14,8 @@ WINDOW = 10
 BLOCK_WORDS, HELD = 100_000, 4
 #: Bytes of item text that one pass over the documents scans for; a larger benchmark takes more passes.
 PASS_BYTES = 64 << 20
+#: Bytes of documents over which an automaton goes before it makes room for another.
+GROUP_BYTES = 32 << 20
 
 _KEPT = b"".join(bytes([i]) if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else b" " for i in range(256))
 _FOLD = bytes(i + 32 if 0x41 <= i <= 0x5A else _KEPT[i] for i in range(256))
@@ -155,32 +157,54 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[B
 def _scan(spark, blocks: list[Block], window: int, text_at: int, kept: int) -> Callable:
     shared, held = spark.sparkContext.broadcast(blocks), HELD
 
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        """Batches that each automaton goes over at once: one where all automata are held, else GROUP_BYTES of text."""
+        group: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            group.append(batch)
+            size += batch.column(text_at).nbytes
+            if len(shared.value) <= held or size >= GROUP_BYTES:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata: dict[int, SuffixAutomaton] = {}
-        for batch in batches:
-            # each block's automaton goes over the whole batch before the next one takes its turn
-            n = [0] * len(batch)
+        order = list(range(len(shared.value)))
+        for group in groups(batches):
+            texts = [t for batch in group for t in batch.column(text_at)]
+            n = [0] * len(texts)
             spans: list[list[tuple[int, int]]] = [[] for _ in n]
             items: list[set[str]] = [set() for _ in n]
-            for at, block in enumerate(shared.value):
+            for at in order:
                 if at not in automata:
                     if len(automata) >= held:
                         automata.pop(next(iter(automata)))
-                    automata[at] = SuffixAutomaton(block, window)
+                    automata[at] = SuffixAutomaton(shared.value[at], window)
                 sam = automata[at]
-                for i, t in enumerate(batch.column(text_at)):
+                for i, t in enumerate(texts):
                     found = words(t.as_py())
                     n[i] = len(found)
                     s, ids = sam.scan(found)
                     spans[i] += s
                     items[i] |= ids
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                some = slice(lo, lo + 500)
-                said = [[{"start": a, "end": b} for a, b in merged(s)] for s in spans[some]]
-                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(n[some], pa.int64()), pa.array(said, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(x) for x in items[some]], pa.list_(pa.string()))], names=[*part.schema.names[:kept], "n_words__", "spans__", "items__"])
+            # those that are held now come first in the next group
+            order.reverse()
+            begin = 0
+            for batch in group:
+                yield from rows(batch, n[begin : begin + len(batch)], spans[begin : begin + len(batch)], items[begin : begin + len(batch)])
+                begin += len(batch)
         pa.default_memory_pool().release_unused()
 
+    def rows(batch: pa.RecordBatch, n: list[int], spans: list[list[tuple[int, int]]], items: list[set[str]]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(batch), 500):
+            part = batch.slice(lo, 500)
+            some = slice(lo, lo + 500)
+            said = [[{"start": a, "end": b} for a, b in merged(s)] for s in spans[some]]
+            yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(n[some], pa.int64()), pa.array(said, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(x) for x in items[some]], pa.list_(pa.string()))], names=[*part.schema.names[:kept], "n_words__", "spans__", "items__"])
+
     return run
 
 
@@ -199,7 +223,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
     """All columns of docs, and n_words__, spans__ (of word numbers, merged), items__ (sorted ids, as strings).
 
     The training text streams through the automata; nothing is shuffled. A benchmark of more than BLOCK_WORDS words is
-    taken in blocks: each task builds their automata in turn and holds HELD of them. A benchmark of more than PASS_BYTES
+    taken in blocks: each task builds their automata in turn, holds HELD of them, and lets each of the others go over
+    GROUP_BYTES of text before it makes room. A benchmark of more than PASS_BYTES
     takes a pass over the documents for each so many bytes. Null texts have no words; a null item_id is the item "null";
     rows with the same item_id are one item; an empty benchmark has no hits.
     """
