@@ -137,6 +137,18 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(2, len(w))), lambda i: array_to_string(w[i:i + 1], ' '))) AS s FROM w WHERE len(w) > 0),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+link AS (SELECT a, b FROM pair WHERE 100 * shared >= 80 * (n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT comp.doc_id, CAST(coalesce(len(s), 0) AS BIGINT) AS n_shingles, component_id, comp.doc_id = component_id AS kept FROM comp LEFT JOIN s ON comp.doc_id = s.doc_id
+"""
+
+
 def _field(x: str) -> str:
     return f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')"
 
@@ -213,4 +225,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op11_merkle": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_vector_dedup": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op10_minhash_dedup": OP10_SQL, "op11_merkle": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_vector_dedup": OP13_SQL}
