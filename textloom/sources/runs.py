@@ -2,29 +2,66 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+VERSIONS = "run_id string, name string, version string"
 STATUS = "run_id string, status string, stage string, pct int, error string, debug_error string, updated_at timestamp"
 
 
 class RunStore:
-    """Artifacts of runs below a root: `root/artifact/run_id=...`, states as an append-only table. Readers see whole
-    files only, as Spark's committer publishes them."""
+    """Artifacts of runs below a root, and states as an append-only table.
+
+    Each artifact is written to a folder of its own, `root/name/run_id=.../version=...`, and counts from when a row with
+    its version is appended to `root/versions`, which Spark's committer does at once or not at all. So readers see the
+    old artifact or the new one, never a gap or a part, and a writer that dies leaves the old one. The version before
+    the current one is kept for readers that have begun with it; older ones go.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
     def save(self, run_id: str, name: str, df: DataFrame, fmt: str = "parquet") -> None:
-        df.write.mode("overwrite").format(fmt).save(f"{self.root}/{name}/run_id={run_id}")
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        df.write.format(fmt).save(f"{self.root}/{name}/run_id={run_id}/version={version}")
+        row = self.spark.createDataFrame([(run_id, name, version)], VERSIONS)
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+        self._prune(run_id, name)
+
+    def _versions(self) -> DataFrame:
+        found = self._read("versions", schema=VERSIONS)
+        return self.spark.createDataFrame([], VERSIONS) if found is None else found
+
+    def _prune(self, run_id: str, name: str) -> None:
+        """Deletes what was published and is older than the version before the current one."""
+        known = sorted(r.version for r in self._versions().filter((F.col("run_id") == run_id) & (F.col("name") == name)).collect())
+        for version in known[:-2]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/run_id={run_id}/version={version}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def find(self, run_id: str, name: str, fmt: str = "parquet") -> DataFrame | None:
+        """The current version of an artifact; None if there is none."""
+        last = self._versions().filter((F.col("run_id") == run_id) & (F.col("name") == name)).agg(F.max("version")).first()[0]
+        return None if last is None else self._read(f"{name}/run_id={run_id}/version={last}", fmt)
 
     def load(self, run_id: str, name: str, fmt: str = "parquet") -> DataFrame:
-        found = self._read(f"{name}/run_id={run_id}", fmt)
+        found = self.find(run_id, name, fmt)
         if found is None:
             raise FileNotFoundError(f"run {run_id} has no {name}")
         return found
 
+    def all_runs(self, name: str) -> DataFrame | None:
+        """The current versions of an artifact of all runs, with run_id; None if no run has it."""
+        rows = self._read(name)
+        if rows is None:
+            return None
+        last = self._versions().filter(F.col("name") == name).groupBy("run_id").agg(F.max("version").alias("version"))
+        return rows.withColumns({c: F.col(c).cast("string") for c in ("run_id", "version")}).join(last, ["run_id", "version"], "left_semi").drop("version")
+
     def _read(self, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame | None:
         """The table at a path below the root; None if there is none. Other failures to read are raised."""
         reader = self.spark.read.format(fmt)
@@ -45,12 +82,12 @@ class RunStore:
 
     def label_cache(self, run_id: str) -> dict[str, str]:
         """Labels that a labeller gave in this run before; as few as its budget."""
-        found = self._read(f"label_cache/run_id={run_id}")
+        found = self.find(run_id, "label_cache")
         return {} if found is None else {r.key: r.label for r in found.collect()}
 
     def aspect_payload(self, run_id: str) -> tuple[DataFrame, DataFrame | None]:
         """The aspects of a run, and its granules where they were kept."""
-        return self.load(run_id, "aspects"), self._read(f"granules/run_id={run_id}")
+        return self.load(run_id, "aspects"), self.find(run_id, "granules")
 
     def set_status(self, run_id: str, status: str, stage: str, pct: int, error: str | None = None, debug_error: str | None = None) -> None:
         row = self.spark.createDataFrame([(run_id, status, stage, max(0, min(100, pct)), error, debug_error)], "run_id string, status string, stage string, pct int, error string, debug_error string")
@@ -70,7 +107,7 @@ class RunStore:
 
     def recent(self, limit: int = 20) -> DataFrame:
         """The last runs, newest first, with the number of items and clusters of those that have got so far."""
-        out, kept, seen = self.statuses(), self._read("items"), self._read("overview")
+        out, kept, seen = self.statuses(), self.all_runs("items"), self.all_runs("overview")
         none = F.lit(None).cast("long")
         # the overview has the number of those that have ended, the items of those that have got so far
         counts = kept.groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count("*").alias("n_kept")) if kept is not None else self.spark.createDataFrame([], "run_id string, n_kept long")
