@@ -71,10 +71,21 @@ def _letters_only(text: Column) -> Column:
 def clean(text: Column) -> Column:
     """Text for embedding: mails, links, order and product numbers, codes and opening phrases go. If nothing is left of a
     text with letters, its letters."""
-    source = strip(F.coalesce(text, F.lit("")))
-    body = source
-    for pattern in (EMAIL, URL, ORDER, PRODUCT, PRODUCT_CODE, CODE, HEX, LONG_NUMBER):
-        body = F.regexp_replace(body, pattern, " ")
+
+    def without(source: Column, low: Column) -> Column:
+        """What a pattern cannot match without is looked for first, in the source: a removed part leaves a space, so
+        nothing can come up that was not there."""
+        digits = source.rlike(r"\d{3}")
+        gates = [(EMAIL, source.contains("@")), (URL, low.contains("://") | low.contains("www.")), (ORDER, low.contains("order") | low.contains("pedido")), (PRODUCT, low.contains("product"))]
+        gates += [(PRODUCT_CODE, source.contains("-") | source.contains("_")), (CODE, digits), (HEX, None), (LONG_NUMBER, digits)]
+        body = source
+        for pattern, gate in gates:
+            body = replaced(body, pattern, gate)
+        named = low.contains("this is") | low.contains("my name is")
+        return let(body, lambda b: collapse(replaced(strip(opened(b)), OWN_NAME, named)))
+
+    def replaced(body: Column, pattern: str, gate: Column | None) -> Column:
+        return F.regexp_replace(body, pattern, " ") if gate is None else let(body, lambda b: F.when(gate, F.regexp_replace(b, pattern, " ")).otherwise(b))
 
     def opened(b: Column) -> Column:
         start = F.substring(b, 1, 220)
@@ -82,8 +93,11 @@ def clean(text: Column) -> Column:
             start = F.regexp_replace(start, pattern, "")
         return F.concat(start, F.lit(" "), F.substring(b, 221, 2**31 - 1))
 
-    cleaned = let(body, lambda b: collapse(F.regexp_replace(strip(opened(b)), OWN_NAME, " ")))
-    return let(cleaned, lambda c: F.when((c == "") & source.rlike(r"\p{L}"), _letters_only(source)).otherwise(c))
+    def whole(source: Column) -> Column:
+        cleaned = let(F.lower(source), lambda low: without(source, low))
+        return let(cleaned, lambda c: F.when((c == "") & source.rlike(r"\p{L}"), _letters_only(source)).otherwise(c))
+
+    return let(strip(F.coalesce(text, F.lit(""))), whole)
 
 
 def clean_or_source(text: Column) -> Column:

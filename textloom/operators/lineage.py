@@ -1,4 +1,4 @@
-"""Cutting the lineage of tables that loops build up."""
+"""Cutting the lineage of tables that loops build up, and dealing out small ones."""
 
 from __future__ import annotations
 
@@ -27,6 +27,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that Spark reads in fewer pieces than there are cores, dealt out to all of them; others as they are. Such a
+    table is small for its session (a piece is 128 MB at most), and a file's pieces can be fewer than they look, as a row
+    group is read by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read from there, so that plans of later rounds stay short and lost
     executors cost one round. It is worked out once; `clear` deletes what was written."""

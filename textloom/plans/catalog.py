@@ -45,7 +45,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return lineage.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _q(text: str) -> str:
