@@ -24,6 +24,7 @@ from .winnowing import fingerprint_report
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of `pages` as a WARC record, read back from the archives."""
     return archive_report(table(spark, sf_dir, "pages"))
 
 
@@ -37,10 +38,12 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in the texts of `documents`, by fixed patterns and by the models."""
     return secret_report(table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of `benchmark` stands in each of `documents`."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -58,10 +61,12 @@ FROM w LEFT JOIN words ON w.doc_id = words.doc_id LEFT JOIN items ON w.doc_id =
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each of `documents`."""
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of `documents`, how many of them recur and go, and the md5 of what is left."""
     found = drop_recurring_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("n_lines__").alias("n_lines"), F.col("n_dropped__").alias("n_dropped"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -95,6 +100,7 @@ def lang_weight(lang: Column) -> Column:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that half of all tokens are spent on, by domain, language and source."""
     found = mix(table(spark, sf_dir, "documents"), source_levels(), total_share=(1, 2), weights={"lang": lang_weight})
     return found.select("doc_id", "lang", "source", F.col("n_tokens__").alias("n_tokens"), F.col("leaf_budget__").alias("leaf_budget"), F.col("epochs__").alias("epochs"))
 
@@ -111,18 +117,22 @@ SELECT doc_id, lang, source, n_tokens, CAST(budget AS BIGINT) AS leaf_budget, CA
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each of `pages`."""
     return page_texts(table(spark, sf_dir, "pages"))
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of `documents` and of their edited texts."""
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each of `documents`, learned from `labels`."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of `documents` by two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
