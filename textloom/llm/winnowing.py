@@ -33,15 +33,16 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
     none = F.expr("cast(array() as array<struct<pos:int,hash:bigint>>)")
 
     def least(keys: Column) -> Column:
-        """The least key of each window: windows of twice the width from two of half of it, over and over."""
+        """The least key of each window: windows of four times the width from four of a fourth of it, over and over."""
 
-        def doubled(width: int):
-            return lambda ks: F.transform(ks, lambda x, i: F.least(x, F.get(ks, i + width)))
+        def wider(width: int, times: int):
+            return lambda ks: F.transform(ks, lambda x, i: F.least(x, *[F.get(ks, i + width * n) for n in range(1, times)]))
 
         width = 1
         while width < window:
-            keys = _let(keys, doubled(width))
-            width *= 2
+            times = min(4, window // width)
+            keys = _let(keys, wider(width, times))
+            width *= times
         return keys
 
     def between(b: Column, first: Column, last: Column, few: bool) -> Column:
