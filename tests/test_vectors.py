@@ -74,3 +74,22 @@ def test_main_directions_are_near_those_of_a_dense_decomposition(spark):
     assert np.allclose(np.linalg.norm(e, axis=1), 1) and found[120] == found[121] and len(set(found[120])) == 1
     again = {r.doc_id: r.embedding for r in fit_encoder(df, dims=64).transform(df).collect()}
     assert np.allclose(np.array([again[i] for i in range(120)]), e, atol=1e-6)
+
+
+def test_one_pass_of_batches_is_near_whole_kmeans(spark):
+    rng = np.random.default_rng(8)
+    blobs = rng.standard_normal((6, 5)) * 4
+    v = blobs[rng.integers(0, 6, 1500)] + rng.standard_normal((1500, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+
+    def inertia(found):
+        clusters = {r.id: r.cluster for r in found.collect()}
+        c = np.array([clusters[i] for i in range(1500)])
+        return sum(((v[c == x] - v[c == x].mean(0)) ** 2).sum() for x in set(c))
+
+    once = cl.minibatch_kmeans(df, "id", "v", 6)
+    assert inertia(once) <= 1.05 * inertia(cl.kmeans(df, "id", "v", 6))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, cl.minibatch_kmeans(df, "id", "v", 6).collect()))
+    same = df.withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
+    assert {r.cluster for r in cl.minibatch_kmeans(same, "id", "v", 4).collect()} == {0}
+    assert cl.minibatch_kmeans(df.limit(0), "id", "v", 3).count() == 0

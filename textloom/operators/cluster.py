@@ -14,6 +14,8 @@ from . import lineage
 
 #: The largest table that is linked exactly, on the driver; larger ones are first brought to so many k-means centres.
 EXACT_ITEMS, CENTRES = 2000, 64
+#: Items of a sample for each of the first centres.
+SAMPLE = 20
 #: The largest table whose silhouettes are of plain distances.
 PLAIN_ITEMS = 20_000
 #: The most centres that are sent to all executors.
@@ -67,6 +69,64 @@ def kmeans(items: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> D
     return KMeans(k=k, seed=seed).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))
 
 
+def minibatch_kmeans(items: DataFrame, key: str, vector: str, k: int, batches: int = 20, seed: int = 42) -> DataFrame:
+    """key, cluster of each item, by centres that one pass over the items has moved.
+
+    Items are dealt into batches by a hash of key and seed and written so, and each batch is read once. The first centres
+    are those of a sample of SAMPLE * k items of the first batch, on the driver. Of each later batch Spark sums the items
+    nearest to a centre, which moves to the mean of all that it has seen. A last pass assigns the items.
+    """
+    spark = items.sparkSession
+    path = lineage.scratch(spark, "batches")
+    rows = items.select(key, F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(batches)).cast("int").alias("batch"))
+    rows.repartition("batch").write.partitionBy("batch").parquet(path)
+    lineage.MADE.append(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    least = rows.agg(F.min("batch")).first()[0]
+    if least is None:
+        return items.select(key, F.lit(None).cast("int").alias("cluster"))
+    sample = rows.filter(F.col("batch") == least).orderBy(F.xxhash64(F.lit(seed + 1), key), key).limit(SAMPLE * k).select("v").collect()
+    centres = _first_centres(np.array([r.v for r in sample]), k, np.random.default_rng(seed))
+    seen = np.zeros(len(centres))
+    for batch in range(least, batches):
+        sums = rows.filter(F.col("batch") == batch).select("v").mapInPandas(_near_sums(centres), "centre int, n long, total array<double>")
+        found = sums.groupBy("centre").applyInPandas(lambda p: pd.DataFrame({"centre": p.centre[:1], "n": [p.n.sum()], "total": [np.stack(p.total.to_numpy()).sum(axis=0)]}), "centre int, n long, total array<double>")
+        for r in found.orderBy("centre").collect():
+            seen[r.centre] += r.n
+            centres[r.centre] += (np.array(r.total) - r.n * centres[r.centre]) / seen[r.centre]
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster int, centroid array<double>")
+    return nearest_centroid(items, table, key, "cluster", vector).select(key, "cluster")
+
+
+def _first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Far points by turns (each with the chance of its squared distance), then a few rounds of k-means."""
+    centres = [sample[rng.integers(len(sample))]]
+    far = ((sample - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k and far.sum() > 0:
+        centres.append(sample[rng.choice(len(sample), p=far / far.sum())])
+        far = np.minimum(far, ((sample - centres[-1]) ** 2).sum(axis=1))
+    found = np.array(centres, float)
+    for _ in range(10):
+        near = ((found**2).sum(axis=1)[None] - 2 * sample @ found.T).argmin(axis=1)
+        for i in np.unique(near):
+            found[i] = sample[near == i].mean(axis=0)
+    return found
+
+
+def _near_sums(centres: np.ndarray):
+    def run(batches):
+        n, total = np.zeros(len(centres), np.int64), np.zeros(centres.shape)
+        for pdf in batches:
+            v = np.stack(pdf.v.to_numpy()) if len(pdf) else np.empty((0, centres.shape[1]))
+            near = ((centres**2).sum(axis=1)[None] - 2 * v @ centres.T).argmin(axis=1)
+            n += np.bincount(near, minlength=len(centres))
+            np.add.at(total, near, v)
+        held = np.flatnonzero(n)
+        yield pd.DataFrame({"centre": held.astype(np.int32), "n": n[held], "total": list(total[held])})
+
+    return run
+
+
 def silhouettes(items: DataFrame, key: str, cluster: str, vector: str, block: int = 1000) -> DataFrame:
     """key, cluster, silhouette of each item by plain Euclidean distances: (b - a) / max(a, b), where a is the mean
     distance to the others of its cluster and b the least mean distance to those of another one; 0 for an item that is
@@ -195,7 +255,7 @@ def cut(links: np.ndarray, n: int, k: int) -> list[int]:
 def hierarchy(items: DataFrame, key: str, vector: str, k: int = 8) -> tuple[DataFrame, DataFrame]:
     """(key, cluster) of each item, and nodes (node_id, parent_id, child_pos, height, cohesion, key of a leaf).
 
-    Up to EXACT_ITEMS items are linked by Ward's method on the driver. Of larger tables k-means finds centres in Spark,
+    Up to EXACT_ITEMS items are linked by Ward's method on the driver. Of larger tables mini-batch k-means finds centres in Spark,
     the centres are linked, and each centre's items are its children. Cohesion is 1 - height / greatest height.
     """
     spark = items.sparkSession
@@ -206,7 +266,7 @@ def hierarchy(items: DataFrame, key: str, vector: str, k: int = 8) -> tuple[Data
         got = sorted(rows.collect(), key=lambda r: r[0])
         names, points, leaves = [f"leaf_{i}" for i in range(n)], np.array([r.v for r in got]), [r[0] for r in got]
     else:
-        found = kmeans(items, key, vector, min(CENTRES, n)).withColumnRenamed("cluster", "centre")
+        found = lineage.cut(minibatch_kmeans(items, key, vector, min(CENTRES, n)).withColumnRenamed("cluster", "centre"))
         centres = sorted(centroids(items.join(found, key), "centre", vector).collect(), key=lambda r: r.centre)
         names, points, leaves = [f"centre_{r.centre}" for r in centres], np.array([r.centroid for r in centres]), None
     m = len(names)
@@ -267,13 +327,13 @@ def representatives(items: DataFrame, key: str, cluster: str, distance_col: str,
     from ..functions.text import jaccard, word_set
 
     place = F.struct(F.col(distance_col).alias("distance"), F.col(key).alias("key"))
-    rows = items.select(cluster, place.alias("place"), word_set(text).alias("words")).persist()
+    rows = lineage.cut(items.select(cluster, place.alias("place"), word_set(text).alias("words")))
     near = rows.withColumn("nth", F.row_number().over(Window.partitionBy(cluster).orderBy("place"))).filter(F.col("nth") <= keep)
     listed = near.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("place", "words"))).alias("all"))
     unlike = lambda chosen, words: ~F.exists(chosen, lambda y: jaccard(words, y["words"]) >= likeness)
     none = F.filter("all", lambda x: F.lit(False))
     chosen = F.aggregate("all", none, lambda done, x: F.when((F.size(done) < n) & unlike(done, x["words"]), F.concat(done, F.array(x))).otherwise(done))
-    out = listed.withColumn("chosen", chosen).persist()
+    out = lineage.cut(listed.withColumn("chosen", chosen))
     open_ = lineage.cut(out.filter((F.size("all") >= keep) & (F.size("chosen") < n)).select(cluster, "chosen"))
     found = open_
     for _ in range(n - 1):

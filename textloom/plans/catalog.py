@@ -654,6 +654,11 @@ def kmeans_clusters(spark, sf_dir):
     return cl.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
 
 
+@query()
+def minibatch_clusters(spark, sf_dir):
+    return cl.minibatch_kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+
+
 @query()
 def pca_map(spark, sf_dir):
     return project_2d(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
