@@ -619,16 +619,21 @@ def renumbered_clusters(spark, sf_dir):
     return cl.renumber(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id").select("vec_id", "label")
 
 
-def _representatives_sql() -> str:
-    """Five times the nearest of the documents whose words are not too like those chosen, then the nearest others."""
+def _chosen_sql() -> str:
+    """Five times the nearest row of d (source, doc_id, w, distance) whose words are not too like those chosen."""
     steps = []
     for i in range(5):
         like = "".join(f" AND NOT coalesce(len(list_intersect(d.w, c{j}.w)) / nullif(len(list_distinct(list_concat(d.w, c{j}.w))), 0) >= 0.82 AND len(d.w) > 0 AND len(c{j}.w) > 0, false) AND d.doc_id <> c{j}.doc_id" for j in range(i))
         joins = "".join(f" JOIN c{j} USING (source)" for j in range(i))
         steps.append(f"c{i} AS (SELECT source, d.doc_id AS doc_id, d.w AS w FROM d{joins} WHERE true{like} QUALIFY row_number() OVER (PARTITION BY source ORDER BY d.distance, d.doc_id) = 1)")
-    all_ = " UNION ALL ".join(f"SELECT source, doc_id, {i} AS step FROM c{i}" for i in range(5))
+    chosen = " UNION ALL ".join(f"SELECT source, doc_id, {i} AS step FROM c{i}" for i in range(5))
+    return f"{', '.join(steps)}, chosen AS ({chosen})"
+
+
+def _representatives_sql() -> str:
+    """The chosen documents, then the nearest others."""
     words = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9]*'))"
-    return f"WITH d AS (SELECT source, doc_id, {words} AS w, CAST(abs(n_chars - 500) AS DOUBLE) AS distance FROM documents), {', '.join(steps)}, chosen AS ({all_}), o AS (SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY step NULLS LAST, distance, d.doc_id) AS nth FROM d LEFT JOIN chosen ON d.doc_id = chosen.doc_id AND d.source = chosen.source) SELECT source, list(doc_id ORDER BY nth) AS representatives FROM o WHERE nth <= 5 GROUP BY source"
+    return f"WITH d AS (SELECT source, doc_id, {words} AS w, CAST(abs(n_chars - 500) AS DOUBLE) AS distance FROM documents), {_chosen_sql()}, o AS (SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY step NULLS LAST, distance, d.doc_id) AS nth FROM d LEFT JOIN chosen ON d.doc_id = chosen.doc_id AND d.source = chosen.source) SELECT source, list(doc_id ORDER BY nth) AS representatives FROM o WHERE nth <= 5 GROUP BY source"
 
 
 @query(_representatives_sql())
@@ -729,7 +734,17 @@ def sibling_keywords(spark, sf_dir):
     return lb.evidence_pack(docs, "source", "doc_id", siblings=siblings).select("source", F.col("sibling_negative_keywords").alias("negative_keywords"))
 
 
-@query()
+def _representative_texts_sql() -> str:
+    """The longest cleaned texts of each source that are not too like one before."""
+    shown = "c"
+    for p in (tx.EMAIL, tx.URL, tx.LABEL_ID, tx.LABEL_CODE, tx.HEX, tx.LONG_NUMBER):
+        shown = _sub(shown, p)
+    cleaned = f"list_transform([{_clean('text')}], lambda c: {_collapse(shown)})[1]"
+    return f"""WITH t AS (SELECT source, doc_id, {cleaned} AS t FROM documents), d AS (SELECT source, doc_id, t, list_distinct(regexp_extract_all(lower(t), '[a-z][a-z0-9]*')) AS w, -length(t) AS distance FROM t WHERE length(t) >= 3 AND len(regexp_extract_all(lower(t), '[a-z][a-z0-9]*')) > 0),
+{_chosen_sql()} SELECT chosen.source, list(substr(t, 1, {lb.EXAMPLE}) ORDER BY step) AS items FROM chosen JOIN d ON chosen.doc_id = d.doc_id AND chosen.source = d.source GROUP BY chosen.source"""
+
+
+@query(_representative_texts_sql())
 def representative_texts(spark, sf_dir):
     return lb.representative_items(table(spark, sf_dir, "documents"), "source", "doc_id")
 
