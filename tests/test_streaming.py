@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textloom.operators import aspects as asp
-from textloom.streaming import corpus_state, stream_corpus
+from textloom.streaming import corpus_state, stream_corpus, stream_sentiment
 
 TEXTS = [
     (1, "The app crashes every time I upload a file, and support never replied to my ticket.", "2024-01-01 10:00:00"),
@@ -29,3 +29,24 @@ def test_late_texts_stay_out_and_others_add_up(spark, tmp_path):
     # a call with nothing new changes nothing
     stream_corpus(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "ts")
     assert {r.aspect: tuple(r) for r in corpus_state(spark, str(tmp_path / "out")).collect()} == {a: tuple(r) for a, r in found.items()}
+
+
+def test_times_without_a_zone_count_as_utc(spark, tmp_path):
+    """Tables may hold times without a zone, of which Spark takes no watermark; the session's zone moves none of them."""
+    rows = spark.createDataFrame(TEXTS, "doc_id long, text string, ts string").filter("doc_id <> 3").withColumn("ts", F.to_timestamp_ntz("ts") - F.expr("interval 9 hours 30 minutes"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        stream_corpus(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "ts")
+        days = corpus_state(spark, str(tmp_path / "out"), by_window=True).select(F.unix_seconds("window.start").alias("start")).distinct().collect()
+        q = stream_sentiment(stream, "ts", "1 day").writeStream.format("memory").queryName("zoneless").outputMode("complete").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        scored = spark.sql("select unix_seconds(window.start) as start from zoneless where n_units > 0").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r.start for r in days} == {r.start for r in scored} == {1704067200, 1704844800}  # 2024-01-01 and 2024-01-10 in UTC
+    found = corpus_state(spark, str(tmp_path / "out"))
+    batch = asp.aspect_aggregate(asp.granulate(rows.select("doc_id", "text")))
+    assert {r.aspect: tuple(r) for r in found.collect()} == {r.aspect: tuple(r) for r in batch.collect()}

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from ..functions.sentiment import normalized_score, raw_sentiment, sentiment_label
 from ..operators.aspects import aspect_aggregate, aspect_figures, granulate
 from ..operators.units import explode_units
 
 
+def watermarked(texts: DataFrame, time_col: str, late: str) -> DataFrame:
+    """The stream with a watermark, which Spark takes of instants only: times without a zone are read as UTC, whatever the
+    session's zone is, so that none falls into a gap or an overlap of its clock changes."""
+    if isinstance(texts.schema[time_col].dataType, TimestampNTZType):
+        texts = texts.withColumn(time_col, F.concat(F.col(time_col).cast("string"), F.lit("Z")).cast("timestamp"))
+    return texts.withWatermark(time_col, late)
+
+
 def stream_sentiment(texts: DataFrame, time_col: str, window: str = "1 hour", late: str = "10 minutes", text_col: str = "text") -> DataFrame:
     """Units, mean sentiment score and votes for each window of event time; stateless up to the windowed sums."""
-    units = explode_units(texts.withWatermark(time_col, late), text_col)
+    units = explode_units(watermarked(texts, time_col, late), text_col)
     scored = units.withColumn("score", normalized_score(raw_sentiment(F.col("norm"), F.col("tokens")))).withColumn("sentiment", sentiment_label(F.col("score")))
     by = scored.groupBy(F.window(time_col, window).alias("window"))
     vote = lambda s: F.sum((F.col("sentiment") == s).cast("long")).alias(s)
@@ -51,7 +60,7 @@ def stream_corpus(texts: DataFrame, out: str, checkpoint: str, time_col: str, wi
 
     texts.writeStream.foreachBatch(granules).option("checkpointLocation", f"{checkpoint}/granules").trigger(availableNow=True).start().awaitTermination()
     schema = spark.read.parquet(f"{out}/granules").schema
-    rows = spark.readStream.schema(schema).parquet(f"{out}/granules").withWatermark(time_col, late).filter("aspect <> 'OTHER'")
+    rows = watermarked(spark.readStream.schema(schema).parquet(f"{out}/granules"), time_col, late).filter("aspect <> 'OTHER'")
     none = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("term")))
     terms = F.transform("evidence", lambda t, i: F.struct(i.cast("int").alias("at"), t.alias("term")))
     rows = rows.withColumn("entry", F.explode(F.concat(none, terms))).select("*", "entry.at", "entry.term")
