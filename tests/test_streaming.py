@@ -42,7 +42,7 @@ def test_times_without_a_zone_count_as_utc(spark, tmp_path):
         stream_corpus(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "ts")
         days = corpus_state(spark, str(tmp_path / "out"), by_window=True).select(F.unix_seconds("window.start").alias("start")).distinct().collect()
         q = stream_sentiment(stream, "ts", "1 day").writeStream.format("memory").queryName("zoneless").outputMode("complete").trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q.awaitTermination()
         scored = spark.sql("select unix_seconds(window.start) as start from zoneless where n_units > 0").collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
@@ -50,3 +50,17 @@ def test_times_without_a_zone_count_as_utc(spark, tmp_path):
     found = corpus_state(spark, str(tmp_path / "out"))
     batch = asp.aspect_aggregate(asp.granulate(rows.select("doc_id", "text")))
     assert {r.aspect: tuple(r) for r in found.collect()} == {r.aspect: tuple(r) for r in batch.collect()}
+
+
+def test_texts_before_1970_and_without_a_time_are_counted(spark, tmp_path):
+    rows = spark.createDataFrame(TEXTS, "doc_id long, text string, ts string")
+    rows = rows.withColumn("ts", F.when(F.col("doc_id") == 1, F.to_timestamp(F.lit("1969-12-31 23:00:00"))).when(F.col("doc_id") == 2, F.to_timestamp("ts")))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream_corpus(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), "ts")
+    figures = lambda rows: {r.aspect: tuple(r) for r in rows.collect()}
+    batch = lambda rows: figures(asp.aspect_aggregate(asp.granulate(rows.select("doc_id", "text"))))
+    assert figures(corpus_state(spark, str(tmp_path / "out"))) == batch(rows)
+    windows = corpus_state(spark, str(tmp_path / "out"), by_window=True)
+    assert figures(windows.filter("window.start is null").drop("window")) == batch(rows.filter("ts is null"))
+    starts = windows.select(F.unix_seconds("window.start").alias("start")).distinct().collect()
+    assert {r.start for r in starts} == {None, -86400, 1704844800}  # none, 1969-12-31 and 2024-01-10

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
@@ -11,17 +11,17 @@ from ..operators.aspects import aspect_aggregate, aspect_figures, granulate
 from ..operators.units import explode_units
 
 
-def watermarked(texts: DataFrame, time_col: str, late: str) -> DataFrame:
-    """The stream with a watermark, which Spark takes of instants only: times without a zone are read as UTC, whatever the
-    session's zone is, so that none falls into a gap or an overlap of its clock changes."""
+def instants(texts: DataFrame, time_col: str) -> DataFrame:
+    """Spark takes watermarks of instants only: times without a zone are read as UTC, whatever the session's zone is, so
+    that none falls into a gap or an overlap of its clock changes."""
     if isinstance(texts.schema[time_col].dataType, TimestampNTZType):
-        texts = texts.withColumn(time_col, F.concat(F.col(time_col).cast("string"), F.lit("Z")).cast("timestamp"))
-    return texts.withWatermark(time_col, late)
+        return texts.withColumn(time_col, F.concat(F.col(time_col).cast("string"), F.lit("Z")).cast("timestamp"))
+    return texts
 
 
 def stream_sentiment(texts: DataFrame, time_col: str, window: str = "1 hour", late: str = "10 minutes", text_col: str = "text") -> DataFrame:
     """Units, mean sentiment score and votes for each window of event time; stateless up to the windowed sums."""
-    units = explode_units(watermarked(texts, time_col, late), text_col)
+    units = explode_units(instants(texts, time_col).withWatermark(time_col, late), text_col)
     scored = units.withColumn("score", normalized_score(raw_sentiment(F.col("norm"), F.col("tokens")))).withColumn("sentiment", sentiment_label(F.col("score")))
     by = scored.groupBy(F.window(time_col, window).alias("window"))
     vote = lambda s: F.sum((F.col("sentiment") == s).cast("long")).alias(s)
@@ -47,7 +47,9 @@ def stream_corpus(texts: DataFrame, out: str, checkpoint: str, time_col: str, wi
     each window of event time, aspect and evidence term as Spark's keyed state, so that one document more changes a few
     keys and no batch is read again; what changes is written under the batch's number, so a repeated batch changes
     nothing. A term's rows are summed before they are dealt out, so an aspect that all texts share is no hot key. Rows
-    that come more than `late` after the newest time seen, and whose window is closed, are left out.
+    that come more than `late` after the newest time seen, and whose window is closed, are left out. Spark's
+    watermark starts at 1970, so rows before that, and rows without a time, which are in no window, have a state of their
+    own in which none is late.
     """
     spark = texts.sparkSession
 
@@ -55,20 +57,27 @@ def stream_corpus(texts: DataFrame, out: str, checkpoint: str, time_col: str, wi
         found = granulate(batch.select(key, text_col), taxonomy, key=key, text_col=text_col)
         found.join(batch.select(key, time_col), key).select(key, time_col, *GRANULE).write.mode("overwrite").parquet(f"{out}/granules/batch={number}")
 
-    def changed(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/state/batch={number}")
+    def keep(rows: DataFrame, name: str, by: Column) -> None:
+        def changed(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+        rows = rows.filter("aspect <> 'OTHER'").withColumn("entry", F.explode(F.concat(none, terms))).select("*", "entry.at", "entry.term")
+        sums = rows.groupBy(by, "aspect", "term").agg(
+            F.count("*").alias("count"), F.sum("sentiment_score").alias("score"), F.sum("sentiment_raw").alias("raw"), vote("positive"), vote("negative"), vote("neutral"), F.min(F.struct(key, "unit_pos", "at")).alias("seen"),
+        )
+        sums.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start().awaitTermination()
 
     texts.writeStream.foreachBatch(granules).option("checkpointLocation", f"{checkpoint}/granules").trigger(availableNow=True).start().awaitTermination()
     schema = spark.read.parquet(f"{out}/granules").schema
-    rows = watermarked(spark.readStream.schema(schema).parquet(f"{out}/granules"), time_col, late).filter("aspect <> 'OTHER'")
+    rows = instants(spark.readStream.schema(schema).parquet(f"{out}/granules"), time_col)
     none = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("term")))
     terms = F.transform("evidence", lambda t, i: F.struct(i.cast("int").alias("at"), t.alias("term")))
-    rows = rows.withColumn("entry", F.explode(F.concat(none, terms))).select("*", "entry.at", "entry.term")
     vote = lambda s: F.sum((F.col("sentiment") == s).cast("long")).alias(f"{s}_count")
-    sums = rows.groupBy(F.window(time_col, window).alias("window"), "aspect", "term").agg(
-        F.count("*").alias("count"), F.sum("sentiment_score").alias("score"), F.sum("sentiment_raw").alias("raw"), vote("positive"), vote("negative"), vote("neutral"), F.min(F.struct(key, "unit_pos", "at")).alias("seen"),
-    )
-    sums.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+    time, start = F.col(time_col), F.timestamp_seconds(F.lit(0))
+    keep(rows.filter(time >= start).withWatermark(time_col, late), "state", F.window(time_col, window).alias("window"))
+    no_window = F.struct(*[F.lit(None).cast("timestamp").alias(c) for c in ("start", "end")])
+    early = rows.filter(time.isNull() | (time < start)).withColumn("window", F.window(F.coalesce(time, start), window))
+    keep(early, "never_late", F.when(time.isNull(), no_window).otherwise(F.col("window")).alias("window"))
 
 
 #: What the state needs of a granule.
@@ -77,8 +86,8 @@ GRANULE = ["unit_pos", "aspect", "evidence", "sentiment", "sentiment_score", "se
 
 def corpus_state(spark: SparkSession, out: str, by_window: bool = False, n: int = 3) -> DataFrame:
     """The aspects of all texts taken in so far (for each window, if asked for), in the columns of `aspect_aggregate`.
-    Of each key the state of its last batch counts."""
-    rows = spark.read.parquet(f"{out}/state")
+    Of each key the state of its last batch counts. Texts without a time have a window with neither start nor end."""
+    rows = spark.read.parquet(f"{out}/state").unionByName(spark.read.parquet(f"{out}/never_late"))
     values = [c for c in rows.columns if c not in ("window", "aspect", "term", "batch")]
     last = rows.groupBy("window", "aspect", "term").agg(F.max_by(F.struct(*values), "batch").alias("v")).select("window", "aspect", "term", "v.*")
     groups = ["window", "aspect"] if by_window else ["aspect"]
