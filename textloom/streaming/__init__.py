@@ -43,19 +43,25 @@ def stream_aspects(texts: DataFrame, out: str, checkpoint: str, taxonomy: dict |
 def stream_corpus(texts: DataFrame, out: str, checkpoint: str, time_col: str, window: str = "1 day", late: str = "1 day", taxonomy: dict | None = None, key: str = "doc_id", text_col: str = "text") -> None:
     """Takes what has come of a stream of texts into the corpus' state below `out`, and ends; to be called again for more.
 
-    Each micro-batch's granules are written first. A second stream over them keeps counts, votes, sums and evidence for
+    Each micro-batch's granules are written first, those of equal texts in a window once, with the number of texts (copies),
+    the least of their keys and the last of their times. A second stream over them keeps counts, votes, sums and evidence for
     each window of event time, aspect and evidence term as Spark's keyed state, so that one document more changes a few
     keys and no batch is read again; what changes is written under the batch's number, so a repeated batch changes
     nothing. A term's rows are summed before they are dealt out, so an aspect that all texts share is no hot key. Rows
-    that come more than `late` after the newest time seen, and whose window is closed, are left out. Spark's
-    watermark starts at 1970, so rows before that, and rows without a time, which are in no window, have a state of their
-    own in which none is late.
+    that come more than `late` after the newest time seen, and whose window is closed, are left out: that is decided by
+    window, so equal texts of a window share it. Spark's watermark starts at 1970, so rows before that, and rows without a
+    time, which are in no window, have a state of their own in which none is late.
     """
-    spark = texts.sparkSession
+    spark, start = texts.sparkSession, F.timestamp_seconds(F.lit(0))
 
     def granules(batch: DataFrame, number: int) -> None:
-        found = granulate(batch.select(key, text_col), taxonomy, key=key, text_col=text_col)
-        found.join(batch.select(key, time_col), key).select(key, time_col, *GRANULE).write.mode("overwrite").parquet(f"{out}/granules/batch={number}")
+        timed = instants(batch.select(key, F.col(text_col).alias("text"), time_col), time_col).filter("text is not null")
+        # rows on either side of 1970 and those without a time stay apart
+        timed = timed.withColumn("side__", F.col(time_col) >= start).withColumn("window__", F.window(F.coalesce(time_col, start), window))
+        first = timed.groupBy("text", "side__", "window__").agg(F.min(key).alias(key), F.count("*").alias("copies"), F.max(time_col).alias(time_col)).persist()
+        found = granulate(first.select(key, "text"), taxonomy, key=key)
+        found.join(first.select(key, time_col, "copies"), key).select(key, time_col, "copies", *GRANULE).write.mode("overwrite").parquet(f"{out}/granules/batch={number}")
+        first.unpersist()
 
     def keep(rows: DataFrame, name: str, by: Column) -> None:
         def changed(batch: DataFrame, number: int) -> None:
@@ -63,7 +69,7 @@ def stream_corpus(texts: DataFrame, out: str, checkpoint: str, time_col: str, wi
 
         rows = rows.filter("aspect <> 'OTHER'").withColumn("entry", F.explode(F.concat(none, terms))).select("*", "entry.at", "entry.term")
         sums = rows.groupBy(by, "aspect", "term").agg(
-            F.count("*").alias("count"), F.sum("sentiment_score").alias("score"), F.sum("sentiment_raw").alias("raw"), vote("positive"), vote("negative"), vote("neutral"), F.min(F.struct(key, "unit_pos", "at")).alias("seen"),
+            F.sum("copies").alias("count"), total("sentiment_score").alias("score"), total("sentiment_raw").alias("raw"), vote("positive"), vote("negative"), vote("neutral"), F.min(F.struct(key, "unit_pos", "at")).alias("seen"),
         )
         sums.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start().awaitTermination()
 
@@ -72,8 +78,9 @@ def stream_corpus(texts: DataFrame, out: str, checkpoint: str, time_col: str, wi
     rows = instants(spark.readStream.schema(schema).parquet(f"{out}/granules"), time_col)
     none = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("term")))
     terms = F.transform("evidence", lambda t, i: F.struct(i.cast("int").alias("at"), t.alias("term")))
-    vote = lambda s: F.sum((F.col("sentiment") == s).cast("long")).alias(f"{s}_count")
-    time, start = F.col(time_col), F.timestamp_seconds(F.lit(0))
+    total = lambda c: F.sum(F.col(c) * F.col("copies"))
+    vote = lambda s: F.sum((F.col("sentiment") == s).cast("long") * F.col("copies")).alias(f"{s}_count")
+    time = F.col(time_col)
     keep(rows.filter(time >= start).withWatermark(time_col, late), "state", F.window(time_col, window).alias("window"))
     no_window = F.struct(*[F.lit(None).cast("timestamp").alias(c) for c in ("start", "end")])
     early = rows.filter(time.isNull() | (time < start)).withColumn("window", F.window(F.coalesce(time, start), window))
