@@ -93,3 +93,14 @@ def test_one_pass_of_batches_is_near_whole_kmeans(spark):
     same = df.withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
     assert {r.cluster for r in cl.minibatch_kmeans(same, "id", "v", 4).collect()} == {0}
     assert cl.minibatch_kmeans(df.limit(0), "id", "v", 3).count() == 0
+
+
+def test_texts_an_encoder_is_fitted_on_are_weighed_once(spark):
+    from textloom.operators.vectors import _counted, fit_transform
+
+    df = spark.createDataFrame([(1, "red fox red fox"), (2, "blue whale song"), (3, "red whale"), (4, None), (5, "")], "doc_id long, text string")
+    assert {r.doc_id: sorted(r.tf) for r in _counted(df, "doc_id", "text").collect()} == {1: [1, 2, 2, 2], 2: [1] * 5, 3: [1] * 3, 4: [], 5: []}
+    encoder, vectors = fit_transform(df, dims=8)
+    apart = {r.doc_id: r.embedding for r in encoder.transform(df).collect()}
+    found = {r.doc_id: r.embedding for r in vectors.collect()}
+    assert set(found) == {1, 2, 3, 4, 5} and all(np.allclose(found[i], apart[i]) for i in found)
